@@ -248,16 +248,17 @@ def venue_form_asof(
 
 
 def as_of_values(
-    left: DataFrame, right: DataFrame, keys: list[str], order: list[str], values: list[str], unit: str = "year"
+    left: DataFrame, right: DataFrame, keys: list[str], order: list[str], values: list[str], unit: str = "year",
+    inclusive: bool = False,
 ) -> DataFrame:
-    """Attach to each left row the values of the latest right row strictly earlier in `order`.
+    """Attach to each left row the values of the latest right row earlier in `order`.
 
-    Both sides are stacked and the last right row is carried forward; when both sides hold the
-    same position, the left row does not see it.
+    Both sides are stacked and the last right row is carried forward. A right row at the same
+    position counts only when `inclusive` is set.
     """
     packed = F.struct(*order, *values)
-    l_rows = left.withColumn("_kind", F.lit(0)).withColumn("_at", F.lit(None).cast(right.select(packed).schema[0].dataType))
+    l_rows = left.withColumn("_kind", F.lit(2 if inclusive else 0)).withColumn("_at", F.lit(None).cast(right.select(packed).schema[0].dataType))
     r_rows = right.select(*keys, *order, F.lit(1).alias("_kind"), packed.alias("_at"))
     both = l_rows.unionByName(r_rows, allowMissingColumns=True)
     out = with_asof(both, keys, [*order, "_kind"], {"_last": Expanding(F.col("_at"), "max")}, unit)
-    return out.filter("_kind = 0").select(*left.columns, *[F.col(f"_last.{v}").alias(v) for v in values])
+    return out.filter("_kind <> 1").select(*left.columns, *[F.col(f"_last.{v}").alias(v) for v in values])
