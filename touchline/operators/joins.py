@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from touchline.functions.text import team_key
 from touchline.operators.clean import CLUB_WORDS
@@ -16,7 +17,7 @@ from touchline.operators.windows import Previous, Trailing, with_asof
 
 def enrich_two_pass(left: DataFrame, right: DataFrame, keys: list[str], fallback_keys: list[str], values: list[str]) -> DataFrame:
     """Left join on all keys; rows without any value retry on the shorter key, right rows deduplicated on it."""
-    exact = right.groupBy(*keys).agg(F.first(F.struct(*values), ignorenulls=True).alias("_exact"))
+    exact = right.groupBy(*keys).agg(F.min(F.struct(*values)).alias("_exact"))
     broad = right.groupBy(*fallback_keys).agg(F.min(F.struct(*keys, *values)).alias("_broad"))
     joined = left.join(exact, keys, "left").join(broad, fallback_keys, "left")
     found = F.coalesce(*[F.col(f"_exact.{v}").cast("string") for v in values]).isNotNull()
@@ -133,7 +134,7 @@ def resolve_columns(df: DataFrame, columns: list[str], aliases: DataFrame, overr
     return out
 
 
-@F.pandas_udf("struct<name string, ratio double>")
+@F.pandas_udf(T.StructType([T.StructField("name", T.StringType()), T.StructField("ratio", T.DoubleType())]))
 def _closest(names: pd.Series, candidates: pd.Series) -> pd.DataFrame:
     best = []
     for name, options in zip(names, candidates, strict=True):
