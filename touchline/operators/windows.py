@@ -66,14 +66,16 @@ def with_asof(
     order: list[str],
     features: dict[str, Feature],
     unit: str = "year",
+    block: Column | None = None,
 ) -> DataFrame:
     """Add one column per feature, computed from rows strictly earlier in `order` within `keys`.
 
-    `order[0]` is the date that gives the block; `order` as a whole must be a total order per key.
+    `order[0]` is the date that gives the block, unless `block` (non-decreasing in `order`) is
+    given; `order` as a whole must be a total order per key.
     """
     names = list(features)
     feats = [features[n] for n in names]
-    base = df.withColumn("_block", block_of(order[0], unit))
+    base = df.withColumn("_block", block_of(order[0], unit) if block is None else block)
     for i, f in enumerate(feats):
         base = base.withColumn(f"_v{i}", f.value)
 
