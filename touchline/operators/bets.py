@@ -135,7 +135,7 @@ def share_stake(share: float) -> StakeFn:
 def variable_ratio_stake(base: float = 0.02, cap: float = 0.10, min_ev: float = 0.0) -> StakeFn:
     """Share that grows with the expected value, up to a cap; rounded to cents."""
     ratio = F.least(base * (1 + F.col("ev")), F.lit(cap))
-    return lambda bankroll: F.when(F.col("ev") >= min_ev, F.round(bankroll * ratio, 2)).otherwise(0.0)
+    return lambda bankroll: F.when(F.col("ev") >= min_ev, F.round(bankroll * ratio + 1e-9, 2)).otherwise(0.0)
 
 
 def kelly_stake(fraction: float = 1.0) -> StakeFn:

@@ -190,8 +190,8 @@ def attack_defence_ratios(
     cols = []
     for p in ("h", "a"):
         for w in windows:
-            cols.append((F.col(f"{p}_goals_scored_avg{w}") / F.col("_base")).alias(f"{p}_attack_ratio{w}"))
-            cols.append((F.col(f"{p}_goals_conceded_avg{w}") / F.col("_base")).alias(f"{p}_defence_ratio{w}"))
+            cols.append(F.try_divide(f"{p}_goals_scored_avg{w}", "_base").alias(f"{p}_attack_ratio{w}"))
+            cols.append(F.try_divide(f"{p}_goals_conceded_avg{w}", "_base").alias(f"{p}_defence_ratio{w}"))
     return scaled.select("match_id", *cols)
 
 

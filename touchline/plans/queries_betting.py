@@ -210,15 +210,11 @@ def _table(spark: SparkSession, sf: str) -> DataFrame:
     "8.1 8.2 8.6 8.46",
     MP
     + _VT
-    + "SELECT match_id, model, outcome, round(price, 4) AS price, round(implied, 4) AS implied, round((book - 1) * 100, 4) AS margin_pct, round(fair, 6) AS fair, round(prob, 6) AS prob, round(ev, 6) AS ev, round(k, 6) AS kelly_pct, round(1000 * k, 2) AS kelly_stake, positive_ev FROM v",
+    + "SELECT match_id, model, outcome, positive_ev, " + rsql({"price": "price", "implied": "implied", "margin_pct": "(book - 1) * 100", "fair": "fair", "prob": "prob", "ev": "ev", "kelly_pct": "k", "kelly_stake": "1000 * k"}) + " FROM v",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     t = _table(spark, sf).withColumn("margin_pct", F.col("margin") * 100)
-    four, six = ["price", "implied", "margin_pct"], ["fair", "prob", "ev"]
-    return t.select(
-        "match_id", "model", "outcome", *[F.round(c, 4).alias(c) for c in four], *[F.round(c, 6).alias(c) for c in six], F.round("kelly_pct", 6).alias("kelly_pct"),
-        F.round("kelly_stake", 2).alias("kelly_stake"), "positive_ev",
-    )
+    return rounded(t, ["match_id", "model", "outcome", "positive_ev"], ["price", "implied", "margin_pct", "fair", "prob", "ev", "kelly_pct", "kelly_stake"])
 
 
 @query(
@@ -250,7 +246,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     "8.4 8.5 8.10 8.33",
     MP
     + _ROWS
-    + """SELECT match_id, model, outcome, profile, round(CASE WHEN prob * price > 1 THEN least((prob * price - 1) / (price - 1), 1) ELSE 0 END * fraction, 6) AS stake_share
+    + """SELECT match_id, model, outcome, profile, round(CASE WHEN prob * price > 1 THEN least((prob * price - 1) / (price - 1), 1) ELSE 0 END * fraction + 1e-10, 6) AS stake_share
 FROM r, (VALUES ('conservative', 0.1), ('moderate', 0.25), ('balanced', 0.5), ('aggressive', 0.75), ('max', 1.0)) f(profile, fraction)""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
@@ -264,7 +260,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     MP
     + _ROWS
     + """, k AS (SELECT *, prob * price - 1 AS ev, CASE WHEN prob * price > 1 THEN least((prob * price - 1) / (price - 1), 1) ELSE 0 END AS k FROM r)
-SELECT match_id, model, outcome, round(ev, 6) AS ev, round(least(k * 0.25, 1), 6) AS kelly_stake, ev > 0.03 AND prob >= 0.35 AND k > 0 AS recommended FROM k""",
+SELECT match_id, model, outcome, round(ev, 6) AS ev, round(least(k * 0.25, 1) + 1e-10, 6) AS kelly_stake, ev > 0.03 AND prob >= 0.35 AND k > 0 AS recommended FROM k""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     out = bets.recommendations(bets.outcome_rows(_preds(spark, sf)), 0.25, 0.03, 0.35)
@@ -272,7 +268,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _STAKE = {
-    "flat": "least(10, 800e0)", "percentage": "800e0 * 0.03", "variable_ratio": "CASE WHEN ev >= 0 THEN round(800e0 * least(0.02 * (1 + ev), 0.1), 2) ELSE 0 END",
+    "flat": "least(10, 800e0)", "percentage": "800e0 * 0.03", "variable_ratio": "CASE WHEN ev >= 0 THEN round(800e0 * least(0.02 * (1 + ev), 0.1) + 1e-9, 2) ELSE 0 END",
     "kelly": "800e0 * CASE WHEN prob * price > 1 THEN least((prob * price - 1) / (price - 1), 1) ELSE 0 END",
     "fractional_kelly": "800e0 * 0.25 * CASE WHEN prob * price > 1 THEN least((prob * price - 1) / (price - 1), 1) ELSE 0 END",
 }
@@ -411,13 +407,13 @@ def _curve(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "backtest_kelly",
     "8.17 8.18 8.19 8.20",
-    MP + _COMP + "SELECT match_id, model, outcome, st AS status, " + rsql({"bankroll_before_rel": "ln(bb)", "stake_rel": "stake / bb", "bankroll_after_rel": "ln(ba)", "drawdown_pct": "(peak - ba) / peak * 100"}) + " FROM e",
+    MP + _COMP + "SELECT match_id, model, outcome, st AS status, " + rsql({"bankroll_before_rel": "ln(bb)", "stake_rel": "stake / bb", "bankroll_after_rel": "ln(ba)", "drawdown_pct": "(peak - ba) / peak * 100"}, 5) + " FROM e",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     out = _curve(spark, sf).withColumns(
         {"bankroll_before_rel": F.log("bankroll_before"), "stake_rel": F.col("stake") / F.col("bankroll_before"), "bankroll_after_rel": F.log("bankroll_after")}
     )
-    return rounded(out, ["match_id", "model", "outcome", "status"], ["bankroll_before_rel", "stake_rel", "bankroll_after_rel", "drawdown_pct"])
+    return rounded(out, ["match_id", "model", "outcome", "status"], ["bankroll_before_rel", "stake_rel", "bankroll_after_rel", "drawdown_pct"], 5)
 
 
 @query(

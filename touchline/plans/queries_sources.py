@@ -376,14 +376,14 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "report_documents",
     "1.31",
-    """SELECT user_id, event_type AS model, round(avg(value), 4) AS avg_clv, CAST(count(*) AS INT) AS bets FROM events WHERE user_id % 2 = 0 GROUP BY ALL
-UNION ALL SELECT user_id, 'Aggregate', round(avg(value), 4), CAST(count(*) AS INT) FROM events WHERE user_id % 2 = 1 GROUP BY user_id""",
+    """SELECT user_id, event_type AS model, round(avg(value) + 1e-9, 4) AS avg_clv, CAST(count(*) AS INT) AS bets FROM events WHERE user_id % 2 = 0 GROUP BY ALL
+UNION ALL SELECT user_id, 'Aggregate', round(avg(value) + 1e-9, 4), CAST(count(*) AS INT) FROM events WHERE user_id % 2 = 1 GROUP BY user_id""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     e = inputs.table(spark, sf, "events")
-    per = e.filter("user_id % 2 = 0").groupBy("user_id", "event_type").agg(F.round(F.avg("value"), 4).alias("clv"), F.count("*").alias("n"))
+    per = e.filter("user_id % 2 = 0").groupBy("user_id", "event_type").agg(F.round(F.avg("value") + 1e-9, 4).alias("clv"), F.count("*").alias("n"))
     lists = per.groupBy("user_id").agg(F.collect_list(F.struct(F.col("event_type").alias("name"), F.col("clv"), F.col("n").alias("n_bets"))).alias("models"))
-    single = e.filter("user_id % 2 = 1").groupBy("user_id").agg(F.round(F.avg("value"), 4).alias("clv"), F.count("*").alias("n"))
+    single = e.filter("user_id % 2 = 1").groupBy("user_id").agg(F.round(F.avg("value") + 1e-9, 4).alias("clv"), F.count("*").alias("n"))
     docs = lists.select("user_id", F.to_json(F.struct("models")).alias("doc")).unionByName(
         single.select("user_id", F.to_json(F.struct(F.col("clv").alias("average_clv"), F.col("n").alias("total_bets"))).alias("doc"))
     )

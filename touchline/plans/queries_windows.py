@@ -141,7 +141,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(form.attack_defence_ratios(inputs.matches(spark, sf)), ["match_id"], _RATIO)
 
 
-@query("attack_defence_ratio_asof", "5.5", _ratio_sql("max((ls + lc) / 2)"))
+@query("attack_defence_ratio_asof", "5.5", _ratio_sql("nullif(max((ls + lc) / 2), 0)"))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(form.attack_defence_ratios(inputs.matches(spark, sf), denominator="asof"), ["match_id"], _RATIO)
 
