@@ -210,11 +210,11 @@ def _table(spark: SparkSession, sf: str) -> DataFrame:
     "8.1 8.2 8.6 8.46",
     MP
     + _VT
-    + "SELECT match_id, model, outcome, positive_ev, " + rsql({"price": "price", "implied": "implied", "margin_pct": "(book - 1) * 100", "fair": "fair", "prob": "prob", "ev": "ev", "kelly_pct": "k", "kelly_stake": "1000 * k"}) + " FROM v",
+    + "SELECT match_id, model, outcome, positive_ev, " + rsql({"price": "price", "implied": "implied", "margin_pct": "(book - 1) * 100", "fair": "fair", "prob": "prob", "ev": "ev", "kelly_pct": "k", "kelly_stake": "1000 * k"}, off_tie=True) + " FROM v",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     t = _table(spark, sf).withColumn("margin_pct", F.col("margin") * 100)
-    return rounded(t, ["match_id", "model", "outcome", "positive_ev"], ["price", "implied", "margin_pct", "fair", "prob", "ev", "kelly_pct", "kelly_stake"])
+    return rounded(t, ["match_id", "model", "outcome", "positive_ev"], ["price", "implied", "margin_pct", "fair", "prob", "ev", "kelly_pct", "kelly_stake"], off_tie=True)
 
 
 @query(
@@ -251,7 +251,7 @@ FROM r, (VALUES ('conservative', 0.1), ('moderate', 0.25), ('balanced', 0.5), ('
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     out = bets.kelly_profiles(bets.outcome_rows(_preds(spark, sf)))
-    return rounded(out, ["match_id", "model", "outcome", "profile"], ["stake_share"])
+    return rounded(out, ["match_id", "model", "outcome", "profile"], ["stake_share"], off_tie=True)
 
 
 @query(
@@ -260,11 +260,11 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     MP
     + _ROWS
     + """, k AS (SELECT *, prob * price - 1 AS ev, CASE WHEN prob * price > 1 THEN least((prob * price - 1) / (price - 1), 1) ELSE 0 END AS k FROM r)
-SELECT match_id, model, outcome, round(ev, 6) AS ev, round(least(k * 0.25, 1) + 1e-10, 6) AS kelly_stake, ev > 0.03 AND prob >= 0.35 AND k > 0 AS recommended FROM k""",
+SELECT match_id, model, outcome, round(ev + sign(ev) * 1e-10, 6) AS ev, round(least(k * 0.25, 1) + 1e-10, 6) AS kelly_stake, ev > 0.03 AND prob >= 0.35 AND k > 0 AS recommended FROM k""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     out = bets.recommendations(bets.outcome_rows(_preds(spark, sf)), 0.25, 0.03, 0.35)
-    return rounded(out, ["match_id", "model", "outcome", "recommended"], ["ev", "kelly_stake"])
+    return rounded(out, ["match_id", "model", "outcome", "recommended"], ["ev", "kelly_stake"], off_tie=True)
 
 
 _STAKE = {
@@ -407,13 +407,13 @@ def _curve(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "backtest_kelly",
     "8.17 8.18 8.19 8.20",
-    MP + _COMP + "SELECT match_id, model, outcome, st AS status, " + rsql({"bankroll_before_rel": "ln(bb)", "stake_rel": "stake / bb", "bankroll_after_rel": "ln(ba)", "drawdown_pct": "(peak - ba) / peak * 100"}, 5) + " FROM e",
+    MP + _COMP + "SELECT match_id, model, outcome, st AS status, " + rsql({"bankroll_before_rel": "ln(bb)", "stake_rel": "stake / bb", "bankroll_after_rel": "ln(ba)", "drawdown_pct": "(peak - ba) / peak * 100"}, 5, off_tie=True) + " FROM e",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     out = _curve(spark, sf).withColumns(
         {"bankroll_before_rel": F.log("bankroll_before"), "stake_rel": F.col("stake") / F.col("bankroll_before"), "bankroll_after_rel": F.log("bankroll_after")}
     )
-    return rounded(out, ["match_id", "model", "outcome", "status"], ["bankroll_before_rel", "stake_rel", "bankroll_after_rel", "drawdown_pct"], 5)
+    return rounded(out, ["match_id", "model", "outcome", "status"], ["bankroll_before_rel", "stake_rel", "bankroll_after_rel", "drawdown_pct"], 5, off_tie=True)
 
 
 @query(

@@ -419,14 +419,14 @@ def _min2(e: str, keys: str, w: int) -> str:
 def _market_sql(metrics: dict[str, str]) -> str:
     cols = {f"rolling_{m}_{w}": _min2(e, "team", w) for m, e in metrics.items() for w in (5, 10, 20)}
     cols |= {f"cumavg_{m}": f"avg({e}) {_all_past('team')}" for m, e in metrics.items()}
-    return TGW + f"SELECT match_id, team, is_home, {rsql(cols)} FROM team_games"
+    return TGW + f"SELECT match_id, team, is_home, {rsql(cols, off_tie=True)} FROM team_games"
 
 
 def _market_rolling(spark: SparkSession, sf: str, metrics: dict[str, str]) -> DataFrame:
     from touchline.operators.market_features import market_rolling
 
     out = market_rolling(form.team_game_log(inputs.matches(spark, sf)), metrics)
-    return rounded(out, TG, [c for c in out.columns if c.startswith(("rolling_", "cumavg_"))])
+    return rounded(out, TG, [c for c in out.columns if c.startswith(("rolling_", "cumavg_"))], off_tie=True)
 
 
 @query("over_under_rolling", "5.23", _market_sql(_OU))
