@@ -24,6 +24,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """The same table, marked for broadcast if its count is at most `rows`; beyond that Spark joins by shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def learnable(doc_id: Column) -> Column:
     """Rows whose labels may be learned from; the fifth of the ids with remainder 0 is held out. A null id is never learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0, F.lit(False))

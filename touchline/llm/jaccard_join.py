@@ -21,13 +21,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.llm.common import bounded_sample, lists, partitions, run_bounds, whole_runs, written
+from touchline.llm.common import bounded_sample, lists, partitions, run_bounds, small, whole_runs, written
 from touchline.llm.components import components
 from touchline.llm.shingles import shingle_sets
 from touchline.llm.signature_tree import bitmap, links
 
-ORDER_SAMPLE = 20_000  # documents from which frequent tokens are listed
-FREQUENT = 8  # documents of that sample that hold a frequent token, at least
+ORDER_SAMPLE = 50_000  # documents from which frequent tokens are listed
+FREQUENT = 3  # documents of that sample that hold a frequent token, at least
+LISTED = 1_000_000  # frequent tokens, at most
+BROADCAST = 1_000_000  # rows of ids that are sent to all executors, at most; beyond, joins shuffle
 BLOCK = 1024  # members of a unit
 CENTRES = 32
 FIRST = 4  # smallest tokens in step 2
@@ -37,7 +39,7 @@ _SKETCH = "id long, n int, print string, first array<long>, prefix array<long>,
 
 
 def _frequent_tokens(docs: DataFrame, k: int) -> np.ndarray:
-    """Tokens of FREQUENT or more of the sampled distinct texts; at most the sample's tokens / FREQUENT."""
+    """Tokens of FREQUENT or more of the sampled distinct texts, the LISTED most frequent. They only set an order; no result hangs on them."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -45,8 +47,8 @@ def _frequent_tokens(docs: DataFrame, k: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(s)], names=["token"])
 
     sample = bounded_sample(docs, "id", ORDER_SAMPLE).select("text").distinct()
-    rows = sample.mapInArrow(tokens, "token long").groupBy("token").count().where(F.col("count") >= FREQUENT).select("token").collect()
-    return np.sort(np.array([r.token for r in rows], np.int64))
+    counts = sample.mapInArrow(tokens, "token long").groupBy("token").count().where(F.col("count") >= FREQUENT)
+    return np.sort(counts.orderBy(F.desc("count"), "token").limit(LISTED).select("token").toArrow().column("token").to_numpy())
 
 
 def _sketches(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
@@ -146,9 +148,9 @@ def _exact(k: int, percent: int):
 
 
 def _compare(docs: DataFrame, units: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links inside units by the sets themselves."""
+    """Links inside units by the sets themselves; only the texts of their members are moved, unless these are too many to be listed."""
     spark = docs.sparkSession
-    rows = docs.join(units, "id").select("unit", "id", "label", "text")
+    rows = docs.join(small(written(units, "units"), BROADCAST), "id").select("unit", "id", "label", "text")
     rows = rows.repartition(partitions(spark), "unit").sortWithinPartitions("unit", "id")
     return rows.mapInArrow(_exact(k, percent), "a long, b long")
 
@@ -168,12 +170,14 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     full = sketch.where("id is not null and print is not null")
     twins = full.groupBy("print").agg(F.min("id").alias("rep"))
-    mixed = full.groupBy("id").agg(F.min("print").alias("low"), F.max("print").alias("high")).where("low <> high").select("id")
-    several = full.join(mixed, "id", "left_semi").join(twins, "print").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    reps = written(
-        full.groupBy("print").agg(F.min_by(F.struct("id", "n", "first", "prefix", "bits"), "id").alias("x")).select("x.*"),
-        "representatives",
-    )
+    repeated = full.groupBy("id").count().where("count > 1").select("id")
+    if repeated.isEmpty():
+        copies = full.select("id", "print").join(twins, "print").where("id <> rep").select("id")
+        reps, several = full.join(small(written(copies, "copies"), BROADCAST), "id", "left_anti"), None
+    else:
+        columns = ["id", "n", "first", "prefix", "bits"]
+        reps = written(full.groupBy("print").agg(F.min_by(F.struct(*columns), "id").alias("x")).select("x.*"), "representatives")
+        several = full.join(repeated, "id", "left_semi").join(twins, "print").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     sigs = reps.select("id", "n", "bits")
 
     pairs = _early_pairs(reps.select("id", "n", "first"))
@@ -203,7 +207,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rest = cut.join(found, "id", "left").withColumn("label", F.coalesce("label", "id"))
         open_classes = rest.groupBy("class").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("class")
         edges = edges.union(written(_compare(known, _units(written(rest.join(open_classes, "class", "left_semi"), "rest"), ["class"], BLOCK), k, percent), "links"))
-    roots = components(edges.union(several))
+    roots = components(edges if several is None else edges.union(several))
     found = twins.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("print", F.coalesce("root", "rep").alias("component_id"))
     return sketch.join(found, "print", "left").select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 

@@ -1,7 +1,7 @@
 """Signature trees over sets: nodes hold the OR of their members' token bitmaps and the range of their sizes.
 
 Two nodes are searched together only if the overlap that their bitmaps and sizes allow can reach the threshold. A set with n tokens
-has a bitmap of at least 4n bits (a power of two); bitmaps of neighbouring widths are compared after folding the wider one.
+has a bitmap of at least 1.25 n bits (a power of two); bitmaps of neighbouring widths are compared after folding the wider one.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ _CHUNK = 1 << 22
 
 
 def bits_for(n: int) -> int:
-    return max(LEAST_BITS, 1 << (4 * max(n, 1) - 1).bit_length())
+    return max(LEAST_BITS, 1 << (5 * n // 4).bit_length())
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
