@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from touchline.llm import components as components_module
 from touchline.llm import jaccard_join
 from touchline.llm.jaccard_join import jaccard_classes, keep_one
 
@@ -65,6 +66,16 @@ def test_classes_equal_all_pairs(spark, monkeypatch, seed, block):
     assert got == brute(rows)
 
 
+def test_components_in_blocks(spark, monkeypatch):
+    rnd = random.Random(3)
+    edges = [(i, i + 1) for i in range(60)] + [(rnd.randrange(100, 400), rnd.randrange(100, 400)) for _ in range(150)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    one = sorted(map(tuple, components_module.components(df).collect()))
+    monkeypatch.setattr(components_module, "BLOCK", 80)
+    assert sorted(map(tuple, components_module.components(df).collect())) == one
+    assert dict(one)[60] == 0
+
+
 def test_long_texts_and_empty_table(spark):
     words = [f"v{i}" for i in range(20_000)]
     rows = [(1, " ".join(words)), (2, " ".join(words[:-3000])), (3, " ".join(words[:14_000])), (4, " ".join(reversed(words)))]

@@ -107,3 +107,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(33))
     x = x * np.uint64(0xC4CEB9FE1A85EC53)
     return x ^ (x >> np.uint64(33))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, column: str, rows: int) -> DataFrame:
+    """`text` and `label` (double) of about `rows` labelled documents that may be learned from; the largest label of a repeated id.
+
+    Labels of no document, null labels and null ids are left out. The sample is bounded, so it is sent to the documents.
+    """
+    known = labels.where(learnable(F.col("doc_id")) & F.col(column).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max(column).cast("double").alias("label"))
+    picked = F.broadcast(bounded_sample(known, "__id", rows))
+    texts = docs.select(F.col("doc_id").cast("long").alias("__id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return texts.join(picked, "__id")

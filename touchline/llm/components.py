@@ -1,4 +1,4 @@
-"""Connected components of an edge table by smallest labels and pointer jumping."""
+"""Connected components of an edge table: blocks of edges are contracted to stars, then labels spread between the stars."""
 
 from __future__ import annotations
 
@@ -9,35 +9,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.llm.common import written
 from touchline.sources.shared import cut_lineage
 
+BLOCK = 1_000_000  # edges that one task contracts, about
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges of a batch as stars around the smallest id of each part; connects the same ids with fewer edges."""
-    for batch in batches:
-        a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-        ids, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
-        low = np.arange(len(ids))
-        x, y = codes[: len(a)], codes[len(a) :]
-        while True:
-            before = low.copy()
-            m = np.minimum(low[x], low[y])
-            np.minimum.at(low, x, m)
-            np.minimum.at(low, y, m)
-            low = low[low]
-            if (low == before).all():
-                break
-        own = low != np.arange(len(ids))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[low[own]])], names=["a", "b"])
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges of a task as (id, root) rows: root is the smallest id that these edges reach from id; roots themselves included."""
+    held = list(batches)
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    a, b = table.column("a").to_numpy(), table.column("b").to_numpy()
+    ids, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
+    low, x, y = np.arange(len(ids)), codes[: len(a)], codes[len(a) :]
+    while True:
+        m = np.minimum(low[x], low[y])
+        new = low.copy()
+        for at in (x, y, low[x], low[y]):
+            np.minimum.at(new, at, m)
+        new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[low])], names=["id", "root"])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) edges of long ids -> (id, root) for every id on an edge; root is the smallest id that can be reached.
 
-    Each round takes the smallest label among neighbours and then the label of that label, so long chains end in few rounds.
+    One block of edges is settled by its contraction. With more, each round takes the smallest label among neighbours and then the
+    label of that label, so long chains end in few rounds.
     """
-    edges = edges.select("a", "b").where("a <> b").mapInArrow(_forest, "a long, b long")
-    both = cut_lineage(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    edges = written(edges.select("a", "b").where("a <> b"), "edges")
+    blocks = -(-edges.count() // BLOCK)
+    stars = written(edges.coalesce(max(1, blocks)).mapInArrow(_stars, "id long, root long"), "stars")
+    if blocks <= 1:
+        return stars
+    tied = stars.select(F.col("id").alias("a"), F.col("root").alias("b"))
+    both = cut_lineage(tied.union(tied.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut_lineage(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("n")).select("id", F.least("id", "n").alias("root")))
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
