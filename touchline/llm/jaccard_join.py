@@ -215,6 +215,6 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of the smallest id of each class; rows with a null id stay, and one row of a repeated id."""
     gone = classes.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    kept = docs.join(small(written(gone, "gone"), BROADCAST), docs[id_col].cast("long") == F.col("__gone"), "left_anti")
     ids = classes.where("doc_id is not null").select("doc_id").groupBy("doc_id").count().where("count > 1")
     return kept if ids.isEmpty() else kept.where(F.col(id_col).isNull()).unionByName(kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))

@@ -5,9 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from touchline.llm.exact_topk import exact_topk
+from touchline.llm.html_text import extract_pages
 from touchline.llm.jaccard_join import jaccard_classes
 from touchline.llm.language_id import identify_languages
+from touchline.llm.merge_dropout import round_trips
+from touchline.llm.packing import pack_documents
+from touchline.llm.permutation_index import nearest
 from touchline.llm.quality import quality
 from touchline.llm.secrets import secret_spans
 from touchline.llm.toxicity import toxicity
@@ -25,12 +31,50 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest integer inner products of every twentieth vector."""
+    return exact_topk(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+ORACLES["op1_exact_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 @_query
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by error-correcting output codes."""
     return identify_languages(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by wrapper induction."""
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
+@_query
+def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeded merge-dropout ids of every document, digested, and whether they decode to its text."""
+    return round_trips(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest found for every fiftieth vector by a permutation index."""
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 @_query
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document by patterns and guess cost."""
@@ -49,7 +93,30 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+@_query
+def op9_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of 1024 ids by lexical neighbours."""
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near duplicates of every document (five words, Jaccard 0.75)."""
     return jaccard_classes(_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op10_jaccard_join"] = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS ws
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' ')) END) AS sh
+  FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)
+), e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), r(doc_id, root) AS (SELECT doc_id, doc_id FROM w UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.doc_id)
+SELECT r.doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(r.root) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id
+"""

@@ -113,9 +113,11 @@ def _probabilities(chain: Chain, column: pa.Array) -> np.ndarray:
     return out
 
 
-def score_toxicity(docs: DataFrame, chain: Chain, keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def score_toxicity(docs: DataFrame, chain: Chain, keep: list[str] | None = None, threshold: float = THRESHOLD, prefix: str = "") -> DataFrame:
     """Columns `keep` with a probability per category (p_<name>), `score` (that of the last category) and `toxic` of every whole text.
 
+    `prefix` is put before the names of the added columns, where `keep` holds names like theirs.
+
     A null or empty text gets the scores of a text without words. Rows are independent; other columns are not looked at.
     """
     keep = ["doc_id"] if keep is None else keep
@@ -127,9 +129,9 @@ def score_toxicity(docs: DataFrame, chain: Chain, keep: list[str] | None = None,
             rest = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*rest, *(pa.array(p[:, i]) for i in range(p.shape[1])), pa.array(p[:, -1]), pa.array(p[:, -1] >= threshold)], names=[*batch.schema.names[:-1], *added])
 
-    added = [*(f"p_{n}" for n in chain.names), "score", "toxic"]
+    added = [prefix + c for c in (*(f"p_{n}" for n in chain.names), "score", "toxic")]
     rows = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), *(f"`{c}` {'boolean' if c == 'toxic' else 'double'}" for c in added)])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), *(f"`{c}` {'boolean' if c == added[-1] else 'double'}" for c in added)])
     return rows.mapInArrow(score, schema)
 
 
