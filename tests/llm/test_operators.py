@@ -26,7 +26,7 @@ def vecs(spark):
     rnd = np.random.default_rng(5)
     centres = rnd.normal(size=(6, 16))
     rows = [(i, [float(x) for x in (centres[i % 6] + rnd.normal(size=16)) / 4], "x") for i in range(600)]
-    rows += [(601, None, "x"), (620, [float("nan")] * 16, "x"), (640, [None] * 16, "x"), (660, [], "x"), (None, [1.0] * 16, "x"), (680, [0.0] * 16, "x"), (5, rows[5][1], "x"), (700, rows[20][1], "y"), (701, rows[20][1], "y"), (40, [1.0, 2.0], "z"), (800, [3.0, 4.0], "z")]
+    rows += [(601, None, "x"), (620, [float("nan")] * 16, "x"), (640, [None] * 16, "x"), (660, [], "x"), (None, [1.0] * 16, "x"), (680, [0.0] * 16, "x"), (5, rows[5][1], "x"), (700, rows[20][1], "y"), (701, rows[20][1], "y"), (810, [1.0, 2.0], "z"), (820, [2.0, 2.0], "z"), (800, [3.0, 4.0], "z")]
     return rows, spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
 
 
