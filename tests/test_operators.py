@@ -103,3 +103,46 @@ def test_score_markets_sum_to_one(spark):
     df = spark.createDataFrame([(1.4, 1.1), (0.3, 2.2)], "lam double, mu double")
     for r in G.with_score_markets(df, "lam", "mu", 0.1).collect():
         assert math.isclose(r["home_win"] + r["draw"] + r["away_win"], 1.0) and 0 < r["over_2_5"] < 1
+
+
+def test_reachable_goes_all_the_way(spark):
+    from touchline.operators.versions import reachable
+
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(15)], "parent string, child string")
+    rows = reachable(edges, spark.createDataFrame([("n0",)], "node string")).collect()
+    assert sorted((r.depth, r.node) for r in rows) == [(i, f"n{i}") for i in range(1, 16)]
+
+
+def test_time_folds_never_train_on_later_rows(spark):
+    from touchline.operators.learning import time_folds
+
+    data = spark.createDataFrame([(i, i // 4) for i in range(16)], "day int, fold int")
+    folds = time_folds(data, "fold")
+    assert len(folds) == 3
+    for past, now in folds:
+        assert max(r.day for r in past.collect()) < min(r.day for r in now.collect())
+
+
+def test_quantiles_equal_sorted_values(spark):
+    import random
+
+    from touchline.operators.quantiles import exact_quantiles
+
+    rnd = random.Random(1)
+    values = [rnd.gauss(0, 1) for _ in range(4000)] + [5.0] * 300 + [1e9, -1e9]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    s = sorted(values)
+    for p, got in zip((0.0, 0.1, 0.5, 0.99, 1.0), exact_quantiles(df, "x", [0.0, 0.1, 0.5, 0.99, 1.0]), strict=True):
+        at = p * (len(s) - 1)
+        lo = int(at)
+        assert abs(got - (s[lo] + (s[min(lo + 1, len(s) - 1)] - s[lo]) * (at - lo))) < 1e-9
+
+
+def test_closing_odds_keeps_rows_without_prices(spark):
+    from touchline.sources.tabular import closing_odds, closing_pair
+
+    df = spark.createDataFrame([(1, "2.0"), (2, None)], "match_id int, over string")
+    out = closing_odds(df)
+    assert out.count() == 2 and "closing_source" in out.columns
+    paired = closing_pair(df.withColumn("under", F.lit("1.8")), "over", [("over", "under")])
+    assert {r.match_id: r.closing_over_yes for r in paired.collect()} == {1: 2.0, 2: None}

@@ -82,8 +82,8 @@ def with_score_markets(
     grid = F.array(
         *[
             F.struct((h[i] * a[j] + (d[(i, j)] if (i, j) in d else F.lit(0.0))).alias("p"), F.lit(-i).alias("i"), F.lit(-j).alias("j"))
-            for i in range(min(n, 8))
-            for j in range(min(n, 8))
+            for i in range(n)
+            for j in range(n)
         ]
     )
     out["_best"] = F.array_max(grid)

@@ -110,7 +110,15 @@ def clean(df: DataFrame, rules: CleanRules) -> DataFrame:
     elif rules.fill == "mean":
         means = {c: out.agg(F.avg(c)).scalar() for c in cols}
         out = out.withColumns({c: F.coalesce(F.col(c), means[c]) for c in cols})
-    return out.dropDuplicates(list(rules.unique_by)) if rules.unique_by else out
+    return smallest_of(out, list(rules.unique_by)) if rules.unique_by else out
+
+
+def smallest_of(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key the row that comes first in the order of its other columns (nulls first); the same row on every run."""
+    others = [c for c in df.columns if c not in keys]
+    if not others:
+        return df.distinct()
+    return df.groupBy(*keys).agg(F.min(F.struct(*others)).alias("_r")).select(*keys, "_r.*").select(*df.columns)
 
 
 def dedupe_most_complete(df: DataFrame, keys: list[str], newest: str) -> DataFrame:

@@ -77,16 +77,20 @@ def confusion(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys, "result", pick().alias("predicted")).agg(F.count("*").alias("n"))
 
 
-def roc_auc(df: DataFrame, prob: str, label: str, keys: list[str], digits: int = 6) -> DataFrame:
-    """Area under the ROC curve from counts per probability value (rounded), ties counted half.
+def roc_auc(df: DataFrame, prob: str, label: str, keys: list[str], blocks: int = 4096) -> DataFrame:
+    """Area under the ROC curve from counts per exact probability value, ties counted half.
 
-    Probabilities are rounded first, so the running sums see at most 10^digits rows per key.
+    Running sums go over blocks of values first and then within each block, so no task sorts all values of a key.
     """
     from pyspark.sql import Window
 
-    per = df.groupBy(*keys, F.round(prob, digits).alias("_p")).agg(F.sum(F.col(label).cast("long")).alias("_pos"), F.sum(1 - F.col(label).cast("long")).alias("_neg"))
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    out = per.withColumn("_below", F.coalesce(F.sum("_neg").over(w), F.lit(0)))
+    per = df.groupBy(*keys, F.col(prob).alias("_p")).agg(F.sum(F.col(label).cast("long")).alias("_pos"), F.sum(1 - F.col(label).cast("long")).alias("_neg"))
+    per = per.withColumn("_b", F.floor(F.col("_p") * blocks))
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    base = per.groupBy(*keys, "_b").agg(F.sum("_neg").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    w = Window.partitionBy(*keys, "_b").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    out = per.join(base.withColumnsRenamed({k: f"_k_{k}" for k in keys} | {"_b": "_kb"}), reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col(f"_k_{k}")), keys, F.col("_b").eqNullSafe(F.col("_kb"))))
+    out = out.withColumn("_below", F.col("_base") + F.coalesce(F.sum("_neg").over(w), F.lit(0)))
     pairs = F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2))
     return out.groupBy(*keys).agg(F.try_divide(pairs, F.sum("_pos").cast("double") * F.sum("_neg")).alias("auc"))
 
@@ -150,27 +154,17 @@ def apply_platt(p: Column, curve: tuple[float, float]) -> Column:
     return 1 / (1 + F.exp(-(F.lit(curve[0]) * logit(p) + curve[1])))
 
 
-def isotonic(df: DataFrame, prob: str, label: str, digits: int = 4):  # noqa: ANN201
-    """Fit a non-decreasing step curve; rows are first averaged per rounded probability.
-
-    The weighted fit on averages equals the fit on rows with those probabilities, and its input
-    has at most 10^digits rows. Returns [(probability, value)].
-    """
+def isotonic(df: DataFrame, prob: str, label: str):  # noqa: ANN201
+    """Fitted non-decreasing curve; rows are first averaged per exact probability, which leaves the fit as it is."""
     from pyspark.ml.regression import IsotonicRegression
 
-    per = df.groupBy(F.round(prob, digits).alias("features")).agg(F.avg(F.col(label).cast("double")).alias("label"), F.count("*").cast("double").alias("weight"))
-    model = IsotonicRegression(weightCol="weight").fit(per)
-    return list(zip([float(v) for v in model.boundaries], [float(v) for v in model.predictions], strict=True))
+    per = df.groupBy(F.col(prob).alias("features")).agg(F.avg(F.col(label).cast("double")).alias("label"), F.count("*").cast("double").alias("weight"))
+    return IsotonicRegression(weightCol="weight").fit(per)
 
 
-def apply_isotonic(p: Column, curve: list[tuple[float, float]]) -> Column:
-    """Linear interpolation between the fitted points, constant beyond the ends."""
-    points = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in curve])
-    left = F.filter(points, lambda q: q["x"] <= p)
-    right = F.filter(points, lambda q: q["x"] > p)
-    a, b = F.get(left, F.size(left) - 1), F.get(right, F.lit(0))
-    inside = a["y"] + (b["y"] - a["y"]) * (p - a["x"]) / (b["x"] - a["x"])
-    return F.when(F.size(left) == 0, F.lit(curve[0][1])).when(F.size(right) == 0, F.lit(curve[-1][1])).otherwise(inside)
+def apply_isotonic(df: DataFrame, prob: str, model, out: str) -> DataFrame:  # noqa: ANN001
+    """Column `out`: linear interpolation between the fitted points, constant beyond the ends, by the model's own search."""
+    return model.copy({model.featuresCol: prob, model.predictionCol: out}).transform(df)
 
 
 def hybrid(p: Column, iso: Column, sigmoid: Column, tail: float = 0.15, middle_isotonic: float = 0.7) -> Column:
@@ -206,14 +200,16 @@ def calibrate(train: DataFrame, data: DataFrame, method: str) -> DataFrame:
     """Calibrate each class one-vs-rest on `train` and renormalise; method isotonic, platt, hybrid or temperature."""
     if method == "temperature":
         return apply_temperature(data, temperature(train))
-    out = {}
+    out, columns = {}, data.columns
     for k in CLASSES:
         labelled = train.withColumn("_y", is_class(k))
         p = F.col(f"p_{k}")
-        iso = apply_isotonic(p, isotonic(labelled, f"p_{k}", "_y")) if method in ("isotonic", "hybrid") else None
+        iso = F.col(f"_iso_{k}") if method in ("isotonic", "hybrid") else None
+        if iso is not None:
+            data = apply_isotonic(data, f"p_{k}", isotonic(labelled, f"p_{k}", "_y"), f"_iso_{k}")
         sig = apply_platt(p, platt(labelled, f"p_{k}", "_y")) if method in ("platt", "hybrid") else None
         out[f"p_{k}"] = hybrid(p, iso, sig) if method == "hybrid" else iso if method == "isotonic" else sig
-    return renormalise(data.withColumns(out), [f"p_{k}" for k in CLASSES])
+    return renormalise(data.withColumns(out).select(*columns), [f"p_{k}" for k in CLASSES])
 
 
 # ---------------------------------------------------------------- blending

@@ -90,7 +90,7 @@ def resolve_names(
     """
 
     def lookup(df: DataFrame, tag: str) -> DataFrame:
-        return df.select(F.lower(F.trim("alias")).alias(f"_{tag}_key"), F.col("canonical").alias(f"_{tag}")).dropDuplicates([f"_{tag}_key"])
+        return df.select(F.lower(F.trim("alias")).alias(f"_{tag}_key"), F.col("canonical").alias(f"_{tag}")).groupBy(f"_{tag}_key").agg(F.min(f"_{tag}").alias(f"_{tag}"))
 
     base = names.select("name").distinct().withColumn("key", F.lower(F.trim("name")))
     stripped = F.trim(F.regexp_replace(F.trim("name"), rf"(?i)\s+({CLUB_WORDS})|\(.*?\)", ""))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.ml import Model, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import Imputer, QuantileDiscretizer, StandardScaler, UnivariateFeatureSelector, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,18 +66,21 @@ def evaluate(scored: DataFrame) -> dict[str, float]:
     }
 
 
-def tune(data: DataFrame, features: list[str], name: str, grid: dict[str, list], fold: str, parallelism: int = 4, classes: int = 3) -> CrossValidatorModel:
-    """Grid search over given fold numbers, so folds can follow time."""
-    est = classifier(name, len(features), None, classes)
-    builder = ParamGridBuilder()
-    for k, values in grid.items():
-        builder = builder.addGrid(est.getParam(k), values)
-    cv = CrossValidator(
-        estimator=Pipeline(stages=[*feature_stages(features, scale=name in ("lr", "mlp")), est]), estimatorParamMaps=builder.build(),
-        evaluator=MulticlassClassificationEvaluator(metricName="logLoss", labelCol="label"), foldCol=fold,
-        numFolds=int(data.agg(F.max(fold)).first()[0]) + 1, parallelism=parallelism,
-    )
-    return cv.fit(data)
+def time_folds(data: DataFrame, fold: str) -> list[tuple[DataFrame, DataFrame]]:
+    """(rows of earlier folds, rows of the fold) for every fold but the first; no training row is later than a scored one."""
+    last = int(data.agg(F.max(fold)).first()[0])
+    return [(data.filter(F.col(fold) < f), data.filter(F.col(fold) == f)) for f in range(1, last + 1)]
+
+
+def tune(data: DataFrame, features: list[str], name: str, grid: dict[str, list], fold: str, classes: int = 3) -> list[tuple[dict[str, float], float]]:
+    """Grid search over folds in time order: each fold is scored by models of the folds before it. (parameters, mean log loss) each."""
+    loss = MulticlassClassificationEvaluator(metricName="logLoss", labelCol="label")
+    out = []
+    for values in product(*grid.values()):
+        params = dict(zip(grid, values, strict=True))
+        scores = [loss.evaluate(train(past, features, name, None, classes, **params).transform(now)) for past, now in time_folds(data, fold)]
+        out.append((params, sum(scores) / len(scores)))
+    return out
 
 
 def out_of_fold(data: DataFrame, features: list[str], names: list[str], fold: str, keep: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -171,18 +172,18 @@ def source_summary(edges: DataFrame) -> DataFrame:
     return edges.groupBy("parent").agg(F.countDistinct("child").alias("features"))
 
 
-def reachable(edges: DataFrame, start: DataFrame, max_depth: int = 10, upstream: bool = False) -> DataFrame:
+def reachable(edges: DataFrame, start: DataFrame, upstream: bool = False) -> DataFrame:
     """Nodes reached from every start node over parent -> child edges, with the smallest depth.
 
-    Each round joins the nodes found last with the edges and keeps new ones; the found set is
-    checkpointed every round so the plan does not grow.
+    Each round joins the nodes found last with the edges and keeps new ones, until there are none; the
+    found set is checkpointed every round so the plan does not grow.
     """
     frm, to = ("child", "parent") if upstream else ("parent", "child")
     steps = edges.select(F.col(frm).alias("node"), F.col(to).alias("next")).distinct()
     seen = start.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth"))
     frontier = seen
     parts = []
-    for d in range(1, max_depth + 1):
+    for d in count(1):
         found = frontier.select("start", "node").join(steps, "node").select("start", F.col("next").alias("node")).distinct()
         fresh = cut_lineage(found.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(d)))
         if fresh.isEmpty():

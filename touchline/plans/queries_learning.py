@@ -217,9 +217,10 @@ def _training(spark: SparkSession, sf: str) -> DataFrame:
     sides = form.to_match_rows(rolled, _FEATURES)
     label = F.when(F.col("result") == "H", 2.0).when(F.col("result") == "D", 1.0).otherwise(0.0)
     base = m.select("match_id", "season", "result", "home_goals", "away_goals", "odds_h", "odds_d", "odds_a", "odds_over", label.alias("label"))
+    first = m.agg(F.min("season")).scalar()
     # Training passes over the table many times, so it is written once.
     return written(
-        base.join(sides, "match_id").withColumn("fold", F.least(F.floor((F.col("season") - 1995) / 3), F.lit(2)).cast("int")), "training"
+        base.join(sides, "match_id").withColumn("fold", F.floor((F.col("season") - first) / 3).cast("int")), "training"
     )
 
 
@@ -252,8 +253,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _(spark: SparkSession, sf: str) -> DataFrame:
     data = _training(spark, sf).select("fold", "label", *_COLS)
     grid = {"regParam": [0.0, 0.1], "elasticNetParam": [0.0, 0.5]}
-    model = learning.tune(data, _COLS, "lr", grid, "fold")
-    rows = [({p.name: float(v) for p, v in m.items()}, float(x)) for m, x in zip(model.getEstimatorParamMaps(), model.avgMetrics, strict=True)]
+    rows = learning.tune(data, _COLS, "lr", grid, "fold")
     return spark.createDataFrame([(r["regParam"], r["elasticNetParam"], round(x, 4)) for r, x in rows], "reg double, mix double, log_loss double")
 
 
@@ -263,8 +263,12 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     names = ["lr", "rf"]
     oof = learning.out_of_fold(data, _COLS, names, "fold", ["match_id", "label", "fold"])
     wide = learning.side_by_side(oof, names, ["match_id", "label", "fold"])
-    meta = learning.stack(oof.filter("fold = 1"), names, ["match_id", "label", "fold"])
-    return learning.score(meta, wide.filter("fold = 2"), ["match_id"]).select("match_id", *[F.round(f"p{i}", 4).alias(f"p{i}") for i in range(3)])
+    out = None
+    for f in range(2, int(data.agg(F.max("fold")).first()[0]) + 1):  # the first fold has no base models, the second no meta model
+        meta = learning.stack(oof.filter(F.col("fold") < f), names, ["match_id", "label", "fold"])
+        part = learning.score(meta, wide.filter(F.col("fold") == f), ["match_id"])
+        out = part if out is None else out.unionByName(part)
+    return out.select("match_id", *[F.round(f"p{i}", 4).alias(f"p{i}") for i in range(3)])
 
 
 @query("poisson_btts", "9.8")
@@ -301,7 +305,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query("select_sequential", "9.28")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     train, test = _train_test(spark, sf)
-    chosen = learning.sequential(train, test, _COLS[:4], 2)
+    chosen = learning.sequential(train, test, _COLS, 2)
     return spark.createDataFrame([(i, c) for i, c in enumerate(chosen, 1)], "place int, feature string")
 
 

@@ -246,12 +246,12 @@ _PCOLS = ["match_id", "league", "home_goals", "odds_h", "match_date"]
     "10.25 10.41",
     MW
     + " UNION ALL ".join(
-        f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS nulls, CAST(min({c}) AS VARCHAR) AS lowest, CAST(max({c}) AS VARCHAR) AS highest FROM matches" for c in _PCOLS if c != "odds_h"
+        f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS \"distinct\", CAST(min({c}) AS VARCHAR) AS lowest, CAST(max({c}) AS VARCHAR) AS highest FROM matches" for c in _PCOLS if c != "odds_h"
     ),
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     m = inputs.matches(spark, sf).select(*[c for c in _PCOLS if c != "odds_h"])
-    return profile.column_summary(m).select("column", "nulls", "lowest", "highest")
+    return profile.column_summary(m).select("column", "nulls", "distinct", "lowest", "highest")
 
 
 @query(

@@ -196,9 +196,10 @@ def upcoming(fixtures: DataFrame) -> DataFrame:
 
 def combine_cups(frames: list[DataFrame]) -> DataFrame:
     """All tournaments in one table, one row per fixture."""
+    from touchline.operators.clean import smallest_of
     from touchline.sources.tabular import union_sources
 
-    return union_sources(frames).dropDuplicates(["season", "match_date", "home_team", "away_team"])
+    return smallest_of(union_sources(frames), ["season", "match_date", "home_team", "away_team"])
 
 
 def match_statistics(df: DataFrame, names: dict[str, tuple[str, str, str]]) -> DataFrame:
@@ -292,7 +293,9 @@ def score_table(cells: DataFrame, key: str) -> DataFrame:
         F.when(goals != "", F.regexp_extract("score", r"^(\d+)", 1).try_cast("int")).alias("home_goals"),
         F.when(goals != "", F.regexp_extract("score", r"(\d+)$", 1).try_cast("int")).alias("away_goals"),
     )
-    return typed.dropDuplicates(["match_date", "home_team", "away_team"])
+    from touchline.operators.clean import smallest_of
+
+    return smallest_of(typed, ["match_date", "home_team", "away_team"])
 
 
 SCORE_DOCUMENT_SCHEMA = (

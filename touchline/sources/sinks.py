@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 
 def write_files(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tuple[str, ...] = ("league", "season"), mode: str = "overwrite") -> None:
-    """Partitioned files; rows are first brought together by partition so each task writes few files."""
+    """Partitioned files; rows are first brought together by partition, and partitions that are large are split by their size."""
     keys = [c for c in partition_by if c in df.columns]
-    out = df.repartition(*keys, F.pmod(F.xxhash64(*df.columns), F.lit(8))) if keys else df
+    out = df.hint("rebalance", *keys) if keys else df
     writer = out.write.mode(mode).partitionBy(*keys) if keys else out.write.mode(mode)
     (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
 

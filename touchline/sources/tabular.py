@@ -110,11 +110,11 @@ def validated_ingest(df: DataFrame, date: str = "match_date") -> DataFrame:
 
 
 def closing_odds(df: DataFrame, triples: list[tuple[str, str, str]] | None = None) -> DataFrame:
-    """Closing odds from the first bookmaker whose three columns exist and are filled in the row."""
+    """Closing odds from the first bookmaker whose three columns exist and are filled in the row; null where there is none."""
     have = set(df.columns)
     usable = [t for t in triples or CLOSING_TRIPLES if set(t) <= have]
     if not usable:
-        return df.select("*", *[F.lit(None).cast("double").alias(c) for c in ("closing_h", "closing_d", "closing_a")]).limit(0)
+        return df.select("*", *[F.lit(None).cast("double").alias(c) for c in ("closing_h", "closing_d", "closing_a")], F.lit(None).cast("string").alias("closing_source"))
     picks = [
         F.when(
             F.col(h).isNotNull() & F.col(d).isNotNull() & F.col(a).isNotNull(),
@@ -128,11 +128,24 @@ def closing_odds(df: DataFrame, triples: list[tuple[str, str, str]] | None = Non
     return df.withColumn("_c", F.coalesce(*picks)).select(*df.columns, "_c.*")
 
 
+def closing_pair(df: DataFrame, market: str, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Closing prices of a market with two outcomes (both score, over and under) from the first pair of columns filled in the row."""
+    names = (f"closing_{market}_yes", f"closing_{market}_no")
+    picks = [
+        F.when(F.col(y).try_cast("double").isNotNull() & F.col(n).try_cast("double").isNotNull(), F.struct(F.col(y).try_cast("double").alias(names[0]), F.col(n).try_cast("double").alias(names[1])))
+        for y, n in pairs
+        if {y, n} <= set(df.columns)
+    ]
+    if not picks:
+        return df.select("*", *[F.lit(None).cast("double").alias(c) for c in names])
+    return df.withColumn("_c", F.coalesce(*picks)).select(*df.columns, *[F.col(f"_c.{c}").alias(c) for c in names])
+
+
 def attach_odds(odds: DataFrame, matches: DataFrame, aliases: DataFrame) -> DataFrame:
     """Odds rows of another source attached to matches by date and mapped team names."""
     out = odds
     for c in ("home_team", "away_team"):
-        a = aliases.select(team_key(F.col("alias")).alias("_alias"), F.col("canonical").alias(f"_{c}")).dropDuplicates(["_alias"])
+        a = aliases.select(team_key(F.col("alias")).alias("_alias"), F.col("canonical").alias(f"_{c}")).groupBy("_alias").agg(F.min(f"_{c}").alias(f"_{c}"))
         out = out.join(a, team_key(F.col(c)) == F.col("_alias"), "left").withColumn(c, F.coalesce(f"_{c}", F.trim(c))).drop("_alias", f"_{c}")
     return out.join(matches.select("match_id", "match_date", "home_team", "away_team"), ["match_date", "home_team", "away_team"])
 
