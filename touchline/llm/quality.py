@@ -18,6 +18,7 @@ from touchline.llm.common import held_out, labelled, written
 
 SAMPLE = 20_000  # labelled rows that trees and weights are fitted on, about
 TREES, DEPTH = 20, 3
+PARTS = 4  # partitions of the bounded sample while models are fitted
 THRESHOLD = 0.3
 STATISTICS = ["chars", "words", "word_length", "capitals", "digits", "marks", "loud", "distinct", "lines", "distinct_lines"]
 
@@ -73,7 +74,7 @@ def _holds(rule: tuple[Bound, ...], stat) -> Column:
 def fit_rules(docs: DataFrame, labels: DataFrame, column: str = "quality", sample: int = SAMPLE) -> Rules:
     """Fit on about `sample` labelled documents; with rows of one class only, or none, the score is the smoothed share of label 1."""
     rows = with_statistics(labelled(docs, labels, column, sample)).select("label", "__stats.*")
-    rows = written(VectorAssembler(inputCols=STATISTICS, outputCol="features").transform(rows), "quality-sample")
+    rows = written(VectorAssembler(inputCols=STATISTICS, outputCol="features").transform(rows), "quality-sample").coalesce(PARTS)
     n = rows.agg(F.count("*").alias("n"), F.sum("label").alias("pos")).first()
     positive = n.pos or 0.0
     prior = Rules([], [], math.log((positive + 0.5) / (n.n - positive + 0.5)))

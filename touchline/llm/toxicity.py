@@ -23,6 +23,7 @@ SAMPLE = 20_000  # labelled rows that the chain is fitted on, about
 VOCABULARY = 2_000
 MIN_Z = 4.0
 FOLDS = 3
+PARTS = 4  # partitions of the bounded sample while models are fitted
 THRESHOLD = 0.5
 #: Words that mark the kinds of insult told apart before the label itself (fixed values).
 CATEGORIES = {"person": ("idiot", "moron", "clown", "fool", "loser"), "contempt": ("worthless", "pathetic", "disgusting", "stupid", "trash")}
@@ -80,7 +81,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, column: str = "toxic", categor
     known = {c: [w for w in ws if w.encode() in chain.index] for c, ws in categories.items()}
     marked = rows.withColumns({f"y{i}": (F.col("label") * F.arrays_overlap("words", F.array(*map(F.lit, known[c]))).cast("double") if known.get(c) else F.lit(0.0)) for i, c in enumerate(categories)}).withColumn(f"y{k - 1}", F.col("label"))
     marked = CountVectorizerModel.from_vocabulary(vocabulary, "words", "x").setBinary(True).transform(marked)
-    marked = written(marked.withColumn("fold", F.pmod(F.xxhash64(F.lit(5), F.col("id")), F.lit(FOLDS))).drop("words", "label"), "toxicity-features")
+    marked = written(marked.withColumn("fold", F.pmod(F.xxhash64(F.lit(5), F.col("id")), F.lit(FOLDS))).drop("words", "label"), "toxicity-features").coalesce(PARTS)
     for i in range(k):
         positive = marked.agg(F.sum(f"y{i}")).first()[0] or 0.0
         if not 0 < positive < total:
@@ -97,7 +98,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, column: str = "toxic", categor
             out = parts[0]
             for part in parts[1:]:
                 out = out.unionByName(part)
-            marked = written(out.withColumn(f"p{i}", vector_to_array("prob")[1]).drop("features", "prob", "raw", "pred"), "toxicity-fold")
+            marked = written(out.withColumn(f"p{i}", vector_to_array("prob")[1]).drop("features", "prob", "raw", "pred"), "toxicity-fold").coalesce(PARTS)
     return chain
 
 
