@@ -81,8 +81,7 @@ class Pieces:
                 x = ((x ^ (x >> 31)) * 0xFF51AFD7ED558CCD) & _MASK
                 return (x >> 32) < self.limit
 
-            if variant is not None and self.limit:
-                after = [None if s is not None and skipped(i) else s for i, s in enumerate(after)]
+            drops = variant is not None and self.limit > 0
             while True:
                 best, at = None, -1
                 for i, s in enumerate(after):
@@ -90,13 +89,15 @@ class Pieces:
                         best, at = s, i
                 if at < 0:
                     break
+                if drops and skipped(at):
+                    after[at] = None
+                    continue
                 parts[at] += parts[at + 1]
                 ends[at] = ends[at + 1]
                 del parts[at + 1], ends[at + 1], after[at]
                 for i in (at - 1, at):
                     if 0 <= i < len(after):
-                        s = scores.get(parts[i] + parts[i + 1])
-                        after[i] = None if s is None or (variant is not None and self.limit and skipped(i)) else s
+                        after[i] = scores.get(parts[i] + parts[i + 1])
         out = []
         for p in parts:
             i = self.ids.get(p)
