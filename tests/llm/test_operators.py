@@ -228,6 +228,17 @@ def test_merge_dropout(spark):
     assert merge_dropout.round_trips(df.where("doc_id < 0")).count() == 0
 
 
+def test_merge_dropout_of_one_long_word():
+    import sentencepiece
+
+    word = "internationalisierung" * 4000
+    path = merge_dropout.vocabulary_path()
+    dropped = merge_dropout.Pieces(path)
+    assert dropped.decode(dropped.encode(word, 3)) == word and len(dropped.encode(word, 3)) > len(dropped.encode(word, None))
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    assert np.frombuffer(dropped.encode(word, None), "<u4").tolist() == model.encode(word)
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 

@@ -12,6 +12,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -66,38 +67,42 @@ class Pieces:
         self.known: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
 
     def merge(self, word: str, variant: int | None) -> list[int]:
-        """Ids of a word; without a variant no merge is skipped."""
-        parts = list(word)
-        n = len(parts)
-        if n > 1 or word not in self.ids:
-            scores = self.scores
-            key = xxhash.xxh3_64_intdigest(word.encode(), self.seed * VARIANTS + variant) if variant is not None else 0
-            ends = list(range(1, n + 1))  # where each part ends
-            after = [scores.get(parts[i] + parts[i + 1]) for i in range(n - 1)]  # scores of merges with the next part
-
-            def skipped(i: int) -> bool:
-                start = ends[i] - len(parts[i])
-                x = (key ^ (start * 0x9E3779B97F4A7C15 + ends[i] * 0xC2B2AE3D27D4EB4F + ends[i + 1] * 0x165667B19E3779F9)) & _MASK
-                x = ((x ^ (x >> 31)) * 0xFF51AFD7ED558CCD) & _MASK
-                return (x >> 32) < self.limit
-
-            drops = variant is not None and self.limit > 0
-            while True:
-                best, at = None, -1
-                for i, s in enumerate(after):
-                    if s is not None and (best is None or s > best):
-                        best, at = s, i
-                if at < 0:
-                    break
-                if drops and skipped(at):
-                    after[at] = None
+        """Ids of a word; without a variant no merge is skipped.
+
+        The agenda is a heap of (-score, start, middle, end). An entry is out of date once one of its two parts has been merged away.
+        """
+        n = len(word)
+        ends = list(range(1, n + 1))  # where the part that starts here ends; 0 where none starts
+        before = list(range(-1, n - 1))  # start of the part before
+        if n > 1:
+            scores, limit = self.scores, self.limit if variant is not None else 0
+            key = xxhash.xxh3_64_intdigest(word.encode(), self.seed * VARIANTS + variant) if limit else 0
+            agenda = [(-s, i, i + 1, i + 2) for i in range(n - 1) if (s := scores.get(word[i : i + 2])) is not None]
+            heapify(agenda)
+            while agenda:
+                _, start, middle, end = heappop(agenda)
+                if ends[start] != middle or ends[middle] != end:
                     continue
-                parts[at] += parts[at + 1]
-                ends[at] = ends[at + 1]
-                del parts[at + 1], ends[at + 1], after[at]
-                for i in (at - 1, at):
-                    if 0 <= i < len(after):
-                        after[i] = scores.get(parts[i] + parts[i + 1])
+                if limit:
+                    x = (key ^ (start * 0x9E3779B97F4A7C15 + middle * 0xC2B2AE3D27D4EB4F + end * 0x165667B19E3779F9)) & _MASK
+                    x = ((x ^ (x >> 31)) * 0xFF51AFD7ED558CCD) & _MASK
+                    if (x >> 32) < limit:
+                        continue
+                ends[start], ends[middle] = end, 0
+                if end < n:
+                    before[end] = start
+                    s = scores.get(word[start : ends[end]])
+                    if s is not None:
+                        heappush(agenda, (-s, start, end, ends[end]))
+                if start:
+                    left = before[start]
+                    s = scores.get(word[left:end])
+                    if s is not None:
+                        heappush(agenda, (-s, left, start, end))
+        parts, at = [], 0
+        while at < n:
+            parts.append(word[at : ends[at]])
+            at = ends[at]
         out = []
         for p in parts:
             i = self.ids.get(p)
