@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 SPACE = "▁"  # stands for a space in pieces
 DROPOUT, SEED = 0.1, 42
 VARIANTS = 3  # segmentations of a word that the documents draw from
-_CACHED = 150_000
+_CACHED = 300_000  # words of each variant kept by a Python worker
 _MASK = (1 << 64) - 1
+_START, _RANK = 10, 42  # bits of an entry of the agenda: length below, then start, then rank
+_LENGTH, _PLACES = (1 << _START) - 1, (1 << (_RANK - _START)) - 1
 _MARKS = ".,;:!?|%&*$#()[]{}<>\"'/\\=+~^`@-_0123456789"
 
 
@@ -45,7 +47,12 @@ class Pieces:
         names = [model.id_to_piece(i) for i in range(n)]
         plain = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.ids = {names[i]: i for i in plain}
-        self.scores = {names[i]: model.get_score(i) for i in plain}
+        scores = {names[i]: model.get_score(i) for i in plain}
+        order = {x: r for r, x in enumerate(sorted(set(scores.values()), reverse=True))}
+        if max(map(len, scores)) > _LENGTH:
+            raise ValueError(f"this needs pieces of at most {_LENGTH} characters")
+        # best score first; adding a shifted start gives an entry of the agenda
+        self.entry = {x: order[v] << _RANK | len(x) for x, v in scores.items()}
         self.byte = {int(names[i][1:-1], 16): i for i in range(n) if model.is_byte(i)}
         if len(self.byte) < 256 or any(SPACE in x.lstrip(SPACE) or "\n" in x for x in self.ids):
             raise ValueError("this needs byte pieces, and pieces that hold a space at their start only and no line end")
@@ -69,36 +76,34 @@ class Pieces:
     def merge(self, word: str, variant: int | None) -> list[int]:
         """Ids of a word; without a variant no merge is skipped.
 
-        The agenda is a heap of (-score, start, middle, end). An entry is out of date once one of its two parts has been merged away.
+        The agenda is a heap of numbers made of rank, start and length of the merged piece, so the best score comes first and the leftmost
+        among equals. An entry is out of date unless the part at its start and the next part have that length together.
         """
         n = len(word)
         ends = list(range(1, n + 1))  # where the part that starts here ends; 0 where none starts
-        before = list(range(-1, n - 1))  # start of the part before
         if n > 1:
-            scores, limit = self.scores, self.limit if variant is not None else 0
+            entry, limit = self.entry.get, self.limit if variant is not None else 0
             key = xxhash.xxh3_64_intdigest(word.encode(), self.seed * VARIANTS + variant) if limit else 0
-            agenda = [(-s, i, i + 1, i + 2) for i in range(n - 1) if (s := scores.get(word[i : i + 2])) is not None]
+            before = list(range(-1, n - 1))  # start of the part before
+            agenda = [e + (i << _START) for i in range(n - 1) if (e := entry(word[i : i + 2])) is not None]
             heapify(agenda)
             while agenda:
-                _, start, middle, end = heappop(agenda)
-                if ends[start] != middle or ends[middle] != end:
+                e = heappop(agenda)
+                start = e >> _START & _PLACES
+                middle, end = ends[start], start + (e & _LENGTH)
+                if not middle or middle >= end or ends[middle] != end:
                     continue
                 if limit:
                     x = (key ^ (start * 0x9E3779B97F4A7C15 + middle * 0xC2B2AE3D27D4EB4F + end * 0x165667B19E3779F9)) & _MASK
-                    x = ((x ^ (x >> 31)) * 0xFF51AFD7ED558CCD) & _MASK
-                    if (x >> 32) < limit:
+                    if ((x ^ (x >> 31)) * 0xFF51AFD7ED558CCD & _MASK) >> 32 < limit:
                         continue
                 ends[start], ends[middle] = end, 0
                 if end < n:
                     before[end] = start
-                    s = scores.get(word[start : ends[end]])
-                    if s is not None:
-                        heappush(agenda, (-s, start, end, ends[end]))
-                if start:
-                    left = before[start]
-                    s = scores.get(word[left:end])
-                    if s is not None:
-                        heappush(agenda, (-s, left, start, end))
+                    if (e := entry(word[start : ends[end]])) is not None:
+                        heappush(agenda, e + (start << _START))
+                if start and (e := entry(word[before[start] : end])) is not None:
+                    heappush(agenda, e + (before[start] << _START))
         parts, at = [], 0
         while at < n:
             parts.append(word[at : ends[at]])
