@@ -13,6 +13,7 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -85,7 +86,7 @@ class Pieces:
             entry, limit = self.entry.get, self.limit if variant is not None else 0
             key = xxhash.xxh3_64_intdigest(word.encode(), self.seed * VARIANTS + variant) if limit else 0
             before = list(range(-1, n - 1))  # start of the part before
-            agenda = [e + (i << _START) for i in range(n - 1) if (e := entry(word[i : i + 2])) is not None]
+            agenda = [e + (i << _START) for i, e in enumerate(map(entry, map(add, word, word[1:]))) if e is not None]
             heapify(agenda)
             while agenda:
                 e = heappop(agenda)
@@ -108,6 +109,9 @@ class Pieces:
         while at < n:
             parts.append(word[at : ends[at]])
             at = ends[at]
+        out = list(map(self.ids.get, parts))
+        if None not in out:
+            return out
         out = []
         for p in parts:
             i = self.ids.get(p)
