@@ -239,6 +239,17 @@ def test_merge_dropout_of_one_long_word():
     assert np.frombuffer(dropped.encode(word, None), "<u4").tolist() == model.encode(word)
 
 
+def test_merge_dropout_of_many_words_is_that_of_each():
+    rnd = random.Random(9)
+    path = merge_dropout.vocabulary_path()
+    for dropout in (0.0, 0.1, 0.6):
+        dropped = merge_dropout.Pieces(path, dropout)
+        made = ["".join(rnd.choice("abcdeinorstuß é😀\x00 日.") for _ in range(rnd.randrange(1, 14))) for _ in range(3000)]
+        words = [(merge_dropout.SPACE + w.replace(" ", ""), rnd.randrange(merge_dropout.VARIANTS)) for w in made] + [("\n", 1), ("abc", 0), (merge_dropout.SPACE * 2 + "ab", 2)]
+        assert dropped._new_words(words) == [dropped._word(w, v) for w, v in words]
+        assert dropped._new_words(words[:3]) == [dropped._word(w, v) for w, v in words[:3]]
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 

@@ -24,7 +24,10 @@ from pyspark.sql import functions as F
 SPACE = "▁"  # stands for a space in pieces
 DROPOUT, SEED = 0.1, 42
 VARIANTS = 3  # segmentations of a word that the documents draw from
-_CACHED = 300_000  # words of each variant kept by a Python worker
+_CACHED = 300_000  # words of each variant kept by a Python worker, about
+_CHUNK = 20_000  # words of a text that are looked up together
+_FEW = 8  # new words below which each goes through the agenda alone
+_AT_ONCE = 500  # words that the model is given at once
 _MASK = (1 << 64) - 1
 _START, _RANK = 10, 42  # bits of an entry of the agenda: length below, then start, then rank
 _LENGTH, _PLACES = (1 << _START) - 1, (1 << (_RANK - _START)) - 1
@@ -73,9 +76,15 @@ class Pieces:
         self.words = re.compile(f"[{SPACE}{cut}]*[^{SPACE}{cut}\n]+|[{SPACE}{cut}]+|\n")
         self.limit, self.seed = int(dropout * (1 << 32)), seed
         self.known: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
+        self.model, self.names = model, names
+        self.length = np.array([len(x) for x in names])
+        self.opens = np.array([x.startswith(SPACE) for x in names])
+        self.first = np.full(n, -1)  # where the merges of a piece begin in `taken`; -1 before the piece is met
+        self.count = np.zeros(n, np.int64)
+        self.taken = array("q", [0, 0, 0])
 
-    def merge(self, word: str, variant: int | None) -> list[int]:
-        """Ids of a word; without a variant no merge is skipped.
+    def merge(self, word: str, variant: int | None, taken: array | None = None) -> list[int]:
+        """Ids of a word; without a variant no merge is skipped, and `taken` gets the merges (start, middle, end).
 
         The agenda is a heap of numbers made of rank, start and length of the merged piece, so the best score comes first and the leftmost
         among equals. An entry is out of date unless the part at its start and the next part have that length together.
@@ -98,6 +107,8 @@ class Pieces:
                     x = (key ^ (start * 0x9E3779B97F4A7C15 + middle * 0xC2B2AE3D27D4EB4F + end * 0x165667B19E3779F9)) & _MASK
                     if ((x ^ (x >> 31)) * 0xFF51AFD7ED558CCD & _MASK) >> 32 < limit:
                         continue
+                elif taken is not None:
+                    taken.extend((start, middle, end))
                 ends[start], ends[middle] = end, 0
                 if end < n:
                     before[end] = start
@@ -121,6 +132,52 @@ class Pieces:
     def _word(self, word: str, variant: int | None) -> bytes:
         return array("I", self.merge(word, variant)).tobytes()
 
+    def _merges(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The merges that make these pieces, as rows of (start, middle, end) within the word, and the place in `ids` of each."""
+        for i in np.unique(ids[self.first[ids] < 0]).tolist():
+            self.first[i] = len(self.taken) // 3
+            self.merge(self.names[i], None, self.taken)
+            self.count[i] = len(self.taken) // 3 - self.first[i]
+        n = self.count[ids]
+        owner = np.repeat(np.arange(len(ids)), n)
+        at = np.arange(len(owner)) + np.repeat(self.first[ids] - np.cumsum(n) + n, n)
+        return np.frombuffer(self.taken, np.int64).reshape(-1, 3)[at], owner
+
+    def _new_words(self, words: list[tuple[str, int]]) -> list[bytes]:
+        """Ids of words with their variants.
+
+        The agenda takes the same merges as without dropout up to the first that is skipped. So a word of which no merge of the plain
+        segmentation is skipped keeps that segmentation; the others go through the agenda. The model gives the plain segmentations of
+        many words at once, and the merges inside a piece are those of the piece alone, as no merge across its ends is taken.
+        """
+        out: list[bytes | None] = [None] * len(words)
+        fit = [i for i, (w, _) in enumerate(words) if len(w) > 1 and w[0] == SPACE and not w.rfind(SPACE)]
+        if len(fit) >= _FEW:
+            texts = [words[i][0] for i in fit]
+            coded: list[int] = []
+            for a in range(0, len(texts), _AT_ONCE):
+                coded += self.model.encode("".join(texts[a : a + _AT_ONCE])[1:].replace(SPACE, " "))
+            ids = np.array(coded, np.int64)
+            starts = np.flatnonzero(self.opens[ids])
+            if len(starts) == len(fit) and not starts[0]:
+                bounds = [*starts.tolist(), len(ids)]
+                names = list(map(self.names.__getitem__, coded))
+                same = "".join(names) == "".join(texts)
+                owner = np.repeat(np.arange(len(fit)), np.diff(bounds))  # word of each piece
+                place = np.cumsum(self.length[ids]) - self.length[ids]
+                place -= place[starts][owner]
+                merges, piece = self._merges(ids)
+                start, middle, end = (merges + place[piece][:, None]).astype(np.uint64).T
+                keys = np.array([xxhash.xxh3_64_intdigest(w.encode(), self.seed * VARIANTS + v) for w, v in [words[i] for i in fit]], np.uint64)
+                x = keys[owner[piece]] ^ (start * np.uint64(0x9E3779B97F4A7C15) + middle * np.uint64(0xC2B2AE3D27D4EB4F) + end * np.uint64(0x165667B19E3779F9))
+                skipped = np.zeros(len(fit), bool)
+                skipped[owner[piece][(x ^ (x >> np.uint64(31))) * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(32) < np.uint64(self.limit)]] = True
+                raw = ids.astype("<u4").tobytes()
+                for i, gone, a, b in zip(fit, skipped.tolist(), bounds, bounds[1:]):
+                    if not gone and (same or "".join(names[a:b]) == words[i][0]):
+                        out[i] = raw[4 * a : 4 * b]
+        return [x if x is not None else self._word(w, v) for x, (w, v) in zip(out, words, strict=True)]
+
     def encode(self, text: str, key: int | None) -> bytes:
         """Ids as little-endian unsigned 32-bit bytes. `key` draws the variants; without one no merge is skipped. Empty text, no ids."""
         if not text:
@@ -131,14 +188,21 @@ class Pieces:
         if key is None:
             return b"".join([self._word(w, None) for w in words])
         draws = ((np.arange(len(words), dtype=np.uint64) + np.uint64(key)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(VARIANTS)
-        out, known = [], self.known
-        for w, v in zip(words, draws.tolist(), strict=True):
-            ids = known[v].get(w)
-            if ids is None:
-                if len(known[v]) >= _CACHED:
-                    known[v].clear()
-                ids = known[v][w] = self._word(w, v)
-            out.append(ids)
+        out, drawn, known = [], draws.tolist(), self.known
+        for a in range(0, len(words), _CHUNK):
+            part, variants = words[a : a + _CHUNK], drawn[a : a + _CHUNK]
+            for cache in known:
+                if len(cache) >= _CACHED:
+                    cache.clear()
+            found = [known[v].get(w) for w, v in zip(part, variants)]
+            if None in found:
+                places = [i for i, ids in enumerate(found) if ids is None]
+                new = list({(part[i], variants[i]): None for i in places})
+                for (w, v), ids in zip(new, self._new_words(new), strict=True):
+                    known[v][w] = ids
+                for i in places:
+                    found[i] = known[variants[i]][part[i]]
+            out += found
         return b"".join(out)
 
     def _odd(self, text: str, key: int | None) -> bytes:
