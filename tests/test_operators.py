@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from touchline.functions import goals as G
 from touchline.functions import text
 from touchline.operators import bets, joins, quantiles, ratings
-from touchline.operators.windows import Expanding, Previous, Trailing, with_asof, with_ewm
+from touchline.operators.form import with_expected_goals
+from touchline.operators.windows import Expanding, Previous, Trailing, pick_unit, with_asof, with_decayed_means, with_ewm
 from touchline.plans import inputs
+from touchline.streaming import live
 
 DAY = dt.date(2020, 1, 1)
 
@@ -146,3 +148,51 @@ def test_closing_odds_keeps_rows_without_prices(spark):
     assert out.count() == 2 and "closing_source" in out.columns
     paired = closing_pair(df.withColumn("under", F.lit("1.8")), "over", [("over", "under")])
     assert {r.match_id: r.closing_over_yes for r in paired.collect()} == {1: 2.0, 2: None}
+
+
+def test_decayed_means_do_not_overflow_or_depend_on_gaps(spark):
+    """Short half-lives over long series, segments of any length, and a key that rests for decades."""
+    rows = [("a" if i % 3 else "b", DAY + dt.timedelta(days=i * 37 + (9000 if i > 50 else 0)), i, float((i * 7) % 11)) for i in range(80)]
+    df = spark.createDataFrame(rows, "k string, d date, i int, v double")
+    for halflife, span in ((1.0, 366), (7.0, 5), (180.0, 31), (0.0, 31)):
+        got = {r["i"]: r["x"] for r in with_decayed_means(df, ["k"], ["d", "i"], {"x": F.col("v")}, halflife, span).collect()}
+        for k, d, i, _v in rows:
+            past = [(dd, v) for kk, dd, j, v in rows if kk == k and j < i]
+            if not past:
+                assert got[i] is None
+                continue
+            last = max(dd for dd, _ in past)
+            w = [(2.0 ** ((dd - last).days / halflife) if halflife else 1.0, v) for dd, v in past]
+            assert math.isclose(got[i], sum(a * v for a, v in w) / sum(a for a, _ in w), rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_blocks_follow_the_counts(spark):
+    df = spark.createDataFrame([("a", DAY + dt.timedelta(days=i // 4)) for i in range(400)], "k string, d date")
+    assert [pick_unit(df, ["k"], "d", "year", n) for n in (400, 399, 200, 30, 4, 1)] == ["year", "quarter", "month", "week", "day", "day"]
+
+
+def test_expected_goal_columns(spark):
+    df = spark.createDataFrame([(1, 0.5, 1.5)], "i int, H_xG double, XGAWAY double")
+    named, known = with_expected_goals(df)
+    assert known and named.columns == ["i", "home_xg", "away_xg"]
+    empty, known = with_expected_goals(df.drop("XGAWAY"))
+    assert not known and empty.select("home_xg", "away_xg").first() == (0.0, 0.0)
+
+
+def test_late_and_repeated_snapshots(spark, tmp_path):
+    """The log keeps everything, the cycle drops repeats, and a late snapshot is flagged without changing the state."""
+    at = dt.datetime(2020, 1, 1, 12)
+    schema = "match_key long, outcome string, snapshot_id long, ts timestamp, odds double"
+    waves = [[(1, "H", 1, 10, 2.0), (1, "H", 3, 30, 2.2)], [(1, "H", 2, 20, 9.0), (1, "H", 3, 30, 2.2)], [(1, "H", 4, 40, 3.3)]]
+    for n, wave in enumerate(waves):
+        rows = [(m, o, s, at + dt.timedelta(seconds=t), odds) for m, o, s, t, odds in wave]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in{n}"))
+    stream = live.read_stream(spark, f"{tmp_path}/in*", schema, files_per_batch=1)
+    moves = {(r.snapshot_id, r.batch): r for r in live.run_to_table(live.movement(live.deduplicated(stream, ["snapshot_id"])), "moves").collect()}
+    by_id = {s: r for (s, _), r in moves.items()}
+    assert len(moves) == 4 and [s for s, r in by_id.items() if r.late] == [2] and by_id[2].live_clv is None
+    assert math.isclose(by_id[3].live_clv, 0.1) and math.isclose(by_id[4].live_clv, 0.5) and by_id[1].live_clv == 0
+    predictions = spark.createDataFrame([(1, "H", 0.6, 0.1)], "match_key long, outcome string, prob double, spread double")
+    live.run_cycle(stream, predictions, f"{tmp_path}/out", ["snapshot_id"])
+    assert spark.read.parquet(f"{tmp_path}/out/log").count() == 5
+    assert spark.read.parquet(f"{tmp_path}/out/predictions").count() == 4

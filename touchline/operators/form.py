@@ -73,6 +73,23 @@ def team_game_log(matches: DataFrame) -> DataFrame:
     return matches.select(F.explode(F.array(side("home", "away", "H"), side("away", "home", "A"))).alias("g")).select("g.*")
 
 
+# Names of expected-goal columns, best first (fixed values).
+XG_HOME = ("home_xg", "xg_home", "xghome", "h_xg", "hxg")
+XG_AWAY = ("away_xg", "xg_away", "xgaway", "a_xg", "axg")
+
+
+def with_expected_goals(matches: DataFrame, placeholder: float | None = 0.0) -> tuple[DataFrame, bool]:
+    """`home_xg` and `away_xg` from the first column of a known name, whatever its case; else the placeholder.
+
+    The flag tells whether both were found; one alone does not count.
+    """
+    at = {c.lower(): c for c in matches.columns}
+    found = [next((at[n] for n in names if n in at), None) for names in (XG_HOME, XG_AWAY)]
+    if None not in found:
+        return matches.withColumnsRenamed({found[0]: "home_xg", found[1]: "away_xg"}), True
+    return matches.withColumns({c: F.lit(placeholder).cast("double") for c in ("home_xg", "away_xg")}), False
+
+
 def match_points(result: Column, win: str) -> Column:
     """3 for the side that wins, 1 for a draw, else 0."""
     return F.when(result == win, 3).when(result == "D", 1).otherwise(0)

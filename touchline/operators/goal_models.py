@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import goals as G
 from touchline.operators.clean import recency_weight
-from touchline.operators.windows import Expanding, with_asof
+from touchline.operators.windows import with_decayed_means
 from touchline.operators.form import ORDER
 
 
@@ -108,42 +108,33 @@ def score_table(rated: DataFrame, rho: Column | float = 0.0, max_goals: int = 6,
     )
 
 
-def poisson_as_of(matches: DataFrame, halflife_days: float = 180.0, pool: str | None = None, unit: str = "year") -> DataFrame:
-    """Attack and defence strengths and goal rates before each match from decayed sums.
+def poisson_as_of(matches: DataFrame, halflife_days: float = 180.0, pool: str | None = None) -> DataFrame:
+    """Attack and defence strengths and goal rates before each match from means that fade by 2^(-days / halflife).
 
-    Sums that fade by 2^(-days / halflife) keep their ratio when every term is written with weight
-    2^(day / halflife), so they are plain running sums; teams and pools run over calendar blocks.
+    Teams and pools run over segments of days, a week of a pool at a time.
     """
-    day = F.datediff("match_date", F.lit("1970-01-01").cast("date"))
-    grow = F.pow(F.lit(2.0), day / halflife_days) if halflife_days > 0 else F.lit(1.0)
     base = matches.select(
         (F.col(pool).cast("string") if pool else F.lit("all")).alias("pool"), "match_date", "match_id", "home_team", "away_team",
         F.coalesce("home_goals", F.lit(0)).alias("hg"), F.coalesce("away_goals", F.lit(0)).alias("ag"),
-    ).withColumn("_w", grow)
-    w = F.col("_w")
-    league = with_asof(
-        base, ["pool"], ORDER,
-        {"_lh": Expanding(w * F.col("hg"), "sum"), "_la": Expanding(w * F.col("ag"), "sum"), "_lw": Expanding(w, "sum")}, "month",
     )
+    league = with_decayed_means(base, ["pool"], ORDER, {"_lh": F.col("hg"), "_la": F.col("ag")}, halflife_days, 7)
     sides = F.explode(
         F.array(
             F.struct(F.col("home_team").alias("team"), F.col("hg").alias("s"), F.col("ag").alias("c"), F.lit("h").alias("side")),
             F.struct(F.col("away_team").alias("team"), F.col("ag").alias("s"), F.col("hg").alias("c"), F.lit("a").alias("side")),
         )
     )
-    team = with_asof(
-        base.select("pool", "match_date", "match_id", "_w", sides.alias("g")).select("pool", "match_date", "match_id", "_w", "g.*"),
-        ["pool", "team"], ORDER,
-        {"_s": Expanding(w * F.col("s"), "sum"), "_c": Expanding(w * F.col("c"), "sum"), "_t": Expanding(w, "sum")}, unit,
+    team = with_decayed_means(
+        base.select("pool", "match_date", "match_id", sides.alias("g")).select("pool", "match_date", "match_id", "g.*"),
+        ["pool", "team"], ORDER, {"_s": F.col("s"), "_c": F.col("c")}, halflife_days,
     )
 
     def of(side: str, c: str) -> Column:
-        return F.max(F.when(F.col("side") == side, F.try_divide(c, "_t")))
+        return F.max(F.when(F.col("side") == side, F.col(c)))
 
     per_match = team.groupBy("match_id").agg(of("h", "_s").alias("_hs"), of("h", "_c").alias("_hc"), of("a", "_s").alias("_as"), of("a", "_c").alias("_ac"))
     out = league.join(per_match, "match_id")
-    mh, ma = F.coalesce(F.try_divide("_lh", "_lw"), F.lit(0.0)), F.coalesce(F.try_divide("_la", "_lw"), F.lit(0.0))
-    out = out.withColumns({"_mh": mh, "_ma": ma}).withColumn("_mu", (F.col("_mh") + F.col("_ma")) / 2)
+    out = out.withColumns({"_mh": F.coalesce("_lh", F.lit(0.0)), "_ma": F.coalesce("_la", F.lit(0.0))}).withColumn("_mu", (F.col("_mh") + F.col("_ma")) / 2)
 
     def strength(c: str) -> Column:
         return F.when((F.col("_mu") > 0) & F.col(c).isNotNull(), F.col(c) / F.col("_mu")).otherwise(1.0)

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from touchline.functions.text import team_key
 from touchline.operators.clean import CLUB_WORDS
@@ -134,26 +130,25 @@ def resolve_columns(df: DataFrame, columns: list[str], aliases: DataFrame, overr
     return out
 
 
-@F.pandas_udf(T.StructType([T.StructField("name", T.StringType()), T.StructField("ratio", T.DoubleType())]))
-def _closest(names: pd.Series, candidates: pd.Series) -> pd.DataFrame:
-    best = []
-    for name, options in zip(names, candidates, strict=True):
-        scored = [(difflib.SequenceMatcher(None, name.lower(), o.lower()).ratio(), o) for o in sorted(options)]
-        ratio, option = max(scored, key=lambda s: s[0], default=(0.0, None))
-        best.append((option, ratio))
-    return pd.DataFrame(best, columns=["name", "ratio"])
-
-
 def most_similar_names(names: DataFrame, candidates: DataFrame, group: str, threshold: float = 0.6) -> DataFrame:
-    """Most similar candidate of the same group (a league's feed), when the ratio reaches the threshold.
+    """Most similar candidate of the same group (a league's feed), when the similarity reaches the threshold (above 0).
 
-    Names and candidates are made distinct first; a group holds one league's team names.
+    Similarity is 1 - edit distance / longer length, case left aside; the smaller name wins ties. Two names so similar share that part of
+    the letters of the longer one, so the first letters of both in any one order share one of them; pairs meet by an equi join on these.
     """
-    options = candidates.groupBy(group).agg(F.collect_set("name").alias("_options"))
-    scored = names.select(group, "name").distinct().join(options, group).withColumn("_best", _closest("name", "_options"))
-    return scored.filter(F.col("_best.ratio") >= threshold).select(
-        group, "name", F.col("_best.name").alias("matched"), F.col("_best.ratio").alias("ratio")
-    )
+
+    def letters(df: DataFrame, alias: str) -> DataFrame:
+        rows = df.select(group, "name").distinct().filter(F.length("name") > 0)
+        rows = rows.select(group, F.col("name").alias(alias), F.length("name").alias("_n"), F.split(F.lower("name"), "").alias("_each"))
+        numbered = F.transform("_each", lambda c, i: F.xxhash64(c, F.size(F.filter(F.slice("_each", F.lit(1), i + 1), lambda o: o == c))))
+        keep = F.col("_n") - F.ceil(F.col("_n") * threshold - 1e-9).cast("int") + 1
+        return rows.withColumn("_mixed", F.sort_array(numbered)).select(group, alias, F.explode(F.slice("_mixed", F.lit(1), keep)).alias("_letter"))
+
+    pairs = letters(names, "name").join(letters(candidates, "_option"), [group, "_letter"]).select(group, "name", "_option").distinct()
+    longer = F.greatest(F.length("name"), F.length("_option"))
+    ratio = 1 - F.levenshtein(F.lower("name"), F.lower("_option")) / longer
+    best = pairs.withColumn("_ratio", ratio).filter(F.col("_ratio") >= threshold).groupBy(group, "name").agg(F.min(F.struct((-F.col("_ratio")).alias("r"), F.col("_option").alias("o"))).alias("_b"))
+    return best.select(group, "name", F.col("_b.o").alias("matched"), (-F.col("_b.r")).alias("ratio"))
 
 
 # ---------------------------------------------------------------- keys and new rows

@@ -5,6 +5,9 @@ series is cut into calendar blocks. The rows of a block get what they need of th
 extra rows: the last `w` earlier rows for trailing frames, and one row of totals for frames that
 reach back to the start. The window then runs on (key, block), so a key that holds a large share
 of all rows is spread over as many tasks as it has blocks, and the result is the same.
+
+The input is written once to the shared folder, since rows and carried rows both come from it; so
+a chain of such calls evaluates its source once. Blocks are cut finer where the counts ask for it.
 """
 
 from __future__ import annotations
@@ -14,7 +17,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from touchline.sources.shared import written
+
 UNITS = ("year", "quarter", "month", "week", "day")
+MAX_ROWS = 5_000_000  # rows of a key in one block, at most, down to blocks of one day
 
 
 @dataclass(frozen=True)
@@ -46,14 +52,16 @@ class Previous:
 Feature = Trailing | Expanding | Previous
 
 
-def pick_unit(df: DataFrame, keys: list[str], date: str, max_rows: int = 5_000_000) -> str:
-    """Coarsest calendar unit at which no (key, block) holds more than `max_rows` rows."""
+def pick_unit(df: DataFrame, keys: list[str], date: str, coarsest: str = "year", max_rows: int = MAX_ROWS) -> str:
+    """Coarsest calendar unit, from `coarsest` on, at which no (key, block) holds more than `max_rows` rows."""
+    if df.count() <= max_rows:
+        return coarsest
+    units = UNITS[UNITS.index(coarsest) :]
     daily = df.groupBy(*keys, F.to_date(date).alias("_day")).agg(F.count("*").alias("_n"))
-    for unit in UNITS[:-1]:
-        per_block = daily.groupBy(*keys, F.date_trunc(unit, "_day").alias("_b")).agg(F.sum("_n").alias("_n"))
-        if (per_block.agg(F.max("_n")).first()[0] or 0) <= max_rows:
-            return unit
-    return UNITS[-1]
+    cuts = F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), block_of("_day", u).alias("start")) for u in units]))
+    per_block = daily.select(*keys, "_n", cuts.alias("_cut")).groupBy(*keys, "_cut").agg(F.sum("_n").alias("_n"))
+    most = {r["unit"]: r["n"] for r in per_block.groupBy("_cut.unit").agg(F.max("_n").alias("n")).collect()}
+    return next((u for u in units if most.get(u, 0) <= max_rows), units[-1])
 
 
 def block_of(date: str, unit: str) -> Column:
@@ -71,13 +79,14 @@ def with_asof(
     """Add one column per feature, computed from rows strictly earlier in `order` within `keys`.
 
     `order[0]` is the date that gives the block, unless `block` (non-decreasing in `order`) is
-    given; `order` as a whole must be a total order per key.
+    given; `order` as a whole must be a total order per key. `unit` is the coarsest block used.
     """
     names = list(features)
     feats = [features[n] for n in names]
-    base = df.withColumn("_block", block_of(order[0], unit) if block is None else block)
-    for i, f in enumerate(feats):
-        base = base.withColumn(f"_v{i}", f.value)
+    base = df if block is None else df.withColumn("_block", block)
+    base = written(base.withColumns({f"_v{i}": f.value for i, f in enumerate(feats)}), "series")
+    if block is None:
+        base = base.withColumn("_block", block_of(order[0], pick_unit(base, keys, order[0], unit)))
 
     trailing = [i for i, f in enumerate(feats) if not isinstance(f, Expanding)]
     expanding = [i for i, f in enumerate(feats) if isinstance(f, Expanding)]
@@ -178,10 +187,9 @@ def with_ewm(
     """
     segment_rows = int(40 * min(h for _, h in values.values())) + 1
     reach = int(60 * max(h for _, h in values.values())) + 1
-    base = df.withColumn("_block", block_of(order[0], unit))
     ids = list(values)
-    for i, n in enumerate(ids):
-        base = base.withColumn(f"_v{i}", values[n][0].cast("double"))
+    base = written(df.withColumns({f"_v{i}": values[n][0].cast("double") for i, n in enumerate(ids)}), "series")
+    base = base.withColumn("_block", block_of(order[0], pick_unit(base, keys, order[0], unit)))
     w = Window.partitionBy(*keys, "_block").orderBy(*order)
     base = base.withColumn("_i", F.row_number().over(w) - 1).withColumn(
         "_seg", F.floor(F.col("_i") / segment_rows)
@@ -225,6 +233,62 @@ def with_ewm(
     return out.select(*df.columns, *cols)
 
 
+def with_decayed_means(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    values: dict[str, Column],
+    halflife_days: float,
+    block_days: int = 366,
+) -> DataFrame:
+    """Mean of earlier rows of the key, a row's weight halved every `halflife_days`; equal weights if that is not positive.
+
+    `order[0]` is a date. The days are cut into segments of `block_days` at most, and of 40 halflives at
+    most, and weights are counted from the start of a segment; so no weight is larger than 2^40, and a
+    segment takes over the sums of earlier ones on the scale of the last of them. A mean is a ratio of
+    two sums on the same scale, so it does not depend on how long ago the last row was. Null without earlier rows.
+    """
+    fades = halflife_days > 0
+    span = max(1, min(block_days, int(40 * halflife_days))) if fades else block_days
+    ids = list(values)
+    base = df.withColumns({f"_v{i}": values[n].cast("double") for i, n in enumerate(ids)})
+    base = written(base.withColumn("_day", F.datediff(order[0], F.lit("1970-01-01").cast("date"))), "series")
+    base = base.withColumn("_seg", F.floor(F.col("_day") / span))
+
+    def grow(days: Column) -> Column:
+        return F.pow(F.lit(2.0), days / float(halflife_days)) if fades else F.lit(1.0)
+
+    base = base.withColumn("_w", grow(F.col("_day") - F.col("_seg") * span))
+    weighted = {f"_s{i}": F.col("_w") * F.col(f"_v{i}") for i in range(len(ids))}
+    weighted |= {f"_n{i}": F.when(F.col(f"_v{i}").isNotNull(), F.col("_w")) for i in range(len(ids))}
+    seg = base.groupBy(*keys, "_seg").agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(n) for n, c in weighted.items()])
+    reach = int(60 * halflife_days / span) + 1 if fades else None
+    before = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding if reach is None else -reach, -1)
+    if fades:
+        last = F.element_at("_past", -1)["_seg"]
+
+        def carried(name: str) -> Column:
+            return F.aggregate("_past", F.lit(0.0), lambda acc, p: acc + p[name] * grow((p["_seg"] - last) * span))
+
+        past = seg.withColumn("_past", F.collect_list(F.struct("_seg", *weighted)).over(before)).filter(F.size("_past") > 0)
+        carry = past.select(*keys, "_seg", last.alias("_last"), *[carried(n).alias(f"_c{n}") for n in weighted])
+    else:
+        carry = seg.select(*keys, "_seg", F.col("_seg").alias("_last"), *[F.sum(n).over(before).alias(f"_c{n}") for n in weighted])
+    out = base.join(carry, [*keys, "_seg"], "left")
+    here = Window.partitionBy(*keys, "_seg").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(grow((F.col("_last") - F.col("_seg")) * span), F.lit(0.0))
+
+    def sums(i: int) -> list[Column]:
+        now = [F.coalesce(F.sum(weighted[f"_{t}{i}"]).over(here), F.lit(0.0)) for t in "sn"]
+        return [*now, *[F.coalesce(f"_c_{t}{i}", F.lit(0.0)) for t in "sn"]]
+
+    means = []
+    for i, n in enumerate(ids):
+        s, c, cs, cn = sums(i)
+        means.append(F.when(c > 0, (s + cs * shift) / (c + cn * shift)).otherwise(F.try_divide(cs, cn)).alias(n))
+    return out.select(*df.columns, *means)
+
+
 def with_row_index(df: DataFrame, keys: list[str], order: list[str], name: str = "row_index", unit: str = "month") -> DataFrame:
     """Zero-based position of each row in `order`, per key or (no keys) over the whole frame."""
     by = list(keys) or ["_all"]

@@ -103,37 +103,52 @@ def _main_league(spark: SparkSession, sf: str) -> DataFrame:
     return c.groupBy("team", "season").agg(best).select("team", "season", F.col("b.league").alias("league"))
 
 
-@query(
-    "promotions_by_tier",
-    "4.5 11.11",
-    TGW
-    + _HOME_LEAGUE
-    + """, t AS (SELECT *, CASE league WHEN 'EUROPE' THEN 0 WHEN 'AMERICA' THEN 1 WHEN 'ASIA' THEN 2 ELSE 3 END AS tier FROM ts WHERE league IN ('EUROPE', 'AMERICA', 'ASIA', 'AFRICA')),
+# The same with a league that changes with the season, so teams move.
+_MOVING_LEAGUE = """, ts AS (SELECT DISTINCT team, season, CASE (season + length(team)) % 5 WHEN 0 THEN 'EUROPE' WHEN 1 THEN 'AMERICA' WHEN 2 THEN 'ASIA' WHEN 3 THEN 'AFRICA' ELSE 'MIDDLE EAST' END AS league FROM team_games)"""
+
+
+def _moving_league(spark: SparkSession, sf: str) -> DataFrame:
+    step = (F.col("season") + F.length("team")) % 5
+    league = F.when(step == 0, "EUROPE").when(step == 1, "AMERICA").when(step == 2, "ASIA").when(step == 3, "AFRICA").otherwise("MIDDLE EAST")
+    return inputs.team_games(spark, sf).select("team", "season", league.alias("league")).distinct()
+
+
+_BY_TIER = """, t AS (SELECT *, CASE league WHEN 'EUROPE' THEN 0 WHEN 'AMERICA' THEN 1 WHEN 'ASIA' THEN 2 ELSE 3 END AS tier FROM ts WHERE league IN ('EUROPE', 'AMERICA', 'ASIA', 'AFRICA')),
 n AS (SELECT season, lead(season) OVER (ORDER BY season) AS nxt FROM (SELECT DISTINCT season FROM ts)),
 p AS (SELECT t.*, nxt FROM t JOIN n USING (season) WHERE nxt IS NOT NULL),
 c AS (SELECT t.*, n.season AS before FROM t JOIN n ON n.nxt = t.season)
 SELECT coalesce(c.season, p.nxt) AS season, coalesce(p.season, c.before) AS prev_season, coalesce(c.team, p.team) AS team, c.league, p.league AS prev_league,
  CASE WHEN p.team IS NULL THEN 'joined' WHEN c.team IS NULL THEN 'left' WHEN c.tier < p.tier THEN 'promoted' ELSE 'relegated' END AS move
-FROM c FULL JOIN p ON p.nxt = c.season AND p.team = c.team WHERE p.team IS NULL OR c.team IS NULL OR c.tier <> p.tier""",
-)
+FROM c FULL JOIN p ON p.nxt = c.season AND p.team = c.team WHERE p.team IS NULL OR c.team IS NULL OR c.tier <> p.tier"""
+_JOINED_LEFT = """, n AS (SELECT season, lead(season) OVER (ORDER BY season) AS nxt FROM (SELECT DISTINCT season FROM ts)),
+p AS (SELECT ts.team, ts.league, n.nxt AS season FROM ts JOIN n USING (season) WHERE n.nxt IS NOT NULL),
+c AS (SELECT team, league, season FROM ts WHERE season IN (SELECT nxt FROM n))
+SELECT *, 'joined' AS move FROM (SELECT * FROM c EXCEPT SELECT * FROM p) UNION ALL SELECT *, 'left' FROM (SELECT * FROM p EXCEPT SELECT * FROM c)"""
+_TIERS = {"all": ["EUROPE", "AMERICA", "ASIA", "AFRICA"]}
+
+
+def _joined_left(team_seasons: DataFrame) -> DataFrame:
+    return agg.promotions(team_seasons).select("team", F.coalesce("league", "prev_league").alias("league"), "season", "move")
+
+
+@query("promotions_by_tier", "4.5 11.11", TGW + _HOME_LEAGUE + _BY_TIER)
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    tiers = {"all": ["EUROPE", "AMERICA", "ASIA", "AFRICA"]}
-    return agg.promotions(_main_league(spark, sf), tiers).drop("grp")
+    return agg.promotions(_main_league(spark, sf), _TIERS).drop("grp")
 
 
-@query(
-    "promotions_joined_left",
-    "4.5 11.11",
-    TGW
-    + _HOME_LEAGUE
-    + """, n AS (SELECT season, lead(season) OVER (ORDER BY season) AS nxt FROM (SELECT DISTINCT season FROM ts)),
-p AS (SELECT ts.team, ts.league, n.nxt AS season FROM ts JOIN n USING (season) WHERE n.nxt IS NOT NULL),
-c AS (SELECT team, league, season FROM ts WHERE season IN (SELECT nxt FROM n))
-SELECT *, 'joined' AS move FROM (SELECT * FROM c EXCEPT SELECT * FROM p) UNION ALL SELECT *, 'left' FROM (SELECT * FROM p EXCEPT SELECT * FROM c)""",
-)
+@query("promotions_moving_teams", "4.5 11.11", TGW + _MOVING_LEAGUE + _BY_TIER)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return agg.promotions(_moving_league(spark, sf), _TIERS).drop("grp")
+
+
+@query("promotions_joined_left", "4.5 11.11", TGW + _HOME_LEAGUE + _JOINED_LEFT)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return _joined_left(_main_league(spark, sf))
+
+
+@query("promotions_joined_left_moving_teams", "4.5 11.11", TGW + _MOVING_LEAGUE + _JOINED_LEFT)
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    moves = agg.promotions(_main_league(spark, sf))
-    return moves.select("team", F.coalesce("league", "prev_league").alias("league"), "season", "move")
+    return _joined_left(_moving_league(spark, sf))
 
 
 @query(

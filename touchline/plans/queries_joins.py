@@ -104,11 +104,20 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return joins.resolve_columns(m, ["referee"], aliases, overrides).select("match_id", "referee_normalized", "referee_method")
 
 
-@query("most_similar_names", "3.24")
+@query(
+    "most_similar_names",
+    "3.24",
+    TGW
+    + """, o AS (SELECT DISTINCT league, team FROM team_games), n AS (SELECT league, 'Club ' || upper(team[1]) || lower(team[2:]) AS name FROM o WHERE team NOT LIKE '% %'
+ UNION SELECT league, 'Club ' || array_to_string(list_transform(string_split(team, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') FROM o WHERE team LIKE '% %'),
+s AS (SELECT n.league, name, team AS matched, 1 - levenshtein(lower(name), lower(team)) / CAST(greatest(length(name), length(team)) AS DOUBLE) AS r FROM n JOIN o USING (league))
+SELECT league, name, matched, round(r, 6) AS ratio FROM s WHERE r >= 0.6e0 QUALIFY row_number() OVER (PARTITION BY league, name ORDER BY r DESC, matched) = 1""",
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     log = inputs.team_games(spark, sf)
     names = log.select("league", F.concat(F.lit("Club "), F.initcap("team")).alias("name"))
-    return joins.most_similar_names(names, log.select("league", F.col("team").alias("name")), "league")
+    out = joins.most_similar_names(names, log.select("league", F.col("team").alias("name")), "league")
+    return rounded(out, ["league", "name", "matched"], ["ratio"])
 
 
 @query(

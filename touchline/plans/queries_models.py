@@ -199,23 +199,27 @@ _ASOF = {
 }
 
 
-@query(
-    "poisson_as_of",
-    "5.22",
-    MW
-    + f""", w AS (SELECT *, pow(2e0, datediff('day', DATE '1999-01-01', match_date) / 180e0) AS w FROM matches),
+def _poisson_sql(halflife: int) -> str:
+    return MW + f""", w AS (SELECT *, pow(2e0, datediff('day', DATE '1999-01-01', match_date) / {halflife}e0) AS w FROM matches),
 l AS (SELECT *, coalesce(sum(w * home_goals) {_PP.format(k="'x'")} / sum(w) {_PP.format(k="'x'")}, 0) AS mh, coalesce(sum(w * away_goals) {_PP.format(k="'x'")} / sum(w) {_PP.format(k="'x'")}, 0) AS ma FROM w),
 g AS (SELECT match_id, match_date, home_team AS team, home_goals AS s, away_goals AS c, w, 1 AS h FROM w UNION ALL SELECT match_id, match_date, away_team, away_goals, home_goals, w, 0 FROM w),
 t AS (SELECT match_id, h, sum(w * s) {_PP.format(k="team")} / sum(w) {_PP.format(k="team")} AS s, sum(w * c) {_PP.format(k="team")} / sum(w) {_PP.format(k="team")} AS c FROM g),
 j AS (SELECT l.match_id, mh, ma, CASE WHEN mh + ma > 0 THEN coalesce(th.s / ((mh + ma) / 2), 1) ELSE 1 END AS hs, CASE WHEN mh + ma > 0 THEN coalesce(th.c / ((mh + ma) / 2), 1) ELSE 1 END AS hc,
  CASE WHEN mh + ma > 0 THEN coalesce(ta.s / ((mh + ma) / 2), 1) ELSE 1 END AS ats, CASE WHEN mh + ma > 0 THEN coalesce(ta.c / ((mh + ma) / 2), 1) ELSE 1 END AS ac
  FROM l JOIN t th ON th.match_id = l.match_id AND th.h = 1 JOIN t ta ON ta.match_id = l.match_id AND ta.h = 0)
-SELECT match_id, {rsql(_ASOF)} FROM j""",
-)
+SELECT match_id, {rsql(_ASOF)} FROM j"""
+
+
+@query("poisson_as_of", "5.22", _poisson_sql(180))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(goal_models.poisson_as_of(inputs.matches(spark, sf)), ["match_id"], list(_ASOF))
 
 
+@query("poisson_as_of_short", "5.22", _poisson_sql(7))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(goal_models.poisson_as_of(inputs.matches(spark, sf), 7.0), ["match_id"], list(_ASOF))
+
+
 @query("dixon_coles_fit", "6.12 6.18")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     m = inputs.matches(spark, sf)

@@ -61,7 +61,7 @@ _CYCLE = (
 
 def _cycle(spark: SparkSession, sf: str) -> str:
     root = new_path(spark, "live")
-    live.run_cycle(live.deduplicated(_snapshots(_stream(spark, sf)), ["snapshot_id"]), _predictions(spark, sf), root)
+    live.run_cycle(_snapshots(_stream(spark, sf)), _predictions(spark, sf), root, ["snapshot_id"])
     return root
 
 

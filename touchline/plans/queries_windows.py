@@ -567,3 +567,17 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return folds.groupBy("fold").agg(
         F.count_if(F.col("role") == "train").alias("train_size"), F.count_if(F.col("role") == "val").alias("val_size")
     )
+
+
+@query(
+    "expected_goal_columns",
+    "5.20",
+    MW
+    + "SELECT match_id, round(home_xg, 6) AS home_xg, round(away_xg, 6) AS away_xg, true AS known FROM matches UNION ALL SELECT match_id, 0e0, 0e0, false FROM matches",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    m = inputs.matches(spark, sf)
+    named = m.select("match_id", F.col("home_xg").alias("xG_Home"), F.col("away_xg").alias("AxG"))
+    parts = [form.with_expected_goals(d) for d in (named, m.select("match_id", F.col("home_xg").alias("hxg")))]
+    both = [rounded(d, ["match_id"], ["home_xg", "away_xg"]).withColumn("known", F.lit(known)) for d, known in parts]
+    return both[0].unionByName(both[1])

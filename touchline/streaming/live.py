@@ -1,7 +1,7 @@
 """Live odds: snapshots in, prices against predictions, movement since the last snapshot, limits and alerts out.
 
-Event time is the snapshot time. Snapshots later than the watermark are left out of the state but
-kept by the raw log. All sinks write one folder per micro-batch under its id, so a batch that is
+Event time is the snapshot time. The raw log keeps every snapshot, repeated and late ones too; the
+cycle leaves out repeats and snapshots later than the watermark. All sinks write one folder per micro-batch under its id, so a batch that is
 run again after a failure replaces its own output.
 """
 
@@ -66,7 +66,10 @@ def deduplicated(stream: DataFrame, keys: list[str], time: str = "ts") -> DataFr
 
 
 class _LastOdds(StatefulProcessor):
-    """Keeps the newest odds per match and outcome; emits each snapshot with its movement."""
+    """Keeps the newest odds per match and outcome; emits each snapshot with its movement.
+
+    A snapshot older than the newest one seen is emitted as `late`, without a movement, and leaves the state as it is.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._last = handle.getValueState("last", "odds double, ts timestamp")
@@ -77,19 +80,20 @@ class _LastOdds(StatefulProcessor):
         out = []
         for s in snapshots.itertuples(index=False):
             if at is not None and s.ts < at:
+                out.append((key[0], key[1], s.snapshot_id, s.ts, s.odds, None, True))
                 continue
             move = (s.odds - seen) / seen if seen is not None and seen > 0 else 0.0
-            out.append((key[0], key[1], s.snapshot_id, s.ts, s.odds, move))
+            out.append((key[0], key[1], s.snapshot_id, s.ts, s.odds, move, False))
             seen, at = s.odds, s.ts
-        if out:
+        if at is not None:
             self._last.update((seen, at))
-        yield pd.DataFrame(out, columns=["match_key", "outcome", "snapshot_id", "ts", "odds", "live_clv"])
+        yield pd.DataFrame(out, columns=["match_key", "outcome", "snapshot_id", "ts", "odds", "live_clv", "late"])
 
     def close(self) -> None:
         pass
 
 
-MOVEMENT_SCHEMA = "match_key bigint, outcome string, snapshot_id bigint, ts timestamp, odds double, live_clv double"
+MOVEMENT_SCHEMA = "match_key bigint, outcome string, snapshot_id bigint, ts timestamp, odds double, live_clv double, late boolean"
 
 
 def movement(stream: DataFrame) -> DataFrame:
@@ -122,19 +126,24 @@ def value_only(rows: DataFrame, min_ev: float = 0.02) -> DataFrame:
     return rows.filter(F.col("ev") >= min_ev)
 
 
-def run_cycle(stream: DataFrame, predictions: DataFrame, root: str, min_ev: float = 0.02) -> None:
-    """Per micro-batch: raw log, priced rows, value bets and cycle metrics, each under the batch id."""
+def run_cycle(stream: DataFrame, predictions: DataFrame, root: str, keys: list[str], min_ev: float = 0.02) -> None:
+    """First the raw log of all snapshots; then, without repeats of `keys`, priced rows, value bets and cycle metrics.
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+    Each micro-batch is written under its id.
+    """
+
+    def log(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/log/batch={batch_id}")
-        rows = priced(batch, predictions)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        rows = priced(batch, predictions).persist()
         rows.write.mode("overwrite").parquet(f"{root}/predictions/batch={batch_id}")
         value_only(rows, min_ev).write.mode("overwrite").parquet(f"{root}/value/batch={batch_id}")
         cycle_metrics(rows, min_ev).write.mode("overwrite").parquet(f"{root}/metrics/batch={batch_id}")
-        batch.unpersist()
+        rows.unpersist()
 
-    run_batches(stream, handle)
+    run_batches(stream, log)
+    run_batches(deduplicated(stream, keys), handle)
 
 
 def cycle_metrics(rows: DataFrame, min_ev: float = 0.02) -> DataFrame:
