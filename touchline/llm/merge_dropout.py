@@ -189,12 +189,13 @@ class Pieces:
             return b"".join([self._word(w, None) for w in words])
         draws = ((np.arange(len(words), dtype=np.uint64) + np.uint64(key)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(VARIANTS)
         out, drawn, known = [], draws.tolist(), self.known
+        get = [cache.get for cache in known]
         for a in range(0, len(words), _CHUNK):
             part, variants = words[a : a + _CHUNK], drawn[a : a + _CHUNK]
             for cache in known:
                 if len(cache) >= _CACHED:
                     cache.clear()
-            found = [known[v].get(w) for w, v in zip(part, variants)]
+            found = [get[v](w) for w, v in zip(part, variants)]
             if None in found:
                 places = [i for i, ids in enumerate(found) if ids is None]
                 new = list({(part[i], variants[i]): None for i in places})
