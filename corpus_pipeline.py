@@ -23,7 +23,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold."""
     rules = quality.fit_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.with_statistics(docs).where(quality.compiled(rules) >= quality.THRESHOLD).select(*docs.columns)
+    return quality.keep_good(docs, rules)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -250,6 +250,18 @@ def test_merge_dropout_of_many_words_is_that_of_each():
         assert dropped._new_words(words[:3]) == [dropped._word(w, v) for w, v in words[:3]]
 
 
+def test_quality_filter_keeps_what_the_score_keeps(spark):
+    rnd = random.Random(3)
+    rules = quality.Rules([tuple((rnd.randrange(10), rnd.random() < 0.5, rnd.random() * 3) for _ in range(3)) for _ in range(40)], [rnd.uniform(-1, 1) for _ in range(40)], -0.5)
+    rows = [*enumerate(ODD), *((100 + i, "".join(rnd.choice("ab C1!.\n ") for _ in range(rnd.randrange(200)))) for i in range(200))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("x"))
+    kept = quality.keep_good(docs, rules)
+    want = quality.score_quality(docs, rules).where("predicted = 1")
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in want.collect())
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") < 10
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 

@@ -108,6 +108,15 @@ def score_quality(docs: DataFrame, rules: Rules, threshold: float = THRESHOLD) -
     return with_statistics(docs).withColumn("score", compiled(rules)).withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop("__stats")
 
 
+def keep_good(docs: DataFrame, rules: Rules, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows whose score reaches the threshold, with the columns of `docs`.
+
+    The statistics pass through a generator, so the filter stays above them; pushed below, it would compute them again in every rule.
+    """
+    scored = with_statistics(docs).withColumn("__stats", F.explode(F.array("__stats")))
+    return scored.where(compiled(rules) >= threshold).select(*docs.columns)
+
+
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learn from the labelled rows that may be learned from and score all documents; adds held_out."""
     scored = score_quality(docs.select("doc_id", "text"), fit_rules(docs, labels))
