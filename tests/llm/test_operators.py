@@ -295,6 +295,45 @@ def test_packing(spark):
     assert packing.pack_documents(df.where("doc_id < 0")).count() == 0
 
 
+def test_packing_brings_lexical_neighbours_together(spark):
+    rnd = random.Random(6)
+    names = ["".join(rnd.choice("bcdfghjklmnpqrstvwxz") + rnd.choice("aeiou") for _ in range(4)) for _ in range(600)]
+    rows = []
+    for i in range(400):  # twenty documents of each of twenty subjects
+        subject = names[30 * (i % 20) : 30 * (i % 20) + 30]
+        rows.append((i, " ".join(rnd.choice(subject if rnd.random() < 0.5 else ["the", "of", "and", "to", "in"]) for _ in range(60))))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sequences = {}
+    for r in packing.pack_documents(df, shard=25).collect():
+        sequences.setdefault(r.sequence_id, []).append(r.doc_id)
+    pairs = [(a % 20 == b % 20) for ids in sequences.values() for a, b in zip(ids, ids[1:]) if a != b]
+    assert sum(pairs) >= 0.6 * len(pairs)
+
+
+def test_packing_of_a_hot_group_and_of_long_documents(spark):
+    rows = [(i, f"same words in every copy {i % 3}") for i in range(300)] + [(1000 + i, f"zebra{i % 2} quagga " * 10 + "and so on " * 900) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack_documents(df, shard=30).collect()
+    shards = {}
+    for r in got:
+        if r.doc_id < 1000:
+            shards.setdefault(r.sequence_id >> 32, set()).add(r.doc_id)
+    assert max(map(len, shards.values())) <= 90
+    assert sum(r.length for r in got) == sum({r.doc_id: r.doc_tokens for r in got}.values())
+    assert len({r.sequence_id >> 32 for r in got if r.doc_id >= 1000 and r.doc_id % 2 == 0}) == 1
+
+
+def test_bm25_uses_the_counts_of_the_corpus_and_whole_documents():
+    rnd = np.random.default_rng(3)
+    docs = [rnd.integers(0, 30, rnd.integers(1, 60)).astype(np.uint32) for _ in range(25)]
+    df = np.array([sum(t in x for x in docs) for t in range(30)])
+    mean = float(np.mean([len(d) for d in docs]))
+    every, some = packing.Bm25(docs), packing.Bm25(docs[:5], packing.Corpus(25, mean, df))
+    assert some.scores(docs[2]) == pytest.approx(every.scores(docs[2])[:5])
+    rests, known = [np.full(600, t, np.uint32) for t in (1, 2, 3)], [np.array(x, np.uint32) for x in ([1, 7, 7], [2, 8], [3, 7, 7])]
+    assert [d for d, _, _ in next(packing.fill(rests, known=known))] == [0, 2]
+
+
 def test_bm25_equals_plain_sums():
     rnd = np.random.default_rng(1)
     docs = [rnd.integers(0, 30, rnd.integers(1, 60)).astype(np.uint32) for _ in range(25)]

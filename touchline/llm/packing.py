@@ -1,15 +1,18 @@
 """Operator 9: packing of documents into windows by lexical neighbours.
 
-Documents become token ids. Whole windows of a long document stand alone; the rests are dealt to shards by a hash of the id. Each shard
-holds a BM25 inverted index of its rests: a seed is followed by its best unused neighbours until the window is full. The last of them is
-cut and its remainder seeds the next window. The last window of a shard is cut at powers of two, so nothing is padded.
+Documents become token ids. Whole windows of a long document stand alone. The rests are dealt to shards by the terms that whole documents
+share: among its heaviest terms by BM25, the one that is heaviest for most documents. Each shard holds an inverted index of whole documents
+with the counts of the whole corpus: a seed is followed by its best unused neighbours until the window is full. The last of them is cut and
+its remainder seeds the next window. The last window of a shard is cut at powers of two, so nothing is padded.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -17,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import partitions, run_bounds, whole_runs
+from touchline.llm.common import lists, mix, partitions, run_bounds, whole_runs, written
 
 WINDOW = 1024
 SHARD = 2048  # documents of a shard, about
 SEPARATOR = 0
 K1, B = 1.2, 0.75
+HEAVY = 16  # heaviest shared terms of a document, among which its group is chosen
+LEVELS = 3  # terms by which groups are divided before the salt
 #: The split into words of byte-level BPE (a published pattern, fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters whose classes do not change between Unicode versions; texts with others go to the tokenizer's own library.
@@ -69,41 +74,154 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """Whole windows with their checksum, and the rest of each document with its ids."""
+def _coded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Checksums of the whole windows and ids of the rest of each document; distinct ids with counts of documents with both."""
     end = np.array([SEPARATOR], "<u4").tobytes()
     wide = 4 * WINDOW
     for batch in batches:
         texts = batch.column("text").to_pylist()
         for a in range(0, len(texts), 256):
-            out: dict[str, list] = {c: [] for c in ("row", "start", "length", "crc", "tokens", "rest")}
-            for r, text in enumerate(texts[a : a + 256], a):
+            out: dict[str, list] = {c: [] for c in ("tokens", "whole", "rest", "terms", "counts")}
+            for text in texts[a : a + 256]:
                 ids = encoder(path).encode(text) + end
-                n = len(ids) // 4
-                for s in range(0, len(ids), wide):
-                    part = ids[s : s + wide]
-                    whole = len(part) == wide
-                    for c, x in (("row", r), ("start", s // 4), ("length", len(part) // 4), ("crc", zlib.crc32(part) if whole else None), ("tokens", n), ("rest", None if whole else part)):
-                        out[c].append(x)
-            at = pa.array(out["row"], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(at), batch.column("shard").take(at), pa.array(out["start"], pa.int64()), pa.array(out["length"], pa.int64()), pa.array(out["crc"], pa.int64()), pa.array(out["tokens"], pa.int64()), pa.array(out["rest"], pa.binary())],
-                names=["doc_id", "shard", "start", "length", "crc", "tokens", "rest"],
-            )
+                cut = len(ids) // wide * wide
+                terms, counts = np.unique(np.frombuffer(ids, "<u4"), return_counts=True) if cut else (None, None)
+                for c, x in (("tokens", len(ids) // 4), ("whole", [zlib.crc32(ids[s : s + wide]) for s in range(0, cut, wide)]), ("rest", ids[cut:]), ("terms", terms.tobytes() if cut else None), ("counts", counts.astype("<u4").tobytes() if cut else None)):
+                    out[c].append(x)
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
+            rows = batch.slice(a, 256)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("salt"), *(pa.array(x, k) for x, k in zip(out.values(), kinds, strict=True))], names=["doc_id", "salt", *out])
+
+
+def _terms(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct ids and their counts in each whole document."""
+    for rest, terms, counts in zip(*(batch.column(c).to_pylist() for c in ("rest", "terms", "counts")), strict=True):
+        if terms is None:
+            yield np.unique(np.frombuffer(rest, "<u4"), return_counts=True)
+        else:
+            yield np.frombuffer(terms, "<u4"), np.frombuffer(counts, "<u4").astype(np.int64)
+
+
+@dataclass
+class Corpus:
+    """Documents, their mean length, and by term the documents that hold it; at most one entry for each id of the tokenizer."""
+
+    n: int
+    mean: float
+    df: np.ndarray
+
+    @property
+    def idf(self) -> np.ndarray:
+        return np.log1p((self.n - self.df + 0.5) / (self.df + 0.5))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, documents) of a task; term -1 has all documents, -2 all ids."""
+    df, n, total = np.zeros(0, np.int64), 0, 0
+    for batch in batches:
+        n, total = n + batch.num_rows, total + int(batch.column("tokens").to_numpy().sum())
+        found = [t for t, _ in _terms(batch)]
+        if found:
+            more = np.bincount(np.concatenate(found))
+            width = max(len(df), len(more))
+            df = np.pad(df, (0, width - len(df))) + np.pad(more, (0, width - len(more)))
+    at = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1, -2], at]).astype(np.int64)), pa.array(np.concatenate([[n, total], df[at]]).astype(np.int64))], names=["term", "n"])
+
+
+def corpus_counts(coded: DataFrame) -> Corpus:
+    """Counts over all documents of the table."""
+    found = {r.term: r.n for r in coded.select("tokens", "rest", "terms", "counts").mapInArrow(_counted, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    n, total = found.pop(-1, 0), found.pop(-2, 0)
+    df = np.zeros(max(found, default=0) + 1, np.int64)
+    df[list(found)] = list(found.values())
+    return Corpus(n, total / max(n, 1), df)
+
+
+def _weighed(batches: Iterator[pa.RecordBatch], corpus: Corpus) -> Iterator[pa.RecordBatch]:
+    """Adds the heaviest terms of each whole document that other documents hold too."""
+    idf = corpus.idf
+    for batch in batches:
+        heavy = []
+        for (terms, tf), length in zip(_terms(batch), batch.column("tokens").to_pylist(), strict=True):
+            keep = corpus.df[terms] > 1
+            terms, tf = terms[keep], tf[keep]
+            weight = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / corpus.mean))
+            heavy.append(terms[np.argsort(-weight, kind="stable")[:HEAVY]].astype(np.int32))
+        yield pa.RecordBatch.from_arrays([*batch.columns, lists(heavy, pa.int32())], names=[*batch.schema.names, "heavy"])
+
+
+@dataclass
+class Deal:
+    """Groups of documents by the terms they share, and the shard of each group.
+
+    A document's first term is that of its heavy ones which most documents have among theirs; its next terms follow in that order. A group
+    of more documents than a shard is divided by the next term, and after the last by the salt, so a hot group fills many shards.
+    """
+
+    common: np.ndarray
+    bins: dict[tuple[int, ...], int] = field(default_factory=dict)
+    shards: dict[tuple[int, ...], int] = field(default_factory=dict)
+
+    def group(self, heavy: np.ndarray, salt: int) -> tuple[int, ...]:
+        order = heavy[np.lexsort((heavy, -self.common[heavy]))].tolist()
+        out = (order[0] if order else -1,)
+        while out in self.bins:
+            k = len(out)
+            by = (order[k] if k < len(order) else -1) if k < LEVELS else salt
+            out += (int(mix(np.array([by], np.int64).view(np.uint64))[0] % np.uint64(self.bins[out])),)
+        return out
+
+    def groups(self, batch: pa.RecordBatch) -> list[tuple[int, ...]]:
+        heavy = batch.column("heavy")
+        ends, flat = heavy.offsets.to_numpy(), heavy.values.to_numpy()
+        return [self.group(flat[a:b], s) for a, b, s in zip(ends[:-1], ends[1:], batch.column("salt").to_pylist())]
+
+
+def make_deal(weighed: DataFrame, shard: int) -> Deal:
+    """Counts of groups are collected: at most one for each id of the tokenizer, then about two for each shard."""
+    heavy = weighed.select("heavy", "salt")
+    popular = heavy.select(F.explode("heavy").alias("term")).groupBy("term").count().collect()
+    common = np.zeros(max((r["term"] for r in popular), default=0) + 1, np.int64)
+    common[[r["term"] for r in popular]] = [r["count"] for r in popular]
+    deal, sizes = Deal(common), {}
+    for level in range(LEVELS + 1):
+
+        def tally(batches: Iterator[pa.RecordBatch], deal: Deal = deal, level: int = level) -> Iterator[pa.RecordBatch]:
+            seen: Counter = Counter()
+            for batch in batches:
+                seen.update(g for g in deal.groups(batch) if len(g) == level + 1)
+            yield pa.RecordBatch.from_arrays([pa.array([list(g) for g in seen], pa.list_(pa.int64())), pa.array(list(seen.values()), pa.int64())], names=["g", "n"])
+
+        found = {tuple(r.g): r.n for r in heavy.mapInArrow(tally, "g array<long>, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()}
+        hot = {g: -(-n // shard) for g, n in found.items() if n > (2 if level else 1) * shard and level < LEVELS}
+        sizes |= {g: n for g, n in found.items() if g not in hot}
+        if not hot:
+            break
+        deal.bins |= hot
+    at, filled = 0, 0
+    for g in sorted(sizes):
+        if filled and filled + sizes[g] > shard:
+            at, filled = at + 1, 0
+        deal.shards[g] = at
+        filled += sizes[g]
+    return deal
 
 
 class Bm25:
     """Inverted index over token arrays with scores of a query's distinct tokens for all of them."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None):
+        """Counts are those of `corpus`, without one those of the arrays."""
         self.n = len(docs)
         lengths = np.array([len(d) for d in docs])
         width = int(max(d.max(initial=0) for d in docs)) + 1
         pairs, tf = np.unique(np.concatenate([d.astype(np.int64) * self.n + i for i, d in enumerate(docs)]), return_counts=True)
         self.terms, self.docs = pairs // self.n, (pairs % self.n).astype(np.int32)
         df = np.bincount(self.terms, minlength=width)
-        idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * lengths / lengths.mean())
+        corpus = corpus or Corpus(self.n, lengths.mean(), df)
+        idf = corpus.idf
+        norm = K1 * (1 - B + B * lengths / corpus.mean)
         self.weights = idf[self.terms] * tf * (K1 + 1) / (tf + norm[self.docs])
         self.starts = np.concatenate([[0], np.cumsum(df)])
 
@@ -115,11 +233,15 @@ class Bm25:
         return np.bincount(self.docs[at], self.weights[at], minlength=self.n)
 
 
-def fill(docs: list[np.ndarray], window: int = WINDOW) -> Iterator[list[tuple[int, int, int]]]:
-    """Windows as lists of (document, start, length); every id lies in one piece and all windows but the last are full."""
+def fill(docs: list[np.ndarray], window: int = WINDOW, known: list[np.ndarray] | None = None, corpus: Corpus | None = None) -> Iterator[list[tuple[int, int, int]]]:
+    """Windows as lists of (document, start, length); every id lies in one piece and all windows but the last are full.
+
+    `known` has the ids by which each is found, those of its whole document; without it the arrays themselves count.
+    """
     if not docs:
         return
-    index = Bm25(docs)
+    known = docs if known is None else known
+    index = Bm25(known, corpus)
     unused, left, first = np.ones(len(docs), bool), len(docs), 0
     seed, at = -1, 0  # the document that is being cut, and how far it is used
     while left or seed >= 0:
@@ -133,7 +255,7 @@ def fill(docs: list[np.ndarray], window: int = WINDOW) -> Iterator[list[tuple[in
         out, room = [(seed, at, n)], window - n
         asked, (seed, at) = seed, (seed, at + n) if at + n < len(docs[seed]) else (-1, 0)
         if room and left:
-            score = np.where(unused, index.scores(docs[asked]), -1.0)
+            score = np.where(unused, index.scores(known[asked]), -1.0)
             while room and left:
                 best = int(score.argmax())
                 score[best] = -1.0
@@ -163,24 +285,27 @@ def _cut(pieces: list[tuple[int, int, int]], window: int = WINDOW) -> Iterator[l
         yield out
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch], corpus: Corpus) -> Iterator[pa.RecordBatch]:
     for table in whole_runs(batches, "shard"):
         shards = table.column("shard").to_numpy()
         bounds = run_bounds(shards)
         for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             part = table.slice(s, e - s)
-            whole = np.array([x is None for x in part.column("rest").to_pylist()], bool)
-            start, tokens = part.column("start").to_numpy(), part.column("tokens").to_numpy()
-            crc = part.column("crc").to_pylist()
-            rows = [(i, int(start[i]), WINDOW, crc[i], k, 0) for k, i in enumerate(np.flatnonzero(whole).tolist())]
-            rests = np.flatnonzero(~whole).tolist()
-            raw = [part.column("rest")[i].as_py() for i in rests]
-            k = len(rows)
-            for window in fill([np.frombuffer(x, "<u4") for x in raw]):
+            tokens = part.column("tokens").to_numpy()
+            rows, k = [], 0
+            for i, whole in enumerate(part.column("whole").to_pylist()):
+                for w, crc in enumerate(whole):
+                    rows.append((i, w * WINDOW, WINDOW, crc, k, 0))
+                    k += 1
+            raw = part.column("rest").to_pylist()
+            rests = [i for i, x in enumerate(raw) if x]
+            known = [np.repeat(t, n) for t, n in _terms(part)]
+            for window in fill([np.frombuffer(raw[i], "<u4") for i in rests], known=[known[i] for i in rests], corpus=corpus):
                 for seq in [window] if sum(p[2] for p in window) == WINDOW else _cut(window):
                     offset = 0
                     for d, a, n in seq:
-                        rows.append((rests[d], int(start[rests[d]]) + a, n, zlib.crc32(raw[d][4 * a : 4 * (a + n)]), k, offset))
+                        i = rests[d]
+                        rows.append((i, int(tokens[i]) // WINDOW * WINDOW + a, n, zlib.crc32(raw[i][4 * a : 4 * (a + n)]), k, offset))
                         offset += n
                     k += 1
             at, begin, length, check, seq, offset = (np.array(x, np.int64) for x in zip(*rows, strict=True))
@@ -195,13 +320,25 @@ def pack_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_
 
     `path` names the tokenizer's file on every executor. A document is its ids and then id 0; a null or empty text is that id alone. All
     sequences hold 1024 ids, but for those of a shard's last window, whose lengths are powers of two. Repeated rows are packed once
-    each; rows with a null id too. An empty table gives no rows; other columns are ignored.
+    each; rows with a null id too. An empty table gives no rows; other columns are ignored. Ids are written to the shared folder, counted
+    over the whole table and then dealt to shards of about `shard` documents that share terms.
     """
     path = vocabulary_path() if path is None else path
-    shards = max(1, -(-docs.count() // shard))
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(shards)).cast("long"))
-    pieces = rows.mapInArrow(lambda batches: _pieces(batches, path), f"doc_id {kind}, shard long, start long, length long, crc long, tokens long, rest binary")
-    pieces = pieces.repartition(min(shards, max(partitions(docs.sparkSession), 1)), "shard").sortWithinPartitions("shard", "doc_id", "start")
-    return pieces.mapInArrow(_packed, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    rows = rows.withColumn("salt", F.xxhash64("doc_id", "text"))
+    schema = f"doc_id {kind}, salt long, tokens long, whole array<long>, rest binary, terms binary, counts binary"
+    coded = written(rows.mapInArrow(lambda batches: _coded(batches, path), schema), "coded")
+    corpus = corpus_counts(coded)
+    weighed = written(coded.mapInArrow(lambda batches: _weighed(batches, corpus), f"{schema}, heavy array<int>"), "weighed")
+    deal = make_deal(weighed, shard)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shards = pa.array([deal.shards[g] for g in deal.groups(batch)], pa.int64())
+            yield pa.RecordBatch.from_arrays([shards, *batch.columns[:-1]], names=["shard", *batch.schema.names[:-1]])
+
+    shards = max(deal.shards.values(), default=0) + 1
+    pieces = weighed.mapInArrow(dealt, f"shard long, {schema}")
+    pieces = pieces.repartition(min(shards, max(partitions(docs.sparkSession), 1)), "shard").sortWithinPartitions("shard", "doc_id", "salt")
+    return pieces.mapInArrow(lambda batches: _packed(batches, corpus), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
