@@ -295,6 +295,19 @@ def test_packing(spark):
     assert packing.pack_documents(df.where("doc_id < 0")).count() == 0
 
 
+def test_packing_encodes_like_the_tokenizer_by_default(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.vocabulary_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "été<|endoftext|><|endoftext|>日本", "no <|end oftext|> here", "x " * 1500 + "<|endoftext|>"]
+    for t in texts:
+        assert np.frombuffer(packing.encoder(packing.vocabulary_path()).encode(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    assert 50256 in tokenizer.encode(texts[0], add_special_tokens=False).ids
+    for r in packing.pack_documents(spark.createDataFrame(enumerate(texts), "doc_id long, text string")).collect():
+        ids = np.array([*tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids, 0], "<u4")
+        assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+
+
 def test_packing_brings_lexical_neighbours_together(spark):
     rnd = random.Random(6)
     names = ["".join(rnd.choice("bcdfghjklmnpqrstvwxz") + rnd.choice("aeiou") for _ in range(4)) for _ in range(600)]

@@ -49,7 +49,8 @@ def _byte_alphabet() -> dict[str, int]:
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, those of the tokenizer's file.
 
-    The file's ids are merge ranks, so its vocabulary also drives the faster rank encoder for common characters.
+    The file's ids are merge ranks, so its vocabulary also drives the faster rank encoder for common characters. Texts that hold the
+    literal of an added token go to the tokenizer itself, which gives that token's id.
     """
 
     def __init__(self, path: str):
@@ -57,14 +58,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or r"(?!)")
         to = _byte_alphabet()
         ranks = {bytes(to[c] for c in t): i for t, i in self.tokenizer.get_vocab().items() if t not in special}
         self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        if text.isascii() or _STABLE.fullmatch(text):
+        if (text.isascii() or _STABLE.fullmatch(text)) and not self.special.search(text):
             return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
