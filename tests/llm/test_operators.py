@@ -239,6 +239,23 @@ def test_merge_dropout_of_one_long_word():
     assert np.frombuffer(dropped.encode(word, None), "<u4").tolist() == model.encode(word)
 
 
+def test_merge_dropout_draws_for_each_occurrence():
+    path, word = merge_dropout.vocabulary_path(), "international"
+    dropped, plain = merge_dropout.Pieces(path, 0.5), merge_dropout.Pieces(path, 0.0)
+    found = {dropped.encode(word, merge_dropout._key(d, 42)) for d in range(400)}
+    assert len(found) > 20 and all(dropped.decode(x) == word for x in found)
+    each = dropped._drawn([merge_dropout.SPACE + word] * 400, dropped._keys(7, 0, 400))
+    assert len(set(each)) > 20 and dropped.encode(" ".join([word] * 400), 7) == b"".join(each)
+    # the first merge alone: a word of two characters is left whole at the rate of the dropout
+    pair = next(x for x in plain.ids if len(x) == 2 and x[0] == merge_dropout.SPACE and x[1].isalpha())
+    for rate in (0.1, 0.5, 0.9):
+        p = merge_dropout.Pieces(path, rate)
+        split = sum(len(p.encode(pair[1], merge_dropout._key(d, 42))) > 4 for d in range(4000)) / 4000
+        assert abs(split - rate) < 0.03
+    everything = merge_dropout.Pieces(path, 1.0)
+    assert everything.encode(word, 3) == b"".join(everything._word(c, None) for c in merge_dropout.SPACE + word)
+
+
 def test_merge_dropout_of_many_words_is_that_of_each():
     rnd = random.Random(9)
     path = merge_dropout.vocabulary_path()

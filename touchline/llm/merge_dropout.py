@@ -1,8 +1,9 @@
 """Operator 4: SentencePiece encoding with seeded merge-dropout, and decoding.
 
-Pieces are merged from characters by an agenda of candidate merges, best score first and leftmost among equals. With dropout, a keyed hash
-of seed, word, variant and place decides whether a candidate is skipped; so one seed always gives one segmentation, other seeds vary it,
-and all of them decode to the same text. The variant of each word of a document is drawn by a keyed hash of the document's key.
+Pieces are merged from characters by an agenda of candidate merges, best score first and leftmost among equals. With dropout, each
+candidate of each occurrence of a word is skipped at the given rate on its own, by a hash keyed by seed, document and place of the word: its
+draws are the numbers of candidates up to the next one that is skipped. So one seed always gives one segmentation, other seeds vary it, and
+all of them decode to the same text. Segmentations are cached by word and skipped candidates, which changes no result.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -21,14 +23,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.llm.common import mix
+
 SPACE = "▁"  # stands for a space in pieces
 DROPOUT, SEED = 0.1, 42
-VARIANTS = 3  # segmentations of a word that the documents draw from
-_CACHED = 300_000  # words of each variant kept by a Python worker, about
+VARIANTS = 3  # first keys that the tests draw from; a word may have any segmentation in any document
+_CACHED = 900_000  # segmentations kept by a Python worker, about
+_LONG = 64  # characters beyond which the segmentations of a word are not kept
+_GAPS = 256  # candidates that one draw passes over, at most; then it is drawn again
 _CHUNK = 20_000  # words of a text that are looked up together
 _FEW = 8  # new words below which each goes through the agenda alone
 _AT_ONCE = 500  # words that the model is given at once
-_MASK = (1 << 64) - 1
+_MASK, _STEP, _MIX = (1 << 64) - 1, 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 _START, _RANK = 10, 42  # bits of an entry of the agenda: length below, then start, then rank
 _LENGTH, _PLACES = (1 << _START) - 1, (1 << (_RANK - _START)) - 1
 _MARKS = ".,;:!?|%&*$#()[]{}<>\"'/\\=+~^`@-_0123456789"
@@ -74,26 +80,49 @@ class Pieces:
             marks -= {b for piece in self.ids for a, b in zip(piece, piece[1:]) if b in marks and a not in marks and a != SPACE}
         cut = re.escape("".join(sorted(marks)))
         self.words = re.compile(f"[{SPACE}{cut}]*[^{SPACE}{cut}\n]+|[{SPACE}{cut}]+|\n")
-        self.limit, self.seed = int(dropout * (1 << 32)), seed
-        self.known: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
+        # u of 53 bits lies below the first k of (1 - dropout) ** 1, 2, ... if k candidates are taken before one is skipped
+        self.drops = dropout > 0
+        self.below = sorted(int((1 - min(dropout, 1.0)) ** k * (1 << 53)) for k in range(1, _GAPS + 1))
+        self.limits = np.array(self.below, np.int64)
+        self.known: dict[str, list] = {}  # word -> [ids, candidates after the last skip, next by their gap, gaps of the skips]
+        self.kept = 0
         self.model, self.names = model, names
-        self.length = np.array([len(x) for x in names])
         self.opens = np.array([x.startswith(SPACE) for x in names])
-        self.first = np.full(n, -1)  # where the merges of a piece begin in `taken`; -1 before the piece is met
-        self.count = np.zeros(n, np.int64)
-        self.taken = array("q", [0, 0, 0])
 
-    def merge(self, word: str, variant: int | None, taken: array | None = None) -> list[int]:
-        """Ids of a word; without a variant no merge is skipped, and `taken` gets the merges (start, middle, end).
+    def _gap(self, key: int, draw: int) -> int:
+        x = (key + (draw + 1) * _STEP) & _MASK
+        x = (x ^ (x >> 30)) * _MIX[0] & _MASK
+        x = (x ^ (x >> 27)) * _MIX[1] & _MASK
+        return _GAPS - bisect_right(self.below, (x ^ (x >> 31)) >> 11)
+
+    def _some_gaps(self, keys: np.ndarray, draw: int) -> np.ndarray:
+        """`_gap` of many keys."""
+        x = keys + np.uint64((draw + 1) * _STEP & _MASK)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(_MIX[0])
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(_MIX[1])
+        return _GAPS - np.searchsorted(self.limits, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.int64), "right")
+
+    def _gaps(self, key: int) -> Iterator[int]:
+        """How many candidates are taken before each that is skipped."""
+        draw = 0
+        while True:
+            passed = 0
+            while (n := self._gap(key, draw)) == _GAPS:
+                passed, draw = passed + n, draw + 1
+            draw += 1
+            yield passed + n
+
+    def merge(self, word: str, gaps: Iterator[int] | None = None) -> tuple[list[int], int]:
+        """Ids of a word, and how many candidates came after the last that was skipped. When `gaps` end, no more are skipped.
 
         The agenda is a heap of numbers made of rank, start and length of the merged piece, so the best score comes first and the leftmost
         among equals. An entry is out of date unless the part at its start and the next part have that length together.
         """
-        n = len(word)
+        n, since = len(word), 0
         ends = list(range(1, n + 1))  # where the part that starts here ends; 0 where none starts
         if n > 1:
-            entry, limit = self.entry.get, self.limit if variant is not None else 0
-            key = xxhash.xxh3_64_intdigest(word.encode(), self.seed * VARIANTS + variant) if limit else 0
+            entry = self.entry.get
+            gap = next(gaps, -1) if gaps is not None else -1
             before = list(range(-1, n - 1))  # start of the part before
             agenda = [e + (i << _START) for i, e in enumerate(map(entry, map(add, word, word[1:]))) if e is not None]
             heapify(agenda)
@@ -103,12 +132,10 @@ class Pieces:
                 middle, end = ends[start], start + (e & _LENGTH)
                 if not middle or middle >= end or ends[middle] != end:
                     continue
-                if limit:
-                    x = (key ^ (start * 0x9E3779B97F4A7C15 + middle * 0xC2B2AE3D27D4EB4F + end * 0x165667B19E3779F9)) & _MASK
-                    if ((x ^ (x >> 31)) * 0xFF51AFD7ED558CCD & _MASK) >> 32 < limit:
-                        continue
-                elif taken is not None:
-                    taken.extend((start, middle, end))
+                if since == gap:
+                    gap, since = next(gaps, -1), 0
+                    continue
+                since += 1
                 ends[start], ends[middle] = end, 0
                 if end < n:
                     before[end] = start
@@ -122,64 +149,94 @@ class Pieces:
             at = ends[at]
         out = list(map(self.ids.get, parts))
         if None not in out:
-            return out
+            return out, since
         out = []
         for p in parts:
             i = self.ids.get(p)
             out += [i] if i is not None else [self.byte[b] for b in p.encode()]
-        return out
+        return out, since
 
-    def _word(self, word: str, variant: int | None) -> bytes:
-        return array("I", self.merge(word, variant)).tobytes()
+    def _word(self, word: str, key: int | None) -> bytes:
+        """Ids of one occurrence; without a key no merge is skipped."""
+        return array("I", self.merge(word, None if key is None or not self.drops else self._gaps(key))[0]).tobytes()
 
-    def _merges(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The merges that make these pieces, as rows of (start, middle, end) within the word, and the place in `ids` of each."""
-        for i in np.unique(ids[self.first[ids] < 0]).tolist():
-            self.first[i] = len(self.taken) // 3
-            self.merge(self.names[i], None, self.taken)
-            self.count[i] = len(self.taken) // 3 - self.first[i]
-        n = self.count[ids]
-        owner = np.repeat(np.arange(len(ids)), n)
-        at = np.arange(len(owner)) + np.repeat(self.first[ids] - np.cumsum(n) + n, n)
-        return np.frombuffer(self.taken, np.int64).reshape(-1, 3)[at], owner
+    def _node(self, word: str, gaps: tuple[int, ...]) -> list:
+        self.kept += 1
+        ids, since = self.merge(word, iter(gaps))
+        return [array("I", ids).tobytes(), since, None, gaps]
 
-    def _new_words(self, words: list[tuple[str, int]]) -> list[bytes]:
-        """Ids of words with their variants.
-
-        The agenda takes the same merges as without dropout up to the first that is skipped. So a word of which no merge of the plain
-        segmentation is skipped keeps that segmentation; the others go through the agenda. The model gives the plain segmentations of
-        many words at once, and the merges inside a piece are those of the piece alone, as no merge across its ends is taken.
-        """
-        out: list[bytes | None] = [None] * len(words)
-        fit = [i for i, (w, _) in enumerate(words) if len(w) > 1 and w[0] == SPACE and not w.rfind(SPACE)]
+    def _learn(self, words: list[str]) -> None:
+        """Plain segmentations of new words. The model gives many at once; a word of n characters and k pieces has n - k merges."""
+        known = self.known
+        fit = [w for w in words if 1 < len(w) <= _LONG and w[0] == SPACE and not w.rfind(SPACE)]
         if len(fit) >= _FEW:
-            texts = [words[i][0] for i in fit]
             coded: list[int] = []
-            for a in range(0, len(texts), _AT_ONCE):
-                coded += self.model.encode("".join(texts[a : a + _AT_ONCE])[1:].replace(SPACE, " "))
+            for a in range(0, len(fit), _AT_ONCE):
+                coded += self.model.encode("".join(fit[a : a + _AT_ONCE])[1:].replace(SPACE, " "))
             ids = np.array(coded, np.int64)
             starts = np.flatnonzero(self.opens[ids])
             if len(starts) == len(fit) and not starts[0]:
                 bounds = [*starts.tolist(), len(ids)]
                 names = list(map(self.names.__getitem__, coded))
-                same = "".join(names) == "".join(texts)
-                owner = np.repeat(np.arange(len(fit)), np.diff(bounds))  # word of each piece
-                place = np.cumsum(self.length[ids]) - self.length[ids]
-                place -= place[starts][owner]
-                merges, piece = self._merges(ids)
-                start, middle, end = (merges + place[piece][:, None]).astype(np.uint64).T
-                keys = np.array([xxhash.xxh3_64_intdigest(w.encode(), self.seed * VARIANTS + v) for w, v in [words[i] for i in fit]], np.uint64)
-                x = keys[owner[piece]] ^ (start * np.uint64(0x9E3779B97F4A7C15) + middle * np.uint64(0xC2B2AE3D27D4EB4F) + end * np.uint64(0x165667B19E3779F9))
-                skipped = np.zeros(len(fit), bool)
-                skipped[owner[piece][(x ^ (x >> np.uint64(31))) * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(32) < np.uint64(self.limit)]] = True
+                same = "".join(names) == "".join(fit)
                 raw = ids.astype("<u4").tobytes()
-                for i, gone, a, b in zip(fit, skipped.tolist(), bounds, bounds[1:]):
-                    if not gone and (same or "".join(names[a:b]) == words[i][0]):
-                        out[i] = raw[4 * a : 4 * b]
-        return [x if x is not None else self._word(w, v) for x, (w, v) in zip(out, words, strict=True)]
+                for w, a, b in zip(fit, bounds, bounds[1:]):
+                    if same or "".join(names[a:b]) == w:
+                        known[w] = [raw[4 * a : 4 * b], len(w) - (b - a), None, ()]
+                        self.kept += 1
+        for w in words:
+            if w not in known:
+                known[w] = self._node(w, ()) if len(w) <= _LONG else [None, -1, None, ()]
+
+    def _drawn(self, words: list[str], keys: np.ndarray) -> list[bytes]:
+        """Ids of occurrences of words, each with its key.
+
+        A node of a word holds its segmentation after some skips. The next draw either passes over all candidates that are left, which
+        settles the occurrence, or leads to the node with one skip more.
+        """
+        if self.kept > _CACHED:
+            self.known, self.kept = {}, 0
+        nodes = list(map(self.known.get, words))
+        if None in nodes:
+            places = [i for i, x in enumerate(nodes) if x is None]
+            self._learn(list({words[i]: None for i in places}))
+            for i in places:
+                nodes[i] = self.known[words[i]]
+        out = [x[0] for x in nodes]
+        if self.drops:
+            gaps = self._some_gaps(keys, 0)
+            at = np.flatnonzero(gaps < np.array([x[1] for x in nodes]))
+            gaps, draw = gaps[at], 0
+            while len(at):
+                draw += 1
+                following = self._some_gaps(keys[at], draw)
+                more = []
+                for n, (i, gap, after) in enumerate(zip(at.tolist(), gaps.tolist(), following.tolist())):
+                    node = nodes[i]
+                    if node[2] is None:
+                        node[2] = {}
+                    below = node[2].get(gap)
+                    if below is None:
+                        below = node[2][gap] = self._node(words[i], (*node[3], gap))
+                    if after < below[1]:
+                        nodes[i] = below
+                        more.append(n)
+                    else:
+                        out[i] = below[0]
+                at, gaps = at[more], following[more]
+        if None in out:
+            out = [x if x is not None else self._word(w, k) for x, w, k in zip(out, words, keys.tolist())]
+        return out
+
+    def _new_words(self, words: list[tuple[str, int]]) -> list[bytes]:
+        return self._drawn([w for w, _ in words], np.array([k for _, k in words], np.uint64))
+
+    def _keys(self, key: int, first: int, n: int) -> np.ndarray:
+        """Keys of the words of a document, by place."""
+        return mix(np.arange(first, first + n, dtype=np.uint64) * np.uint64(_STEP) + np.uint64(key & _MASK))
 
     def encode(self, text: str, key: int | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit bytes. `key` draws the variants; without one no merge is skipped. Empty text, no ids."""
+        """Ids as little-endian unsigned 32-bit bytes. `key` draws the skips; without one no merge is skipped. Empty text, no ids."""
         if not text:
             return b""
         if SPACE in text:
@@ -187,28 +244,15 @@ class Pieces:
         words = self.words.findall(SPACE + text.replace(" ", SPACE))
         if key is None:
             return b"".join([self._word(w, None) for w in words])
-        draws = ((np.arange(len(words), dtype=np.uint64) + np.uint64(key)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(VARIANTS)
-        out, drawn, known = [], draws.tolist(), self.known
-        get = [cache.get for cache in known]
+        out = []
         for a in range(0, len(words), _CHUNK):
-            part, variants = words[a : a + _CHUNK], drawn[a : a + _CHUNK]
-            for cache in known:
-                if len(cache) >= _CACHED:
-                    cache.clear()
-            found = [get[v](w) for w, v in zip(part, variants)]
-            if None in found:
-                places = [i for i, ids in enumerate(found) if ids is None]
-                new = list({(part[i], variants[i]): None for i in places})
-                for (w, v), ids in zip(new, self._new_words(new), strict=True):
-                    known[v][w] = ids
-                for i in places:
-                    found[i] = known[variants[i]][part[i]]
-            out += found
+            part = words[a : a + _CHUNK]
+            out += self._drawn(part, self._keys(key, a, len(part)))
         return b"".join(out)
 
     def _odd(self, text: str, key: int | None) -> bytes:
         """Text with the space sign itself: that becomes byte pieces, which do not decode as a space; the rest is encoded as usual."""
-        out, first = [], True
+        out, first, place = [], True, 0
         for part in re.split(f"({SPACE})", text):
             if part == SPACE:
                 if first:
@@ -217,7 +261,9 @@ class Pieces:
                 first = False
             elif part:
                 words = self.words.findall((SPACE if first else "") + part.replace(" ", SPACE))
-                out += [self._word(w, None if key is None else (key + k) % VARIANTS) for k, w in enumerate(words)]
+                keys = [None] * len(words) if key is None else self._keys(key, place, len(words)).tolist()
+                out += map(self._word, words, keys)
+                place += len(words)
                 first = False
         return b"".join(out)
 
@@ -237,7 +283,7 @@ def _key(doc_id: object, seed: int) -> int:
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, dropout: float = DROPOUT, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and `ids` (array of int) of every whole text. A null or empty text has no ids; rows of one id draw the same variants, so
+    """doc_id and `ids` (array of int) of every whole text. A null or empty text has no ids; rows of one id draw the same skips, so
     repeated rows are equal. Other columns are ignored; an empty table stays empty."""
     path = vocabulary_path() if path is None else path
 
