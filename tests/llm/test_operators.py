@@ -122,6 +122,21 @@ def test_secrets(spark):
     assert secrets.secret_spans(df.where("doc_id < 0")).count() == 0
 
 
+def test_whole_values_are_secrets(spark):
+    rnd = random.Random(8)
+    long = "".join(rnd.choice("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789$!") for _ in range(400))
+    letters = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20))
+    texts = [f"auth: {long} end", f"x://{'u' * 90}:{long}@host", "password=Abcd1234!x9$Kq#7 end", f"pwd: {letters} end", "pwd: " + "z" * 60_000, "pwd: " + "xy12" * 15_000, "password=Abcd1234efgh end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    masked = {r.doc_id: r.text for r in secrets.mask_secrets(df).collect()}
+    assert masked[0] == "auth: [guess] end" and masked[1] == f"x://{'u' * 90}:[guess]@host"
+    assert "x9" not in masked[2] and "Kq" not in masked[2] and masked[2].startswith("[assign]") and masked[2].endswith(" end")
+    assert masked[3] == "pwd: [guess] end"
+    assert [masked[4], masked[5], masked[6]] == [texts[4], texts[5], "[assign] end"]
+    spans = {r.doc_id: r.spans for r in secrets.secret_spans(df).collect()}
+    assert spans[2] == "assign:0:17,guess:9:25" and spans[0] == "guess:6:406"
+
+
 def test_guess_cost_is_the_cheapest_split():
     assert secrets.guess_cost("password123") < secrets.guess_cost("xqzvbnwr12") < secrets.guess_cost("x9$Kq!27pLz@")
     for easy in ("qwertyuiop", "aaaaaaaaaaaa", "abcabcabcabc", "2024-01-31", "abcdefghij", "P4ssword"):

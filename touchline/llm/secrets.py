@@ -1,8 +1,8 @@
 """Operator 6: secrets in texts by patterns and by the guess cost of values in credential contexts.
 
-Base kinds are patterns. Values that follow a credential word (or stand between user and host of an address) but match no base pattern
-are split at minimum guess cost into common words, dates, repeats, sequences, keyboard walks and brute-force spans; a value whose
-cheapest split still needs many guesses is reported as kind `guess`.
+Base kinds are patterns. Whole values that follow a credential word (or stand between user and host of an address) are split at minimum
+guess cost into common words, dates, repeats, sequences, keyboard walks and brute-force spans; a value whose cheapest split still needs
+many guesses is reported as kind `guess`, unless one base span covers all of it.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex")
 #: A credential word, perhaps with a copula, and its value; or the password part of an address.
 CONTEXT = re.compile(
-    r"""(?:(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|credentials?|auth|private[_-]?key|access[_-]?key)["']?\s{0,4}(?:[:=]|\bis\b)\s{0,4}["']?([^\s"',;<>|]{6,256})|://[^\s/:@]{1,64}:([^\s/@]{6,256})@)""",
+    r"""(?:(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|credentials?|auth|private[_-]?key|access[_-]?key)["']?\s{0,4}(?:[:=]|\bis\b)\s{0,4}["']?([^\s"',;<>|]{6,})|://[^\s/:@]+:([^\s/@]{6,})@)""",
     re.I | re.A,
 )
 MIN_GUESSES = 10.0  # log10 of the guesses that a value must need at least
@@ -53,9 +54,19 @@ def _alphabet(c: str) -> int:
     return 10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 100
 
 
+def _runs(holds: list[bool], n: int) -> list[int]:
+    """From each of n places on, how many in a row hold."""
+    out = [0] * (n + 1)
+    for i in range(len(holds) - 1, -1, -1):
+        out[i] = out[i + 1] + 1 if holds[i] else 0
+    return out
+
+
 def guess_cost(value: str) -> float:
     """log10 of the guesses for the cheapest split of the value into known parts and brute-force spans."""
     n, low = len(value), value.lower()
+    if len(low) != n:
+        low = "".join(c.lower()[0] for c in value)
     plain = low.translate(_LEET)
     best = [0.0] + [math.inf] * n
 
@@ -67,6 +78,10 @@ def guess_cost(value: str) -> float:
     for m in _DATE.finditer(value):
         dates.setdefault(m.start(), []).append(m.end())
     step = math.log10(2)  # a further part has to be chosen
+    said = {w: _runs([a == b for a, b in zip(low, low[w:])], n) for w in (1, 2, 3, 4, 5, 6, 8)}
+    rows = {t: _runs([ord(b) - ord(a) == t and b.isalnum() for a, b in zip(low, low[1:])], n) for t in (1, -1)}
+    walks = _runs([pair in _NEXT for pair in zip(low, low[1:])], n)
+    turned = [0, 0, *accumulate(abs(ord(c) - ord(b)) != abs(ord(b) - ord(a)) for a, b, c in zip(low, low[1:], low[2:]))]
     for i in range(n):
         offer(i, i + 1, math.log10(_alphabet(value[i])))
         for j in range(i + 2, min(n, i + _LONGEST) + 1):
@@ -75,29 +90,20 @@ def guess_cost(value: str) -> float:
                 offer(i, j, math.log10(rank * (1 if value[i:j] == low[i:j] else 2) + 1) + step)
         for j in dates.get(i, ()):
             offer(i, j, math.log10(365 * 120 if j - i > 4 else 120) + step)
-        j = i + 1
-        while j < n and low[j] == low[i]:
-            j += 1
+        j = i + 1 + said[1][i]
         if j - i >= 3:
             offer(i, j, math.log10(_alphabet(value[i]) * (j - i)) + step)
         for width in (2, 3, 4, 5, 6, 8):  # a part said again and again
-            if low[i : i + width] == low[i + width : i + 2 * width] and len(low[i : i + 2 * width]) == 2 * width:
-                j = i + 2 * width
-                while low[j : j + width] == low[i : i + width]:
-                    j += width
+            if said[width][i] >= width:
+                j = i + width + said[width][i] // width * width
                 offer(i, j, sum(math.log10(_alphabet(c)) for c in value[i : i + width]) + math.log10((j - i) / width) + step)
         for turn in (1, -1):
-            j = i + 1
-            while j < n and ord(low[j]) - ord(low[j - 1]) == turn and low[j].isalnum():
-                j += 1
+            j = i + 1 + rows[turn][i]
             if j - i >= 3:
                 offer(i, j, math.log10(_alphabet(value[i]) * (j - i)) + step)
-        j, turns = i + 1, 0
-        while j < n and (low[j - 1], low[j]) in _NEXT:
-            turns += j - i >= 2 and abs(ord(low[j]) - ord(low[j - 1])) != abs(ord(low[j - 1]) - ord(low[j - 2]))
-            j += 1
+        j = i + 1 + walks[i]
         if j - i >= 4:
-            offer(i, j, math.log10(94 * (j - i)) + 0.3 * turns + step)
+            offer(i, j, math.log10(94 * (j - i)) + 0.3 * (turned[j - 1] - turned[i + 1]) + step)
     return best[n]
 
 
@@ -117,17 +123,15 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def guess_spans(text: str, base: list[tuple[int, int, str]], least: float = MIN_GUESSES) -> list[tuple[int, int, str]]:
-    """Values in a credential context that overlap no base span and need 10^least guesses or more."""
+    """Whole values in a credential context that no base span covers and that need 10^least guesses or more."""
     out = []
     for m in CONTEXT.finditer(text):
         g = 1 if m[1] else 2
-        s, e = m.span(g)
-        if any(a < e and s < b for a, b, _ in base):
-            continue
+        s = m.start(g)
         value = m[g].rstrip(".!?)")
-        mixed = (any(c.isdigit() for c in value) + any(c.islower() for c in value) + any(c.isupper() for c in value) + any(not c.isalnum() for c in value)) >= 2
-        if mixed and len(value) >= 6 and guess_cost(value) >= least:
-            out.append((s, s + len(value), "guess"))
+        e = s + len(value)
+        if len(value) >= 6 and not any(a <= s and e <= b for a, b, _ in base) and guess_cost(value) >= least:
+            out.append((s, e, "guess"))
     return out
 
 
