@@ -77,6 +77,28 @@ def test_permutation_index_recall(vecs):
     assert vectors.finite(df, "vec_id", "embedding").where("id is null").count() == 0
 
 
+def test_permutation_index_keeps_ties_of_a_hot_vector(spark):
+    rnd = np.random.default_rng(11)
+    centres = rnd.normal(size=(8, 16))
+    v = np.array([centres[i % 8] + rnd.normal(size=16) / 2 for i in range(1800)])
+    v[rnd.permutation(1800)[:600]] = centres[0]  # a third of the rows
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    copies = np.flatnonzero((v == centres[0]).all(axis=1))
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    got: dict = {}
+    for r in permutation_index.nearest(df, F.col("id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    asked = range(0, 1800, 20)
+    hits = 0
+    for q in asked:
+        if q in copies:
+            assert got[q] == [c for c in copies.tolist() if c != q][:5]
+        score = np.round(unit @ unit[q], 12)
+        score[q] = -2
+        hits += len(set(np.lexsort((np.arange(1800), -score))[:5].tolist()) & set(got[q]))
+    assert hits / (5 * len(asked)) >= 0.95
+
+
 def test_languages(spark):
     rnd = random.Random(1)
     words = {"en": "the and that with this from have which their".split(), "de": "der und nicht eine mit auch sich werden über".split(), "fr": "les des une dans pour avec être cette où".split()}

@@ -17,7 +17,7 @@ from touchline.llm.vectors import finite, search_blocks
 BLOCK, CHUNK = 8192, 512
 PIVOTS = 256  # a bounded sample of vectors, chosen by a hash of the id
 PREFIX = 48  # nearest pivots that represent a vector
-SHARE = 0.25  # of a block's rows that are reranked
+SHARE = 0.25  # of a block's rows that are reranked, besides ties
 LEAST = 64  # rows of a block that are reranked, at least
 
 
@@ -28,6 +28,10 @@ def _places(v: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
 
 def search(k: int, pivots: np.ndarray, prefix: int, share: float):
     def run(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        count = len(ids)
+        rows, group = np.unique(rows, axis=0, return_inverse=True)
+        members = np.argsort(group.ravel(), kind="stable")  # rows by vector and then id
+        begins = np.searchsorted(group.ravel()[members], np.arange(len(rows) + 1))
         size, asked = np.linalg.norm(rows, axis=1), np.linalg.norm(queries, axis=1)
         known = pivots[:, : rows.shape[1]] if pivots.shape[1] == rows.shape[1] else np.eye(rows.shape[1])[:PIVOTS]
         m = min(prefix, len(known))
@@ -36,18 +40,25 @@ def search(k: int, pivots: np.ndarray, prefix: int, share: float):
         posted, place = (by_pivot // m).astype(np.int32), (by_pivot % m).astype(np.int32)
         starts = np.searchsorted(order.ravel()[by_pivot], np.arange(len(known) + 1))
         wanted = _places(queries / asked[:, None], known, m)
-        take = min(len(ids), max(LEAST, int(share * len(ids))) + 1)
+        take = min(len(rows), max(LEAST, int(share * count)) + 1)
         for i in range(len(queries)):
             # footrule of two prefixes is m (m + 1) less twice the sum of m - max(place, place) over pivots of both
-            near = np.zeros(len(ids), np.int32)
+            near = np.zeros(len(rows), np.int32)
             for p, pivot in enumerate(wanted[i].tolist()):
                 a, b = starts[pivot], starts[pivot + 1]
                 near[posted[a:b]] += m - np.maximum(place[a:b], p)
-            at = np.argpartition(-near, take - 1)[:take] if take < len(ids) else np.arange(len(ids))
-            at = at[ids[at] != query_ids[i]]
-            score = (rows[at] @ queries[i]) / (size[at] * asked[i])
-            best = np.lexsort((ids[at], -score))[:k]
-            yield i, at[best], score[best]
+            at = np.flatnonzero(near >= np.partition(near, len(rows) - take)[len(rows) - take])
+            score = np.einsum("ij,j->i", rows[at], queries[i]) / (size[at] * asked[i])  # row by row, so equal vectors tie in all blocks
+            if len(at) > k + 1:
+                best = score >= np.partition(score, len(at) - k - 1)[len(at) - k - 1]
+                at, score = at[best], score[best]
+            # the smallest ids of each vector, one more than asked for, as the query's own goes
+            n = np.minimum(begins[at + 1] - begins[at], k + 1)
+            found = members[np.arange(n.sum()) + np.repeat(begins[at] - np.cumsum(n) + n, n)]
+            score = np.repeat(score, n)[ids[found] != query_ids[i]]
+            found = found[ids[found] != query_ids[i]]
+            best = np.lexsort((ids[found], -score))[:k]
+            yield i, found[best], score[best]
 
     return run
 
