@@ -236,6 +236,23 @@ def test_html(spark):
     assert html_text.extract_pages(df.where("page_id < 0")).count() == 0
 
 
+def test_attributes_are_read_to_their_end():
+    props = "{&quot;x&quot;: " + "1, " * 3000 + "}"
+    page = f"<body><article><p>kept</p><div data-props='{props}' class=\"sidebar\">gone</div><div data-props='class=\"ad\" hidden'>kept too</div><div data-class=ad data-id=nav>and this</div></article></body>"
+    assert html_text.main_text(page, None) == "kept\nkept too\nand this"
+
+
+def test_template_of_each_layout_from_all_pages(spark):
+    shop = "<body><div class=x>Call us now</div><div class=y><h2>own {i} words</h2><p class=n>Printed by us</p><div class=t>text {i} of this</div></div></body>"
+    blog = "<body><div class=q>Read more</div><section><h2>post {i} here</h2><div class=t>said {i} again</div></section><div class=z>All rights</div></body>"
+    rows = [(i, "http://h.example/a", (blog if i % 5 == 0 else shop).replace("{i}", str(i))) for i in range(60)]
+    rows += [(100 + i, "http://copies.example/a", "<body><div class=a>same text</div><div class=b>and more</div></body>") for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    for r in html_text.extract_pages(df).collect():
+        i = r.page_id
+        assert r.text == ("same text\nand more" if i >= 100 else f"post {i} here\nsaid {i} again" if i % 5 == 0 else f"own {i} words\ntext {i} of this")
+
+
 def test_constant_parts_are_template():
     pages = [f"<body><div class=x>Follow us today</div><div class=y><p>own {i} words</p><div class=z>Printed by us</div><p>more {i}</p></div></body>" for i in range(6)]
     wrapper = html_text._loaded(html_text.induce(pages))

@@ -1,7 +1,7 @@
 """Operator 3: main text of web pages by wrapper induction.
 
-Pages of one host are parsed and aligned by simple tree matching. What stays constant over the aligned pages is template, what varies is a
-slot. A page's content is the article that its markup names, or else the part of the tree that holds most of the varying text; template
+All pages of one host and layout are parsed and aligned by simple tree matching: parts of them in each task, then the trees of the tasks. What
+stays constant over the aligned pages is template, what varies is a slot. A page's content is the article that its markup names, or else the part of the tree that holds most of the varying text; template
 nodes and parts that markup names as navigation, adverts, forms, comments and so on are left out.
 """
 
@@ -11,16 +11,16 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 from html import unescape
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import partitions, run_bounds, small, whole_runs, written
+from touchline.llm.common import partitions, small, written
 
-ALIGNED = 8  # pages of a host that its wrapper is induced from, at most; the wrapper is applied to all
 LEAST = 4  # aligned pages with different texts that a node must be constant over to be template
 BROADCAST = 20_000  # hosts whose wrappers are sent to all executors, at most; beyond, pages and wrappers join by shuffle
 SLOTS = 4  # texts that a wrapper node remembers while it is induced
@@ -42,12 +42,16 @@ _MARKED = frozenset(
     "signup popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments respond replies disqus share sharing social related "
     "recommended recommendations widget toolbar pagination pager masthead topbar skip login search".split()
 )
+#: Elements of running text; they are template only with all that is below.
+_TEXTUAL = frozenset("p b i em strong a span".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(script|style|textarea|title|noscript|iframe|svg|template|xmp)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute after the other, so that what a quoted value holds is no attribute.
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_LOOKED = frozenset(("class", "id", "role", "hidden"))
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -58,18 +62,21 @@ class Node:
         self.tag, self.kind, self.marked, self.children = tag, kind, marked, []
 
 
-@lru_cache(maxsize=4096)
 def _attributes(tag: str, raw: str) -> tuple[str, bool]:
     """Kind of an element (tag and class) and whether it is marked as something other than content."""
     found = {}
     for m in _ATTRIBUTE.finditer(raw):
-        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+        if (name := m[1].lower()) in _LOOKED:
+            found.setdefault(name, m[2] or m[3] or m[4] or "")
     names = f"{found.get('class', '')} {found.get('id', '')}"
     marked = tag in _DROPPED or "hidden" in found or found.get("role", "").lower() in _ROLES
     marked = marked or (tag not in ("html", "body", "main", "article") and any(p.lower() in _MARKED for p in _SPLIT.split(names)))
     return f"{tag}.{re.sub('[0-9]+', '', found.get('class', ''))}", marked
 
 
+_short = lru_cache(maxsize=4096)(_attributes)
+
+
 def parse(html: str) -> Node:
     """Tree of elements and texts (strings, references decoded); tolerant of what is missing."""
     root = Node("html", "html.", False)
@@ -107,7 +114,7 @@ def parse(html: str) -> Node:
         if tag == "body" and stack[-1].tag == "head":
             stack.pop()
         raw = m[4]
-        kind, marked = _attributes(tag, raw if len(raw) < 2000 else raw[:2000])
+        kind, marked = (_short if len(raw) < 2000 else _attributes)(tag, raw)
         if tag == "header" and not any(n.tag in ("article", "main") for n in stack):
             marked = True
         node = Node(tag, kind, marked)
@@ -137,6 +144,13 @@ class Wrapper:
         """Constant over enough pages."""
         return len(self.texts) == 1 and self.pages >= max(LEAST, 0.8 * pages) and bool(self.texts[0])
 
+    def constant(self, pages: int) -> bool:
+        """Template with all that is below."""
+        return self.template(pages) and all(c.fixed() for c in self.children)
+
+    def fixed(self) -> bool:
+        return len(self.texts) == 1 and all(c.fixed() for c in self.children)
+
     def dump(self) -> list:
         return [self.kind, self.pages, self.texts, [c.dump() for c in self.children]]
 
@@ -198,6 +212,30 @@ def _merge(wrapper: Wrapper, node: Node) -> None:
     wrapper.children = parts
 
 
+def _join(wrapper: Wrapper, other: Wrapper) -> None:
+    """Align the wrapper of other pages with this one."""
+    wrapper.pages += other.pages
+    for text in other.texts:
+        wrapper.add(text)
+    found = _match(other.children, wrapper.children)
+    parts, place, counted = list(wrapper.children), 0, {}
+    for child, k in zip(other.children, found, strict=True):
+        if k >= 0:
+            part = wrapper.children[k]
+            place = parts.index(part) + 1
+        elif place and parts[place - 1].kind == child.kind:
+            part = parts[place - 1]
+        else:
+            part = Wrapper(child.kind)
+            parts.insert(place, part)
+            place += 1
+        before, have = part.pages, counted.get(id(part), 0)
+        _join(part, child)
+        part.pages = before + max(child.pages - have, 0)  # pages may hold several of these
+        counted[id(part)] = max(child.pages, have)
+    wrapper.children = parts
+
+
 def induce(pages: list[str]) -> str:
     """Wrapper of pages of one host, as JSON; pages with the same text count once."""
     root, seen = Wrapper("html."), set()
@@ -211,11 +249,23 @@ def induce(pages: list[str]) -> str:
     return json.dumps(root.dump(), ensure_ascii=False)
 
 
+def layout(root: Node) -> str:
+    """Kinds of the outermost elements of a page that are more than one."""
+    while len(nodes := [c for c in root.children if isinstance(c, Node) and c.tag != "head"]) == 1:
+        root = nodes[0]
+    return "\n".join(sorted({c.kind for c in nodes}))
+
+
 @lru_cache(maxsize=256)
 def _loaded(wrapper: str) -> Wrapper:
     return Wrapper.load(json.loads(wrapper))
 
 
+@lru_cache(maxsize=256)
+def _of_host(wrappers: str) -> dict[str, Wrapper]:
+    return {k: Wrapper.load(w) for k, w in json.loads(wrappers).items()}
+
+
 def _blocks(node: Node, wrapper: Wrapper | None, pages: int) -> list[str]:
     """Texts of blocks in page order, without marked parts and template."""
     out: list[str] = []
@@ -242,8 +292,9 @@ def _blocks(node: Node, wrapper: Wrapper | None, pages: int) -> list[str]:
                     close()
                 continue
             part = w.children[k] if w and k >= 0 else None
-            if part is not None and part.template(pages) and c.tag not in ("p", "b", "i", "em", "strong", "a", "span") and part.texts[0] == _own(c):
-                close()
+            if part is not None and part.texts[:1] == [_own(c)] and (part.constant if c.tag in _TEXTUAL else part.template)(pages):
+                if c.tag in _BLOCK:
+                    close()
                 continue
             if c.tag in _BLOCK:
                 close()
@@ -282,7 +333,11 @@ def _named(node: Node, wrapper: Wrapper | None, tag: str) -> list[tuple[Node, Wr
 
 def main_text(html: str, wrapper: Wrapper | None) -> str:
     """Blocks of the content of a page, joined by line ends."""
-    root, pages = parse(html), wrapper.pages if wrapper else 0
+    return _main(parse(html), wrapper)
+
+
+def _main(root: Node, wrapper: Wrapper | None) -> str:
+    pages = wrapper.pages if wrapper else 0
     found = _named(root, wrapper, "article") or _named(root, wrapper, "main")
     if not found:
         node, part = root, wrapper
@@ -301,36 +356,96 @@ def main_text(html: str, wrapper: Wrapper | None) -> str:
     return "\n".join(t for node, part in found for t in _blocks(node, part, pages))
 
 
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Host, layout, hash of the text and html of each page; pages of a task with the same host and text once."""
+    seen = set()
+    for batch in batches:
+        out: dict[str, list] = {"host": [], "layout": [], "told": [], "html": []}
+        for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            tree = parse(html)
+            told = int.from_bytes(blake2b("\n".join(_blocks(tree, None, 0)).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+            if (host, told) not in seen:
+                seen.add((host, told))
+                for c, x in zip(out, (host, layout(tree), told, html), strict=True):
+                    out[c].append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if c == "told" else pa.string()) for c, x in out.items()], names=list(out))
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Wrapper of the pages of each host and layout in this task, which come in order; a text of a host counts once."""
+    at, root, first, last = None, Wrapper("html."), 0, None
+
+    def made(rows: list) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["host", "layout", "first", "wrapper"])
+
+    for batch in batches:
+        done = []
+        for host, told, kind, html in zip(*(batch.column(c).to_pylist() for c in ("host", "told", "layout", "html")), strict=True):
+            if (host, kind) != at:
+                if at:
+                    done.append((*at, first, json.dumps(root.dump(), ensure_ascii=False)))
+                at, root, first, last = (host, kind), Wrapper("html."), told, None
+            if told != last:
+                last = told
+                root.pages += 1
+                _merge(root, parse(html))
+        if done:
+            yield made(done)
+    if at:
+        yield made([(*at, first, json.dumps(root.dump(), ensure_ascii=False))])
+
+
 def _induced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in whole_runs(batches, "host"):
-        hosts, pages = table.column("host").to_pylist(), table.column("html").to_pylist()
-        bounds = run_bounds(np.array(hosts, object)).tolist()
-        names = [hosts[s] for s in bounds[:-1]]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([induce(pages[s:e]) for s, e in zip(bounds[:-1], bounds[1:], strict=True)], pa.string())], names=["host", "wrapper"])
+    """Wrappers of a host: by layout where it has enough pages, and under '*' that of all its pages."""
+    at, every, found = None, Wrapper("html."), {}
+
+    def made() -> pa.RecordBatch:
+        kept = {k: w.dump() for k, w in found.items() if w.pages >= LEAST} | {"*": every.dump()}
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.string()), pa.array([json.dumps(kept, ensure_ascii=False)], pa.string())], names=["host", "wrapper"])
+
+    for batch in batches:
+        for host, kind, wrapper in zip(*(batch.column(c).to_pylist() for c in ("host", "layout", "wrapper")), strict=True):
+            if host != at:
+                if at is not None:
+                    yield made()
+                at, every, found = host, Wrapper("html."), {}
+            part = Wrapper.load(json.loads(wrapper))
+            _join(every, part)
+            if kind in found:
+                _join(found[kind], part)
+            else:
+                found[kind] = part
+    if at is not None:
+        yield made()
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
         for html, wrapper in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
-            texts.append(main_text(html, _loaded(wrapper) if wrapper else None) if html else "")
+            if html:
+                tree, known = parse(html), _of_host(wrapper) if wrapper else {}
+                texts.append(_main(tree, known.get(layout(tree)) or known.get("*")))
+            else:
+                texts.append("")
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
-def extract_pages(pages: DataFrame, aligned: int = ALIGNED) -> DataFrame:
+def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of the main text of every page, from its whole html.
 
     Blocks come in page order, white space inside each is one space, and one line end joins them. A null or empty html gives ''. Pages
-    without a url share an empty host. Repeated rows get equal texts (an id's rows all count for the wrapper). An empty table stays empty;
-    other columns are ignored.
+    without a url share an empty host. Repeated rows get equal texts, and pages of a host with the same text count once for the wrapper.
+    An empty table stays empty; other columns are ignored.
     """
     spark = pages.sparkSession
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
     rows = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host.alias("host"))
-    w = Window.partitionBy("host").orderBy(F.xxhash64(F.lit(5), F.col("page_id")), "page_id")
-    picked = rows.where("html <> '' and page_id is not null").select("host", "page_id").withColumn("place", F.row_number().over(w)).where(F.col("place") <= aligned).select("page_id").distinct()
-    chosen = rows.select("host", "page_id", "html").join(small(written(picked, "aligned-pages"), BROADCAST * aligned), "page_id", "left_semi")
-    chosen = chosen.dropDuplicates(["page_id", "host"]).repartition(partitions(spark), "host").sortWithinPartitions("host", "page_id")
-    wrappers = small(written(chosen.mapInArrow(_induced, "host string, wrapper string"), "wrappers"), BROADCAST)
+    told = rows.where("html <> ''").select("host", "html").mapInArrow(_told, "host string, layout string, told long, html string")
+    told = told.repartition(partitions(spark), "host", "told").sortWithinPartitions("host", "layout", "told", "html")
+    parts = written(told.mapInArrow(_parts, "host string, layout string, first long, wrapper string"), "wrapper-parts")
+    parts = parts.repartition(partitions(spark), "host").sortWithinPartitions("host", "layout", "first", "wrapper")
+    wrappers = small(written(parts.mapInArrow(_induced, "host string, wrapper string"), "wrappers"), BROADCAST)
     kind = dict(pages.dtypes)
     return rows.join(wrappers, "host", "left").select("page_id", "url", "html", "wrapper").mapInArrow(_extracted, f"page_id {kind['page_id']}, url {kind['url']}, text string, n_chars long")
