@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from touchline.llm import word_table
 from touchline.llm.exact_topk import exact_topk
+from touchline.llm.fill_middle import transformed
 from touchline.llm.html_text import extract_pages
 from touchline.llm.jaccard_join import jaccard_classes
 from touchline.llm.language_id import identify_languages
 from touchline.llm.merge_dropout import round_trips
+from touchline.llm.merkle import verified
 from touchline.llm.packing import pack_documents
 from touchline.llm.permutation_index import nearest
 from touchline.llm.quality import quality
@@ -120,3 +123,75 @@ WITH RECURSIVE w AS (
 ), r(doc_id, root) AS (SELECT doc_id, doc_id FROM w UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.doc_id)
 SELECT r.doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(r.root) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id
 """
+
+
+@_query
+def op11_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document through the table of distinct words, and the text decoded from them, as digests."""
+    return word_table.round_trips(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-the-middle form of every document, and the text restored from it, as digests."""
+    return transformed(_table(spark, sf_dir, "documents"))
+
+
+_LINES = r"regexp_extract_all(t, '[^\n]*\n|[^\n]+')"
+ORACLES["op12_fill_middle"] = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), i, 8) AS BIGINT)) AS h
+  FROM documents
+), l AS (SELECT doc_id, t, h, {_LINES} AS l, len({_LINES}) AS n FROM d
+), c AS (
+  SELECT doc_id, t, n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+    array_to_string(l[1:least(h[1] % (n + 1), h[2] % (n + 1))], '') AS p,
+    array_to_string(l[least(h[1] % (n + 1), h[2] % (n + 1)) + 1:greatest(h[1] % (n + 1), h[2] % (n + 1))], '') AS m,
+    array_to_string(l[greatest(h[1] % (n + 1), h[2] % (n + 1)) + 1:], '') AS s
+  FROM l
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM c
+"""
+
+
+@_query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and checked proof of every document."""
+    return verified(_table(spark, sf_dir, "documents"))
+
+
+#: Unsigned crc32 of the decimal id, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295)"""
+_FIELD = "coalesce(CAST(octet_length(encode(CAST({0} AS VARCHAR))) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || " + _FIELD + ")"
+_ABOVE = "list_transform(range(0, len(l), 8), lambda i: sha256(array_to_string(l[i + 1:i + 8], '')))"
+ORACLES["op13_merkle_manifest"] = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, {_LEAF.format("text")} AS leaf,
+    {_LEAF.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS low,
+    doc_id IS NOT NULL AND crc32_of_id % 3 = 0 AS tampered
+  FROM (SELECT *, {_CRC} AS crc32_of_id FROM documents)
+), i AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d
+), t(lang, level, l) AS (
+  SELECT lang, 0, list(leaf ORDER BY pos) FROM i GROUP BY lang
+  UNION ALL SELECT lang, level + 1, {_ABOVE} FROM t WHERE len(l) > 1
+), s AS (SELECT lang, l[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM t WHERE len(l) = 1
+), u(level, l) AS (
+  SELECT 0, list(subroot ORDER BY pos) FROM s
+  UNION ALL SELECT level + 1, {_ABOVE} FROM u WHERE len(l) > 1
+), b AS (  -- one row per document and level with several nodes: its run and its slot there
+  SELECT i.lang, i.pos, t.level AS level, t.l[(i.pos // CAST(8 ** level AS BIGINT)) // 8 * 8 + 1:(i.pos // CAST(8 ** level AS BIGINT)) // 8 * 8 + 8] AS run, (i.pos // CAST(8 ** level AS BIGINT)) % 8 + 1 AS slot
+  FROM i JOIN t ON i.lang IS NOT DISTINCT FROM t.lang AND len(t.l) > 1
+  UNION ALL SELECT i.lang, i.pos, 1000 + u.level, u.l[(s.pos // CAST(8 ** u.level AS BIGINT)) // 8 * 8 + 1:(s.pos // CAST(8 ** u.level AS BIGINT)) // 8 * 8 + 8], (s.pos // CAST(8 ** u.level AS BIGINT)) % 8 + 1
+  FROM i JOIN s ON i.lang IS NOT DISTINCT FROM s.lang JOIN u ON len(u.l) > 1
+), p AS (
+  SELECT lang, pos, list({{'a': array_to_string(run[1:slot - 1], ''), 'b': array_to_string(run[slot + 1:], '')}} ORDER BY level) AS path FROM b GROUP BY lang, pos
+)
+SELECT i.doc_id, i.leaf, s.subroot, r.l[1] AS root, sha256(coalesce(array_to_string(list_transform(path, lambda x: x.a || x.b), ''), '')) AS proof_sha256,
+  list_reduce(list_prepend({{'a': '', 'b': CASE WHEN tampered THEN low ELSE leaf END}}, coalesce(path, [])), lambda x, y: {{'a': '', 'b': sha256(y.a || x.b || y.b)}}).b AS folded_root,
+  folded_root = r.l[1] AS verified
+FROM i JOIN u r ON len(r.l) = 1 JOIN s ON i.lang IS NOT DISTINCT FROM s.lang LEFT JOIN p ON p.lang IS NOT DISTINCT FROM i.lang AND p.pos = i.pos
+"""
