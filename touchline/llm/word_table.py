@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from touchline.llm.common import lists, partitions, run_bounds, whole_runs
 from touchline.sources.shared import new_path
 
-BLOCK = 32 << 20  # characters of a block, about
+BLOCK = 12 << 20  # characters of a block, about
 WORDS = 1 << 20  # distinct words after which a block is closed
 SHARD = 1 << 20  # entries (block, word) of a shard of the word table, about
-_OUT = 4 << 20  # ids of a batch, about
+_OUT = 1 << 20  # ids of a batch, about
 #: Characters whose classes do not change between Unicode versions; words of texts with others come from the tokenizer's own library.
 _STABLE = [(0, 0x24F), (0x2010, 0x2027), (0x2030, 0x205E), (0x20A0, 0x20BF)]
 
