@@ -23,12 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import lists, partitions, run_bounds, whole_runs
+from touchline.llm.common import partitions, run_bounds, utf8, whole_runs
 from touchline.sources.shared import new_path
 
 BLOCK = 12 << 20  # characters of a block, about
 WORDS = 1 << 20  # distinct words after which a block is closed
-SHARD = 1 << 20  # entries (block, word) of a shard of the word table, about
+SHARD = 1 << 18  # entries (block, word) of a shard of the word table, about
 _OUT = 1 << 20  # ids of a batch, about
 #: Characters whose classes do not change between Unicode versions; words of texts with others come from the tokenizer's own library.
 _STABLE = [(0, 0x24F), (0x2010, 0x2027), (0x2030, 0x205E), (0x20A0, 0x20BF)]
@@ -122,10 +122,10 @@ class _Block:
         self.positions.append(np.fromiter(map(known.__getitem__, words), np.uint32, len(words)))
         self.size += size
 
-    def packed(self) -> bytes:
-        """Numbers of all positions, their low, middle and high bytes apart, which compress better so."""
-        at = np.concatenate([*self.positions, np.zeros(0, np.uint32)]).astype("<u4")
-        return zstandard.ZstdCompressor(level=1).compress(at.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, their low to high bytes apart, which compress better so."""
+    return zstandard.ZstdCompressor(level=1).compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
@@ -133,14 +133,27 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
 
 
+def _packed_words(words: pa.StringArray) -> tuple[bytes, bytes]:
+    """Sizes and bytes of words."""
+    data, offsets = utf8(words)
+    return _packed(np.diff(offsets)), zstandard.ZstdCompressor(level=1).compress(data[offsets[0] : offsets[-1]].tobytes())
+
+
+def _unpacked_words(sizes: bytes, data: bytes) -> pa.LargeStringArray:
+    ends = np.concatenate([[0], np.cumsum(_unpacked(sizes), dtype=np.int64)])
+    return pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(zstandard.ZstdDecompressor().decompress(data)))
+
+
 def _split(batches: Iterator[pa.RecordBatch], path: str, block: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """One row per block: its number, its rows with their counts of words, the packed positions, the words in the order of their numbers."""
+    """One row per block: its number, its rows with their counts of words, the packed positions, and its words in the order of their numbers."""
     words = words_of(path)
     number, held = TaskContext.get().partitionId() << 32, _Block()
 
     def row() -> pa.RecordBatch:
-        values = {"block": [number], "doc_id": [held.ids], "counts": [held.counts], "positions": [held.packed()], "words": [list(held.known)]}
-        kinds = [pa.int64(), pa.list_(kind), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.string())]
+        positions = _packed(np.concatenate([*held.positions, np.zeros(0, np.uint32)]))
+        sizes, data = _packed_words(pa.array(list(held.known), pa.large_string()))
+        values = {"block": [number], "doc_id": [held.ids], "counts": [held.counts], "positions": [positions], "entries": [len(held.known)], "sizes": [sizes], "words": [data]}
+        kinds = [pa.int64(), pa.list_(kind), pa.list_(pa.int32()), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values.values(), kinds, strict=True)], names=list(values))
 
     for batch in batches:
@@ -156,43 +169,37 @@ def _split(batches: Iterator[pa.RecordBatch], path: str, block: int, kind: pa.Da
 
 
 def _dealt(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    """The words of a block by shard of the word table: a row per block and shard with the words and their numbers."""
+    """The words of a block by shard of the word table: a row per block and shard with the words and their numbers (as steps)."""
     for batch in batches:
-        for i in range(batch.num_rows):
-            held = batch.column("words")[i].values
-            shard = np.array([zlib.crc32(w.encode()) % shards for w in held.to_pylist()], np.int64)
+        for number, sizes, data in zip(*(batch.column(c).to_pylist() for c in ("block", "sizes", "words")), strict=True):
+            words = _unpacked_words(sizes, data)
+            shard = np.array([zlib.crc32(w.encode()) % shards for w in words.to_pylist()], np.int64)
             order = np.argsort(shard, kind="stable")
             bounds = run_bounds(shard[order])
-            n = len(bounds) - 1
-            starts = pa.array(bounds.astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shard[order[bounds[:-1]]]), pa.array(np.full(n, batch.column("block")[i].as_py())), pa.ListArray.from_arrays(starts, pa.array(order.astype(np.int32))), pa.ListArray.from_arrays(starts, held.take(pa.array(order)))],
-                names=["shard", "block", "numbers", "words"],
-            )
+            runs = [order[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            packed = [(_packed(np.diff(run, prepend=0)), *_packed_words(words.take(pa.array(run)))) for run in runs]
+            columns = [pa.array(x, pa.binary()) for x in zip(*packed, strict=True)] or [pa.array([], pa.binary())] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(shard[order[bounds[:-1]]]), pa.array(np.full(len(runs), number)), *columns], names=["shard", "block", "numbers", "sizes", "words"])
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """Ids of the words of whole shards, each distinct word encoded once, by block."""
     encode = words_of(path).encode
     for table in whole_runs(batches, "shard"):
-        for batch in table.to_batches():
-            words = batch.column("words")
-            used = pc.dictionary_encode(words.flatten())
-            yield from _shard_rows(batch, words, used, [encode(w) for w in used.dictionary.to_pylist()])
-
-
-def _shard_rows(batch: pa.RecordBatch, words: pa.ListArray, used: pa.DictionaryArray, coded: list[list[int]]) -> Iterator[pa.RecordBatch]:
-    sizes = np.array([len(x) for x in coded], np.int64)
-    flat = np.fromiter((i for x in coded for i in x), np.int64, int(sizes.sum()))
-    at = used.indices.to_numpy()
-    ids, ends = _taken(flat, np.concatenate([[0], np.cumsum(sizes)]), at)
-    bounds = words.offsets.to_numpy() - words.offsets[0].as_py()
-    out = [(sizes[at[a:b]].astype("<u4").tobytes(), ids[ends[a] : ends[b]].astype("<u4").tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    squeeze = zstandard.ZstdCompressor(level=1).compress
-    yield pa.RecordBatch.from_arrays(
-        [batch.column("block"), batch.column("numbers"), pa.array([squeeze(x) for x, _ in out], pa.binary()), pa.array([squeeze(x) for _, x in out], pa.binary())],
-        names=["block", "numbers", "sizes", "ids"],
-    )
+        shard = table.column("shard").to_numpy()
+        bounds = run_bounds(shard)
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            rows = table.slice(a, b - a)
+            words = [_unpacked_words(s, w) for s, w in zip(rows.column("sizes").to_pylist(), rows.column("words").to_pylist(), strict=True)]
+            used = pc.dictionary_encode(pa.concat_arrays(words))
+            coded = [encode(w) for w in used.dictionary.to_pylist()]
+            sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+            flat = np.fromiter((i for x in coded for i in x), np.int32, int(sizes.sum()))
+            ends, at = np.concatenate([[0], np.cumsum(sizes)]), used.indices.to_numpy()
+            starts = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+            out = [(_packed(sizes[at[c:d]]), _packed(_taken(flat, ends, at[c:d])[0])) for c, d in zip(starts[:-1], starts[1:], strict=True)]
+            columns = [pa.array(x, pa.binary()) for x in zip(*out, strict=True)]
+            yield pa.RecordBatch.from_arrays([rows.column("block").combine_chunks(), rows.column("numbers").combine_chunks(), *columns], names=["block", "numbers", "sizes", "ids"])
 
 
 def _taken(flat: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,13 +211,11 @@ def _taken(flat: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarr
 
 def _set_in(block: pa.Table, words: pa.Table, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     """(doc_id, ids) of the rows of one block from its positions and the ids of its words."""
-    loose = zstandard.ZstdDecompressor().decompress
-    numbers = words.column("numbers").combine_chunks().flatten().to_numpy() if words.num_rows else np.zeros(0, np.int64)
-    sizes = np.concatenate([np.frombuffer(loose(x), "<u4") for x in words.column("sizes").to_pylist()] or [np.zeros(0, np.uint32)]).astype(np.int64)
-    flat = np.concatenate([np.frombuffer(loose(x), "<u4") for x in words.column("ids").to_pylist()] or [np.zeros(0, np.uint32)]).astype(np.int32)
+    numbers, sizes, flat = (np.concatenate([f(x) for x in words.column(c).to_pylist()] or [np.zeros(0, np.int64)]) for c, f in (("numbers", lambda x: np.cumsum(_unpacked(x), dtype=np.int64)), ("sizes", _unpacked), ("ids", _unpacked)))
+    flat = flat.astype(np.int32)
     where = np.empty(len(numbers), np.int64)
     where[numbers] = np.arange(len(numbers))
-    ends = np.concatenate([[0], np.cumsum(sizes)])
+    ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
     for k in range(block.num_rows):
         doc_ids, counts = block.column("doc_id")[k].values, np.array(block.column("counts")[k].as_py(), np.int64)
         positions = _unpacked(block.column("positions")[k].as_py())
@@ -235,15 +240,15 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     arrow = _arrow_type(rows, "doc_id")
-    split = rows.mapInArrow(lambda batches: _split(batches, path, block, arrow), f"block long, doc_id array<{kind}>, counts array<int>, positions binary, words array<string>")
+    split = rows.mapInArrow(lambda batches: _split(batches, path, block, arrow), f"block long, doc_id array<{kind}>, counts array<int>, positions binary, entries long, sizes binary, words binary")
     name = f"split_{uuid.uuid4().hex}"
     split.write.bucketBy(max(partitions(spark), 1), "block").format("parquet").option("compression", "zstd").option("path", new_path(spark, "split")).saveAsTable(name)
     held = spark.table(name)
-    entries = held.agg(F.sum(F.size("words"))).first()[0] or 0
+    entries = held.agg(F.sum("entries")).first()[0] or 0
     shards = max(1, -(-entries // shard))
-    dealt = held.select("block", "words").mapInArrow(lambda batches: _dealt(batches, shards), "shard long, block long, numbers array<int>, words array<string>")
+    dealt = held.select("block", "sizes", "words").mapInArrow(lambda batches: _dealt(batches, shards), "shard long, block long, numbers binary, sizes binary, words binary")
     dealt = dealt.repartition(min(shards, max(partitions(spark), 1)), "shard").sortWithinPartitions("shard")
-    table = dealt.mapInArrow(lambda batches: _encoded(batches, path), "block long, numbers array<int>, sizes binary, ids binary")
+    table = dealt.mapInArrow(lambda batches: _encoded(batches, path), "block long, numbers binary, sizes binary, ids binary")
 
     def set_in(blocks: pa.Table, words: pa.Table) -> pa.Table:
         return pa.Table.from_batches(list(_set_in(blocks, words, arrow)), pa.schema([("doc_id", arrow), ("ids", pa.list_(pa.int32()))]))
