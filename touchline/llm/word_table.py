@@ -8,6 +8,7 @@ words and their ids are shuffled. A word that fills the corpus is one row of eac
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 import uuid
@@ -303,18 +304,26 @@ def decode_documents(coded: DataFrame, path: str | None = None) -> DataFrame:
     return rows.mapInArrow(lambda batches: _decoded(batches, pieces), f"{schema}, text string")
 
 
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with the number of their ids and a digest of them."""
+    for batch in batches:
+        ids = batch.column("ids")
+        flat, ends = ids.flatten().to_numpy().astype("<u4", copy=False), ids.offsets.to_numpy() - ids.offsets[0].as_py()
+        sums = [hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)), pa.array(sums, pa.string()), ids], names=["doc_id", "n_tokens", "ids_sha256", "ids"])
+
+
 def round_trips(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of unsigned 32-bit little-endian ids) and decoded_sha256 of every text, encoded and decoded again."""
-    import hashlib
-
-    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("ids")
-            flat, ends = ids.flatten().to_numpy().astype("<u4", copy=False), ids.offsets.to_numpy() - ids.offsets[0].as_py()
-            sums = [hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)), pa.array(sums, pa.string()), ids], names=["doc_id", "n_tokens", "ids_sha256", "ids"])
-
-    coded = encode_documents(docs, path)
-    kind = dict(coded.dtypes)["doc_id"]
-    rows = decode_documents(coded.mapInArrow(digested, f"doc_id {kind}, n_tokens long, ids_sha256 string, ids array<int>"), path)
+    """doc_id, n_tokens, ids_sha256 (of unsigned 32-bit little-endian ids) and decoded_sha256 of every text, encoded and decoded again.
+
+    Digests and texts of the ids of `encode_documents` are made in one pass, as `decode_documents` makes them.
+    """
+    path = vocabulary_path() if path is None else path
+    coded, pieces = encode_documents(docs, path), words_of(path).pieces()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _decoded(_digested(batches), pieces):
+            yield batch.select(["doc_id", "n_tokens", "ids_sha256", "text"])
+
+    rows = coded.mapInArrow(run, f"doc_id {dict(coded.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, text string")
     return rows.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
