@@ -10,6 +10,7 @@ from touchline.operators import aggregates, goal_models, ratings
 from touchline.plans import inputs
 from touchline.plans.common import rounded, rsql
 from touchline.plans.registry import query
+from touchline.sources.shared import written
 
 MW = inputs.sql_with("matches")
 
@@ -220,40 +221,144 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(goal_models.poisson_as_of(inputs.matches(spark, sf), 7.0), ["match_id"], list(_ASOF))
 
 
-@query("dixon_coles_fit", "6.12 6.18")
+
+# A weighted likelihood climbed in SQL by small steps of all parameters at once, from pair sums `p` (k, h, a, w, hg, ag, low scores).
+_LOW_SUMS = ", ".join(f"sum(CASE WHEN {{h}} = {i} AND {{a}} = {j} THEN w ELSE 0e0 END) AS w{i}{j}" for i in (0, 1) for j in (0, 1))
+
+
+def _pairs_sql(source: str, key: str, home: str = "home_goals", away: str = "away_goals") -> str:
+    low = _LOW_SUMS.format(h=home, a=away)
+    return f"SELECT {key} AS k, home_team AS h, away_team AS a, sum(w) AS w, sum(w * {home}) AS hg, sum(w * {away}) AS ag, {low} FROM {source} GROUP BY ALL"
+
+
+def _fit_sql(ridge: float, rho: bool, steps: int = 1500) -> str:
+    r = 2 * ridge
+    none = "w00 * -lam * mu * rh / (1 - lam * mu * rh)"
+    slope = "sum(-w00 * lam * mu / (1 - lam * mu * rh) + w01 * lam / (1 + lam * rh) + w10 * mu / (1 + mu * rh) - w11 / (1 - rh))"
+    bend = "sum(w00 * pow(lam * mu / (1 - lam * mu * rh), 2) + w01 * pow(lam / (1 + lam * rh), 2) + w10 * pow(mu / (1 + mu * rh), 2) + w11 / pow(1 - rh, 2))"
+    return f""", tm AS (SELECT k, team, team = min(team) OVER (PARTITION BY k) AS fixed FROM (SELECT DISTINCT k, unnest([h, a]) AS team FROM p)),
+st AS (SELECT 0 AS i, k, team, fixed, 0e0 AS al, 0e0 AS be, 0e0 AS ga, 0e0 AS rh FROM tm UNION ALL
+ (WITH r AS (SELECT p.*, x.rh, exp(x.al + y.be + x.ga) AS lam, exp(y.al + x.be) AS mu FROM p JOIN st x ON x.k = p.k AND x.team = p.h JOIN st y ON y.k = p.k AND y.team = p.a),
+ t AS (SELECT *, {f"{none} + w01 * lam * rh / (1 + lam * rh)" if rho else "0e0"} AS th, {f"{none} + w10 * mu * rh / (1 + mu * rh)" if rho else "0e0"} AS ta FROM r),
+ s AS (SELECT k, team, sum(g) AS g, sum(f) AS f, sum(c) AS c, sum(d) AS d FROM (SELECT k, h AS team, hg + th AS g, w * lam AS f, ag + ta AS c, w * mu AS d FROM t UNION ALL SELECT k, a, ag + ta, w * mu, hg + th, w * lam FROM t) GROUP BY k, team),
+ e AS (SELECT k, sum(hg + th - w * lam) / sum(w * lam) AS dg, {f"{slope} / {bend}" if rho else "0e0"} AS dr FROM t GROUP BY k)
+ SELECT i + 1, st.k, st.team, fixed, CASE WHEN fixed THEN 0e0 ELSE al + 0.45 * (g - f - {r} * al) / (f + {r}) END, CASE WHEN fixed THEN 0e0 ELSE be + 0.45 * (c - d - {r} * be) / (d + {r}) END, ga + 0.45 * dg, rh + 0.45 * dr
+ FROM st JOIN s ON s.k = st.k AND s.team = st.team JOIN e ON e.k = st.k WHERE i < {steps})),
+fit AS (SELECT * FROM st WHERE i = {steps})
+"""
+
+
+RW = MW.replace("WITH ", "WITH RECURSIVE ", 1)
+_WHOLE = RW + ", m AS (SELECT *, 1e0 AS w FROM matches), p AS MATERIALIZED (" + _pairs_sql("m", "'whole'") + ")"
+
+
+def _whole_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return written(goal_models.pair_sums(inputs.matches(spark, sf).withColumn("model", F.lit("whole")), keys=("model",)), "pairs")
+
+
+@query("dixon_coles_fit", "6.12 6.18", _WHOLE + _fit_sql(0.0, True) + "SELECT team, round(al, 4) AS alpha, round(be, 4) AS beta, round(ga, 4) AS gamma, round(rh, 4) AS rho FROM fit")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    m = inputs.matches(spark, sf)
-    strengths, gamma = goal_models.fit_strengths(m)
-    rho = goal_models.fit_rho(goal_models.with_rates(m, strengths, gamma)).scalar()
-    out = strengths.withColumns({"gamma": F.lit(gamma), "rho": rho})
-    return rounded(out, ["team", "rho"], ["alpha", "beta", "gamma"], 4)
+    return rounded(goal_models.fit_goal_models(_whole_pairs(spark, sf), ["model"]), ["team"], ["alpha", "beta", "gamma", "rho"], 4)
 
 
-@query("dixon_coles_markets", "6.13 6.15 6.19")
+@query(
+    "goal_fit_balances",
+    "6.12",
+    MW
+    + """, g AS (SELECT home_team AS team, home_goals AS s, away_goals AS c FROM matches UNION ALL SELECT away_team, away_goals, home_goals FROM matches)
+SELECT team, sum(s)::DOUBLE AS scored, sum(c)::DOUBLE AS conceded, CASE WHEN team > min(team) OVER () THEN 0e0 END AS scored_left, CASE WHEN team > min(team) OVER () THEN 0e0 END AS conceded_left FROM g GROUP BY team""",
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    m = inputs.matches(spark, sf)
-    rated = goal_models.as_of_rates(m, F.col("season"))
-    rho = goal_models.fit_rho(rated.filter("lam IS NOT NULL")).scalar()
-    out = G.with_score_markets(rated.filter("lam IS NOT NULL").select("match_id", "block", "lam", "mu"), "lam", "mu", rho, 8)
-    return rounded(out, ["match_id", "block", "most_likely_score"], ["lam", "mu", "home_win", "draw", "away_win", "over_2_5", "btts"], 4)
+    pairs = _whole_pairs(spark, sf)
+    out = goal_models.balances(pairs, goal_models.fit_goal_models(pairs, ["model"]), ["model"])
+    return rounded(out, ["team"], ["scored", "conceded", "scored_left", "conceded_left"], 2)
+
 
+_FADE = "exp(-0.6931471805599453e0 * greatest(datediff('day', match_date, {ref}), 0) / {halflife}e0)"
+
+
+def _as_of_sql(blocks: str) -> str:
+    """Rates of each match of a block from the fit on all blocks before it, faded to its start; `blocks` adds `block` to the matches."""
+    return (
+        RW
+        + f""", t AS ({blocks}), b AS (SELECT block AS upto, min(match_date) AS start FROM t GROUP BY block),
+m AS (SELECT t.*, b.upto, {_FADE.format(ref="b.start", halflife=365)} AS w FROM t JOIN b ON t.block < b.upto), p AS MATERIALIZED ({_pairs_sql("m", "upto")})"""
+        + _fit_sql(0.02, True, 5000)
+        + """, e AS (SELECT k, max(ga) AS ga, max(rh) AS rh FROM fit GROUP BY k),
+q AS (SELECT t.match_id, t.block, e.rh, exp(coalesce(x.al, 0) + coalesce(y.be, 0) + e.ga) AS lam, exp(coalesce(y.al, 0) + coalesce(x.be, 0)) AS mu
+ FROM t JOIN e ON e.k = t.block LEFT JOIN fit x ON x.k = t.block AND x.team = home_team LEFT JOIN fit y ON y.k = t.block AND y.team = away_team)
+"""
+    )
 
-@query("goal_model_per_league", "6.18 6.23 6.20")
+
+_CELLS = """, g AS (SELECT i, j FROM (SELECT unnest(range(0, 9)) AS i) a, (SELECT unnest(range(0, 9)) AS j) b),
+c AS (SELECT match_id, block, lam, mu, i, j, greatest(exp(-lam) * pow(lam, i) / factorial(CAST(i AS INT)) * exp(-mu) * pow(mu, j) / factorial(CAST(j AS INT))
+ * CASE WHEN i = 0 AND j = 0 THEN 1 - lam * mu * rh WHEN i = 0 AND j = 1 THEN 1 + lam * rh WHEN i = 1 AND j = 0 THEN 1 + mu * rh WHEN i = 1 AND j = 1 THEN 1 - rh ELSE 1 END, 0) AS p FROM q, g)
+"""
+_CELL_MARKETS = {
+    "lam": "max(lam)", "mu": "max(mu)", "home_win": "sum(p) FILTER (i > j) / sum(p)", "draw": "sum(p) FILTER (i = j) / sum(p)", "away_win": "sum(p) FILTER (i < j) / sum(p)",
+    "over_2_5": "sum(p) FILTER (i + j > 2.5) / sum(p)", "btts": "max(1 - exp(-lam) - exp(-mu) + exp(-lam - mu))",
+}
+
+
+@query(
+    "dixon_coles_markets",
+    "6.13 6.15 6.19",
+    _as_of_sql("SELECT *, season AS block FROM matches") + _CELLS + f"SELECT match_id, block, {rsql(_CELL_MARKETS, 3)}, arg_max(CAST(i AS VARCHAR) || '-' || CAST(j AS VARCHAR), p) AS most_likely_score FROM c GROUP BY match_id, block",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    rated = goal_models.as_of_rates(written(inputs.matches(spark, sf), "matches"), F.col("season")).filter("lam IS NOT NULL")
+    out = G.with_score_markets(rated.select("match_id", "block", "lam", "mu", "rho"), "lam", "mu", F.col("rho"), 8)
+    return rounded(out, ["match_id", "block", "most_likely_score"], list(_CELL_MARKETS), 3)
+
+
+@query(
+    "dixon_coles_refits",
+    "6.13 6.20",
+    _as_of_sql(
+        "SELECT *, CASE WHEN f < 2000 THEN 0 WHEN f < 6000 THEN 1 WHEN f < 11000 THEN 2 ELSE 3 + (f - 11000) // 5000 END AS block FROM "
+        "(SELECT *, min(r) OVER (PARTITION BY match_date) AS f FROM (SELECT *, row_number() OVER (ORDER BY match_date, match_id) - 1 AS r FROM matches) x) y"
+    )
+    + "SELECT match_id, CAST(block AS BIGINT) AS block, round(lam, 3) AS lam, round(mu, 3) AS mu FROM q",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    blocks = written(goal_models.refit_blocks(inputs.matches(spark, sf), 2000), "matches")
+    return rounded(goal_models.as_of_rates(blocks, F.col("block")).filter("lam IS NOT NULL"), ["match_id", "block"], ["lam", "mu"], 3)
+
+
+@query(
+    "goal_model_per_league",
+    "6.18 6.23 6.20",
+    RW
+    + f""", d AS (SELECT *, {_FADE.format(ref="(SELECT max(match_date) + 1 FROM matches)", halflife=365)} AS w FROM matches), m AS (SELECT *, league AS model FROM d UNION ALL SELECT *, '*' FROM d),
+p AS MATERIALIZED ({_pairs_sql("m", "model")})"""
+    + _fit_sql(0.02, True, 6000)
+    + """, n AS (SELECT league, CASE WHEN count(*) >= 50 THEN league ELSE '*' END AS model FROM matches GROUP BY league), e AS (SELECT k, max(ga) AS ga FROM fit GROUP BY k)
+SELECT match_id, n.model AS model_league, round(exp(coalesce(x.al, 0) + coalesce(y.be, 0) + e.ga), 4) AS lam, round(exp(coalesce(y.al, 0) + coalesce(x.be, 0)), 4) AS mu
+ FROM matches JOIN n USING (league) JOIN e ON e.k = n.model LEFT JOIN fit x ON x.k = n.model AND x.team = home_team LEFT JOIN fit y ON y.k = n.model AND y.team = away_team""",
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     out = goal_models.per_league_rates(inputs.matches(spark, sf))
     return rounded(out, ["match_id", "model_league"], ["lam", "mu"], 4)
 
 
-@query("xg_strength_model", "6.17 6.19")
+@query(
+    "xg_strength_model",
+    "6.17 6.19",
+    RW
+    + f""", m AS (SELECT *, greatest({_FADE.format(ref="(SELECT max(match_date) + 1 FROM matches)", halflife=730)}, 1e-6) AS w FROM matches),
+p AS MATERIALIZED ({_pairs_sql("m", "'all'", "home_xg", "away_xg")})"""
+    + _fit_sql(0.02, False)
+    + "SELECT team, round(al, 4) AS alpha, round(be, 4) AS beta, round(ga, 4) AS gamma FROM fit",
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    m = inputs.matches(spark, sf)
-    last = m.agg(F.date_add(F.max("match_date"), 1)).scalar()
     from touchline.operators.clean import recency_weight
 
-    dated = m.withColumn("_ref", last)
+    m = inputs.matches(spark, sf)
+    dated = m.withColumn("_ref", m.agg(F.date_add(F.max("match_date"), 1)).scalar()).withColumn("model", F.lit("all"))
     w = F.greatest(recency_weight(F.col("match_date"), F.col("_ref"), 730.0), F.lit(1e-6))
-    rows = goal_models.strength_rows(dated.withColumn("model", F.lit("all")), "home_xg", "away_xg", w, ("model",))
-    return rounded(goal_models.fit_strengths_by(rows, ["model"], 0.02), ["team"], ["alpha", "beta", "gamma"], 4)
+    pairs = written(goal_models.pair_sums(dated, "home_xg", "away_xg", w, ("model",)), "pairs")
+    return rounded(goal_models.fit_goal_models(pairs, ["model"], 0.02, with_rho=False), ["team"], ["alpha", "beta", "gamma"], 4)
 
 
 _STRENGTH = """, mu AS (SELECT avg(home_goals) AS h, avg(away_goals) AS a FROM matches),
