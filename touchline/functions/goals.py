@@ -79,12 +79,18 @@ def with_score_markets(
         top = int(t)
         under = [h[i] * ca[min(top - i, max_goals)] for i in range(min(top, max_goals) + 1)]
         out[f"_u{top}"] = add(under) + add([c for (i, j), c in d.items() if i + j <= top])
+    # without the correction the best cell is the best row and the best column; the corrected cells and the cells outside them compete
+    def peak(series: list[Column], numbers: range) -> Column:
+        return F.array_max(F.array(*[F.struct(series[k].alias("p"), F.lit(-k).alias("k")) for k in numbers]))
+
+    base = base.withColumns({"_h_low": peak(h, range(min(2, n))), "_a_all": peak(a, range(n))} | ({"_h_high": peak(h, range(2, n)), "_a_high": peak(a, range(2, n))} if n > 2 else {}))
+
+    def cell(row: str, column: str) -> Column:
+        return F.struct((F.col(f"{row}.p") * F.col(f"{column}.p")).alias("p"), F.col(f"{row}.k").alias("i"), F.col(f"{column}.k").alias("j"))
+
     grid = F.array(
-        *[
-            F.struct((h[i] * a[j] + (d[(i, j)] if (i, j) in d else F.lit(0.0))).alias("p"), F.lit(-i).alias("i"), F.lit(-j).alias("j"))
-            for i in range(n)
-            for j in range(n)
-        ]
+        *[F.struct((h[i] * a[j] + d[(i, j)]).alias("p"), F.lit(-i).alias("i"), F.lit(-j).alias("j")) for i, j in d if max(i, j) < n],
+        *([cell("_h_high", "_a_all"), cell("_h_low", "_a_high")] if n > 2 else []),
     )
     out["_best"] = F.array_max(grid)
     base = base.withColumns(out)

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.geo import haversine_km
 from touchline.operators.form import ORDER, team_game_log
 from touchline.operators.windows import Expanding, Feature, Previous, Trailing, block_of, with_asof
+from touchline.sources.shared import written
 
 H2H_METRICS: dict[str, str] = {
     "wins": "CAST(points = 3 AS INT)",
@@ -184,85 +181,54 @@ def travel_distance(matches: DataFrame, venues: DataFrame, max_km: float = 20_00
 # ---------------------------------------------------------------- league table
 
 
-def league_positions(matches: DataFrame, unit: str = "month") -> DataFrame:
+def league_positions(matches: DataFrame) -> DataFrame:
     """Place, points and games of both teams in the season's table just before each match.
 
-    Teams are ranked by points, goal difference and name among the teams seen so far and the two
-    that play. Totals at the start of each block are prefix sums over blocks; inside a block the
-    table is advanced match by match, so a task holds one league's fixtures of one block.
+    Teams are ranked by points, goal difference and name among the teams that have played and the two that play. A team's totals hold from
+    one of its games (not included) to its next one (included). These spells are laid on the days when the league plays, so a match
+    meets the spells of its own day only and counts those ahead of either side; a task holds days of a league, not a whole table's history.
     """
-    log = team_game_log(matches).withColumn("_block", block_of("match_date", unit))
-    per_block = log.groupBy("season", "league", "_block", "team").agg(
-        F.sum("points").alias("points"),
-        F.sum(F.coalesce("scored", F.lit(0)) - F.coalesce("conceded", F.lit(0))).alias("gd"),
-        F.count("*").alias("played"),
-    )
-    blocks = per_block.select("season", "league", "_block").distinct()
-    later = F.array_sort(F.collect_set("_block").over(Window.partitionBy("season", "league")))
-    blocks = blocks.withColumn("_blocks", later)
-    totals = per_block.withColumn(
-        "_next", F.lead("_block").over(Window.partitionBy("season", "league", "team").orderBy("_block"))
-    )
-    upto = Window.partitionBy("season", "league", "team").orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
-    for c in ("points", "gd", "played"):
-        totals = totals.withColumn(c, F.sum(c).over(upto))
-    calendar = blocks.select("season", "league", "_blocks").distinct()
-    start = (
-        totals.join(calendar, ["season", "league"])
-        .select(
-            "season",
-            "league",
-            "team",
-            "points",
-            "gd",
-            "played",
-            F.explode(
-                F.filter("_blocks", lambda b: (b > F.col("_block")) & (F.col("_next").isNull() | (b <= F.col("_next"))))
-            ).alias("_block"),
-        )
+    of = ["season", "league"]
+    w = Window.partitionBy(*of, "team").orderBy("match_date", "match_id")
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    gained = F.coalesce("scored", F.lit(0)) - F.coalesce("conceded", F.lit(0))
+    log = team_game_log(matches).select(
+        *of, "match_date", "match_id", "team", "is_home", F.coalesce("points", F.lit(0)).alias("_got"), gained.alias("_up"),
+        F.coalesce(F.sum("points").over(past), F.lit(0)).alias("pts"), F.coalesce(F.sum(gained).over(past), F.lit(0)).alias("gd"), (F.row_number().over(w) - 1).cast("long").alias("n"),
+        F.lead("match_date").over(w).alias("_end"), F.lead("match_id").over(w).alias("_end_id"),
     )
-    games = matches.select(
-        "season", "league", block_of("match_date", unit).alias("_block"), "match_date", "match_id",
-        "home_team", "away_team", "home_goals", "away_goals", "result",
+    days = log.select(*of, "match_date").distinct()
+    by_day = Window.partitionBy(*of)
+    days = days.select(*of, "match_date", F.row_number().over(by_day.orderBy("match_date")).alias("day"), F.count("*").over(by_day).cast("int").alias("days"))
+    log = written(log.join(days, [*of, "match_date"]), "table")
+    first = log.select(*of, F.col("match_date").alias("_end"), F.col("day").alias("_last")).distinct()
+    spells = log.join(first, [*of, "_end"], "left").select(
+        *of, F.explode(F.sequence("day", F.coalesce("_last", "days"))).alias("day"), F.col("day").alias("_from"), "_last", F.col("match_id").alias("_from_id"), "_end_id",
+        F.col("team").alias("_team"), (F.col("pts") + F.col("_got")).alias("_pts"), (F.col("gd") + F.col("_up")).alias("_gd"),
     )
-    keys = ["season", "league", "_block"]
-    schema = (
-        "match_id long, league_position long, points_total long, matches_played_league long, "
-        "away_league_position long, away_points_total long, away_matches_played_league long"
+    home, away = (
+        log.filter(f"is_home = {flag}").select(*(of if flag else []), *(["day"] if flag else []), "match_id", *[F.col(c).alias(f"{side}_{c}") for c in ("team", "pts", "gd", "n")])
+        for side, flag in (("h", 1), ("a", 0))
     )
-    return games.groupBy(*keys).cogroup(start.groupBy(*keys)).applyInPandas(_advance_table, schema)
-
-
-def _advance_table(games: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-    names = sorted(set(start["team"]) | set(games["home_team"]) | set(games["away_team"]))
-    at = {t: i for i, t in enumerate(names)}
-    pts, gd, played = (np.zeros(len(names), dtype=np.int64) for _ in range(3))
-    seen = np.zeros(len(names), dtype=bool)
-    rows = [at[t] for t in start["team"]]
-    pts[rows], gd[rows], played[rows], seen[rows] = start["points"], start["gd"], start["played"], True
-    order = np.arange(len(names))
-    out = []
-
-    def place(i: int) -> int:
-        ahead = (pts > pts[i]) | ((pts == pts[i]) & ((gd > gd[i]) | ((gd == gd[i]) & (order < i))))
-        return 1 + int((ahead & seen).sum())
-
-    games = games.sort_values(["match_date", "match_id"])
-    for g in games.itertuples(index=False):
-        h, a = at[g.home_team], at[g.away_team]
-        seen[h] = seen[a] = True
-        out.append((g.match_id, place(h), pts[h], played[h], place(a), pts[a], played[a]))
-        pts[h] += 3 if g.result == "H" else 1 if g.result == "D" else 0
-        pts[a] += 3 if g.result == "A" else 1 if g.result == "D" else 0
-        diff = (0 if pd.isna(g.home_goals) else int(g.home_goals)) - (0 if pd.isna(g.away_goals) else int(g.away_goals))
-        gd[h] += diff
-        gd[a] -= diff
-        played[h] += 1
-        played[a] += 1
-    return pd.DataFrame(
-        out,
-        columns=[
-            "match_id", "league_position", "points_total", "matches_played_league",
-            "away_league_position", "away_points_total", "away_matches_played_league",
-        ],
+    games = home.join(away, "match_id")
+
+    def ahead(x: str, y: str) -> Column:
+        """Whether x is placed before y; both are prefixes of columns."""
+        p, g, t = ((F.col(f"{x}_{c}"), F.col(f"{y}_{c}")) for c in ("pts", "gd", "team"))
+        return (p[0] > p[1]) | ((p[0] == p[1]) & ((g[0] > g[1]) | ((g[0] == g[1]) & (t[0] < t[1]))))
+
+    began = (F.col("_from") < F.col("day")) | (F.col("_from_id") < F.col("match_id"))
+    holds = F.col("_last").isNull() | (F.col("_last") > F.col("day")) | (F.col("_end_id") >= F.col("match_id"))
+    others = (F.col("_team") != F.col("h_team")) & (F.col("_team") != F.col("a_team"))
+    met = games.join(spells, [*of, "day"]).filter(began & holds & others & (ahead("", "h") | ahead("", "a")))
+    counts = met.groupBy("match_id").agg(F.count_if(ahead("", "h")).alias("_h"), F.count_if(ahead("", "a")).alias("_a"))
+    out = games.join(counts, "match_id", "left")
+
+    def place(c: str, better: Column) -> Column:
+        return F.lit(1) + F.coalesce(c, F.lit(0)) + better.cast("long")
+
+    return out.select(
+        "match_id", place("_h", ahead("a", "h")).alias("league_position"), F.col("h_pts").cast("long").alias("points_total"), F.col("h_n").alias("matches_played_league"),
+        place("_a", ahead("h", "a")).alias("away_league_position"), F.col("a_pts").cast("long").alias("away_points_total"), F.col("a_n").alias("away_matches_played_league"),
     )
+
