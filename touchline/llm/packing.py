@@ -8,8 +8,8 @@ its remainder seeds the next window. The last window of a shard is cut at powers
 
 from __future__ import annotations
 
-import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.common import lists, mix, partitions, run_bounds, whole_runs, written
+from touchline.llm.word_table import words_of
 
 WINDOW = 1024
 SHARD = 2048  # documents of a shard, about
@@ -28,10 +29,7 @@ SEPARATOR = 0
 K1, B = 1.2, 0.75
 HEAVY = 16  # heaviest shared terms of a document, among which its group is chosen
 LEVELS = 3  # terms by which groups are divided before the salt
-#: The split into words of byte-level BPE (a published pattern, fixed value).
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Characters whose classes do not change between Unicode versions; texts with others go to the tokenizer's own library.
-_STABLE = re.compile("[\x00-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]*")
+CACHED = 600_000  # words whose ids a Python worker keeps
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -40,34 +38,26 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _byte_alphabet() -> dict[str, int]:
-    """The printable characters by which byte-level BPE writes bytes."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-
-
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes, those of the tokenizer's file.
-
-    The file's ids are merge ranks, so its vocabulary also drives the faster rank encoder for common characters. Texts that hold the
-    literal of an added token go to the tokenizer itself, which gives that token's id.
-    """
+    """Ids of texts as little-endian unsigned 32-bit bytes, those of the tokenizer's file; the ids of words seen before are kept."""
 
     def __init__(self, path: str):
-        import tiktoken
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
-        self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or r"(?!)")
-        to = _byte_alphabet()
-        ranks = {bytes(to[c] for c in t): i for t, i in self.tokenizer.get_vocab().items() if t not in special}
-        self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.words = words_of(path)
+        self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
-        if (text.isascii() or _STABLE.fullmatch(text)) and not self.special.search(text):
-            return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        words = self.words.split(text)
+        out = list(map(self.known.get, words))
+        if None in out:
+            if len(self.known) > CACHED:
+                self.known = {}
+            for i, ids in enumerate(out):
+                if ids is None:
+                    word = words[i]
+                    if word not in self.known:
+                        self.known[word] = array("I", self.words.encode(word)).tobytes()
+                    out[i] = self.known[word]
+        return b"".join(out)
 
 
 @lru_cache(maxsize=2)
@@ -75,6 +65,13 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def counts_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids and how often each occurs."""
+    ids = np.sort(ids)
+    bounds = run_bounds(ids)
+    return ids[bounds[:-1]], np.diff(bounds)
+
+
 def _coded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """Checksums of the whole windows and ids of the rest of each document; distinct ids with counts of documents with both."""
     end = np.array([SEPARATOR], "<u4").tobytes()
@@ -86,7 +83,7 @@ def _coded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
             for text in texts[a : a + 256]:
                 ids = encoder(path).encode(text) + end
                 cut = len(ids) // wide * wide
-                terms, counts = np.unique(np.frombuffer(ids, "<u4"), return_counts=True) if cut else (None, None)
+                terms, counts = counts_of(np.frombuffer(ids, "<u4")) if cut else (None, None)
                 for c, x in (("tokens", len(ids) // 4), ("whole", [zlib.crc32(ids[s : s + wide]) for s in range(0, cut, wide)]), ("rest", ids[cut:]), ("terms", terms.tobytes() if cut else None), ("counts", counts.astype("<u4").tobytes() if cut else None)):
                     out[c].append(x)
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
@@ -98,7 +95,7 @@ def _terms(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple[np.ndarray, np.nd
     """Distinct ids and their counts in each whole document."""
     for rest, terms, counts in zip(*(batch.column(c).to_pylist() for c in ("rest", "terms", "counts")), strict=True):
         if terms is None:
-            yield np.unique(np.frombuffer(rest, "<u4"), return_counts=True)
+            yield counts_of(np.frombuffer(rest, "<u4"))
         else:
             yield np.frombuffer(terms, "<u4"), np.frombuffer(counts, "<u4").astype(np.int64)
 
@@ -209,41 +206,55 @@ def make_deal(weighed: DataFrame, shard: int) -> Deal:
     return deal
 
 
+Counted = tuple[np.ndarray, np.ndarray]  # distinct ids of a document and their counts
+
+
 class Bm25:
-    """Inverted index over token arrays with scores of a query's distinct tokens for all of them."""
-
-    def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None):
-        """Counts are those of `corpus`, without one those of the arrays."""
-        self.n = len(docs)
-        lengths = np.array([len(d) for d in docs])
-        width = int(max(d.max(initial=0) for d in docs)) + 1
-        pairs, tf = np.unique(np.concatenate([d.astype(np.int64) * self.n + i for i, d in enumerate(docs)]), return_counts=True)
-        self.terms, self.docs = pairs // self.n, (pairs % self.n).astype(np.int32)
-        df = np.bincount(self.terms, minlength=width)
+    """Inverted index over counted documents with scores of a query's distinct ids for all of them."""
+
+    def __init__(self, docs: list[np.ndarray] | list[Counted], corpus: Corpus | None = None):
+        """Counts of documents by term are those of `corpus`, without one those of `docs`."""
+        counted = [d if isinstance(d, tuple) else counts_of(d) for d in docs]
+        self.n = len(counted)
+        terms = np.concatenate([t for t, _ in counted]).astype(np.int64)
+        order = np.argsort(terms, kind="stable")
+        self.docs = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in counted])[order]
+        tf = np.concatenate([c for _, c in counted])[order]
+        self.terms, lengths = terms[order], np.array([c.sum() for _, c in counted])
+        df = np.bincount(self.terms)
         corpus = corpus or Corpus(self.n, lengths.mean(), df)
-        idf = corpus.idf
         norm = K1 * (1 - B + B * lengths / corpus.mean)
-        self.weights = idf[self.terms] * tf * (K1 + 1) / (tf + norm[self.docs])
+        self.weights = corpus.idf[self.terms] * tf * (K1 + 1) / (tf + norm[self.docs])
         self.starts = np.concatenate([[0], np.cumsum(df)])
 
+    def keep(self, wanted: np.ndarray) -> None:
+        """Drop the postings of all documents but the wanted ones."""
+        kept = wanted[self.docs]
+        self.terms, self.docs, self.weights = self.terms[kept], self.docs[kept], self.weights[kept]
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(self.terms, minlength=len(self.starts) - 1))])
+
     def scores(self, tokens: np.ndarray) -> np.ndarray:
-        terms = np.unique(tokens)
+        return self.scores_of(np.unique(tokens))
+
+    def scores_of(self, terms: np.ndarray) -> np.ndarray:
+        """Scores for distinct terms."""
         a, b = self.starts[terms], self.starts[terms + 1]
         sizes = b - a
         at = np.arange(sizes.sum()) + np.repeat(a - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
         return np.bincount(self.docs[at], self.weights[at], minlength=self.n)
 
 
-def fill(docs: list[np.ndarray], window: int = WINDOW, known: list[np.ndarray] | None = None, corpus: Corpus | None = None) -> Iterator[list[tuple[int, int, int]]]:
+def fill(docs: list[np.ndarray], window: int = WINDOW, known: list[np.ndarray] | list[Counted] | None = None, corpus: Corpus | None = None) -> Iterator[list[tuple[int, int, int]]]:
     """Windows as lists of (document, start, length); every id lies in one piece and all windows but the last are full.
 
     `known` has the ids by which each is found, those of its whole document; without it the arrays themselves count.
     """
     if not docs:
         return
-    known = docs if known is None else known
-    index = Bm25(known, corpus)
+    counted = [d if isinstance(d, tuple) else counts_of(d) for d in (docs if known is None else known)]
+    index = Bm25(counted, corpus)
     unused, left, first = np.ones(len(docs), bool), len(docs), 0
+    indexed = left  # documents with postings; those of used ones go when they are an eighth
     seed, at = -1, 0  # the document that is being cut, and how far it is used
     while left or seed >= 0:
         if seed < 0:
@@ -256,7 +267,10 @@ def fill(docs: list[np.ndarray], window: int = WINDOW, known: list[np.ndarray] |
         out, room = [(seed, at, n)], window - n
         asked, (seed, at) = seed, (seed, at + n) if at + n < len(docs[seed]) else (-1, 0)
         if room and left:
-            score = np.where(unused, index.scores(known[asked]), -1.0)
+            if 8 * left < 7 * indexed:
+                index.keep(unused)
+                indexed = left
+            score = np.where(unused, index.scores_of(counted[asked][0]), -1.0)
             while room and left:
                 best = int(score.argmax())
                 score[best] = -1.0
@@ -300,7 +314,7 @@ def _packed(batches: Iterator[pa.RecordBatch], corpus: Corpus) -> Iterator[pa.Re
                     k += 1
             raw = part.column("rest").to_pylist()
             rests = [i for i, x in enumerate(raw) if x]
-            known = [np.repeat(t, n) for t, n in _terms(part)]
+            known = list(_terms(part))
             for window in fill([np.frombuffer(raw[i], "<u4") for i in rests], known=[known[i] for i in rests], corpus=corpus):
                 for seq in [window] if sum(p[2] for p in window) == WINDOW else _cut(window):
                     offset = 0
