@@ -99,6 +99,19 @@ def test_permutation_index_keeps_ties_of_a_hot_vector(spark):
     assert hits / (5 * len(asked)) >= 0.95
 
 
+def test_permutation_index_of_very_large_and_small_vectors(spark):
+    rnd = np.random.default_rng(4)
+    v = rnd.normal(size=(120, 8))
+    size = np.array([1.0, 1e200, 1e-200, 1e-310])[np.arange(120) % 4]
+    df = spark.createDataFrame([(i, (x * s).tolist()) for i, (x, s) in enumerate(zip(v, size, strict=True))], "vec_id long, embedding array<double>")
+    kept = np.array([[float(c) for c in r.embedding] for r in df.orderBy("vec_id").collect()])
+    unit = kept / np.abs(kept).max(axis=1, keepdims=True)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    for r in permutation_index.nearest(df, F.col("id") % 10 == 0).collect():
+        best = np.sort(np.delete(unit @ unit[r.query_id], r.query_id))[::-1]
+        assert r.score == pytest.approx(best[r["rank"] - 1], abs=1e-9)
+
+
 def test_languages(spark):
     rnd = random.Random(1)
     words = {"en": "the and that with this from have which their".split(), "de": "der und nicht eine mit auch sich werden über".split(), "fr": "les des une dans pour avec être cette où".split()}

@@ -21,6 +21,11 @@ SHARE = 0.25  # of a block's rows that are reranked, besides ties
 LEAST = 64  # rows of a block that are reranked, at least
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that the largest component is below 1; cosines keep every bit and norms neither overflow nor vanish."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
+
+
 def _places(v: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """The nearest pivots of each vector in order; ties go to the first pivot."""
     return np.argsort(-(v @ pivots.T), axis=1, kind="stable")[:, :prefix]
@@ -28,8 +33,8 @@ def _places(v: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
 
 def search(k: int, pivots: np.ndarray, prefix: int, share: float):
     def run(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        count = len(ids)
-        rows, group = np.unique(rows, axis=0, return_inverse=True)
+        count, queries = len(ids), _scaled(queries)
+        rows, group = np.unique(_scaled(rows), axis=0, return_inverse=True)
         members = np.argsort(group.ravel(), kind="stable")  # rows by vector and then id
         begins = np.searchsorted(group.ravel()[members], np.arange(len(rows) + 1))
         size, asked = np.linalg.norm(rows, axis=1), np.linalg.norm(queries, axis=1)
@@ -76,5 +81,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     dims = [len(r.v) for r in sample]
     dim = max(set(dims), key=dims.count) if dims else 1
     p = np.array([r.v for r in sample if len(r.v) == dim], np.float64).reshape(-1, dim)
-    p = p / np.linalg.norm(p, axis=1, keepdims=True)
+    if len(p):
+        p = _scaled(p)
+        p = p / np.linalg.norm(p, axis=1, keepdims=True)
     return search_blocks(rows, is_query, search(k, p, prefix, share), "double", k, block, chunk)
