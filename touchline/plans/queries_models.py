@@ -13,6 +13,7 @@ from touchline.plans.registry import query
 from touchline.sources.shared import written
 
 MW = inputs.sql_with("matches")
+RW = MW.replace("WITH ", "WITH RECURSIVE ", 1)
 
 # The rating fold in SQL: a list of a pool's matches reduced over a map of ratings.
 _K_XG = "CASE WHEN abs(home_xg - away_xg) > 0 THEN 32 * ln(1 + least(abs(home_xg - away_xg), 5)) WHEN home_goals <> away_goals THEN 32 * ln(1 + least(abs(home_goals - away_goals), 5)) ELSE 32e0 END"
@@ -51,7 +52,27 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ratings.elo(inputs.matches(spark, sf), final=True), ["pool", "team"], ["rating"])
 
 
-@query("elo_history", "6.9 6.1")
+# One match of every pool a step, so that each step's ratings can be seen.
+_STEPS = (
+    RW
+    + f""", k AS (SELECT league AS pool, CAST({_K_XG} AS DOUBLE) AS k, CASE result WHEN 'H' THEN 1e0 WHEN 'D' THEN 0.5e0 ELSE 0e0 END AS s, home_team AS h, away_team AS a, season AS y, match_id,
+ row_number() OVER (PARTITION BY league ORDER BY match_date, match_id) AS i FROM matches),
+st AS (SELECT CAST(0 AS BIGINT) AS i, pool, MAP([]::VARCHAR[], []::DOUBLE[]) AS m, 0 AS y, CAST(NULL AS BIGINT) AS match_id, '' AS h, '' AS a, 0e0 AS hb, 0e0 AS ab, 0e0 AS d FROM (SELECT DISTINCT pool FROM k) UNION ALL
+ SELECT i, pool, map_concat(r, MAP {{h: hb + d, a: ab - d}}), y, match_id, h, a, hb, ab, d FROM
+ (SELECT *, k * (s - 1 / (1 + pow(10e0, (ab - hb - 100) / 400))) AS d FROM (SELECT *, coalesce(r[h], 1500e0) AS hb, coalesce(r[a], 1500e0) AS ab FROM
+ (SELECT k.*, CASE WHEN st.y = k.y OR st.y = 0 THEN st.m ELSE map_from_entries(list_transform(map_entries(st.m), lambda e: {{'k': e.key, 'v': list_avg(map_values(st.m)) + (e.value - list_avg(map_values(st.m))) * (2e0 / 3)}})) END AS r
+  FROM st JOIN k ON k.pool = st.pool AND k.i = st.i + 1))))
+"""
+)
+
+
+@query(
+    "elo_history",
+    "6.9 6.1",
+    _STEPS
+    + """SELECT pool, match_id, h AS team, round(hb, 6) AS before, round(hb + d, 6) AS after, round(d, 6) AS change FROM st WHERE i > 0
+ UNION ALL SELECT pool, match_id, a, round(ab, 6), round(ab - d, 6), round(-d, 6) FROM st WHERE i > 0""",
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     out = ratings.team_ratings(ratings.elo(inputs.matches(spark, sf), "league"))
     return rounded(out, ["pool", "match_id", "team"], ["before", "after", "change"])
@@ -102,6 +123,28 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out, ["match_id", "tier"], ["k_margin", "k_framework"])
 
 
+# Four ratings of each team (attack and defence at home, then away) moved match by match.
+_STAT_STEPS = (
+    RW
+    + """, v AS (SELECT unnest([home_sot, away_sot]) AS v FROM matches), c AS (SELECT avg(v) AS mean, CASE WHEN stddev_pop(v) >= 0.1 THEN stddev_pop(v) ELSE 1 END AS spread FROM v),
+k AS (SELECT league AS pool, home_team AS h, away_team AS a, match_id, row_number() OVER (PARTITION BY league ORDER BY match_date, match_id) AS i, mean, spread,
+ least(greatest((home_sot - mean) / spread, -5), 5) AS oh, least(greatest((away_sot - mean) / spread, -5), 5) AS oa, greatest(pow(2e0, -datediff('day', match_date, (SELECT max(match_date) + 1 FROM matches)) / 365e0), 0.01) AS w FROM matches, c),
+st AS (SELECT CAST(0 AS BIGINT) AS i, pool, MAP([]::VARCHAR[], []::DOUBLE[][]) AS m, CAST(NULL AS BIGINT) AS match_id, 0e0 AS eh, 0e0 AS ea FROM (SELECT DISTINCT pool FROM k) UNION ALL
+ SELECT i, pool, map_concat(m, MAP {{h: [x[1] + {rate} * w * (oh - eh), x[2] + {rate} * w * (oa - ea), x[3], x[4]], a: [z[1], z[2], z[3] + {rate} * w * (oa - ea), z[4] + {rate} * w * (oh - eh)]}}), match_id, greatest(eh * spread + mean, 0.01), greatest(ea * spread + mean, 0.01) FROM
+ (SELECT *, (x[1] + z[4]) / 2 AS eh, (z[3] + x[2]) / 2 AS ea FROM (SELECT k.*, st.m, coalesce(st.m[h], [5.5e0, 5.5e0, 5e0, 5e0]) AS x, coalesce(st.m[a], [5.5e0, 5.5e0, 5e0, 5e0]) AS z FROM st JOIN k ON k.pool = st.pool AND k.i = st.i + 1)))
+"""
+)
+
+
+@query(
+    "stat_ratings_slow",
+    "6.10 6.11",
+    _STAT_STEPS.format(rate="0.05e0") + "SELECT match_id, round(eh, 4) AS exp_home, round(ea, 4) AS exp_away FROM st WHERE i > 0",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(ratings.stat_rating_history(inputs.matches(spark, sf), "sot", "league", ratings.StatRules(k=0.05)), ["match_id"], ["exp_home", "exp_away"], 4)
+
+
 @query("stat_ratings", "6.10 6.11")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ratings.stat_rating_history(inputs.matches(spark, sf), "sot", "league"), ["match_id"], ["exp_home", "exp_away"], 4)
@@ -248,7 +291,6 @@ fit AS (SELECT * FROM st WHERE i = {steps})
 """
 
 
-RW = MW.replace("WITH ", "WITH RECURSIVE ", 1)
 _WHOLE = RW + ", m AS (SELECT *, 1e0 AS w FROM matches), p AS MATERIALIZED (" + _pairs_sql("m", "'whole'") + ")"
 
 
