@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from tools.check import TABLES, norm
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["form_rolling", "league_positions", "standings", "odds_features", "resolve_names", "risk_frequency", "drift_quantiles", "version_delta", "score_markets", "elo_by_league", "elo_history", "xg_strength_model"]
+NAMES = ["form_rolling", "league_positions", "standings", "odds_features", "resolve_names", "risk_frequency", "drift_quantiles", "version_delta", "score_markets", "elo_by_league", "elo_history"]
 
 
 @pytest.mark.parametrize("name", NAMES)

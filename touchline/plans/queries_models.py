@@ -274,7 +274,7 @@ def _pairs_sql(source: str, key: str, home: str = "home_goals", away: str = "awa
     return f"SELECT {key} AS k, home_team AS h, away_team AS a, sum(w) AS w, sum(w * {home}) AS hg, sum(w * {away}) AS ag, {low} FROM {source} GROUP BY ALL"
 
 
-def _fit_sql(ridge: float, rho: bool, steps: int = 1500) -> str:
+def _fit_sql(ridge: float, rho: bool, steps: int = 6000) -> str:
     r = 2 * ridge
     none = "w00 * -lam * mu * rh / (1 - lam * mu * rh)"
     slope = "sum(-w00 * lam * mu / (1 - lam * mu * rh) + w01 * lam / (1 + lam * rh) + w10 * mu / (1 + mu * rh) - w11 / (1 - rh))"
