@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from touchline.operators.calibration import monotone_curve, on_curve, on_sigmoid, sigmoid_curve, with_suffix
+from touchline.sources.shared import written
+
 CLASSES = ("h", "d", "a")
 
 
@@ -134,81 +137,55 @@ def confidence(df: DataFrame, keys: list[str], calibration_brier: float = 0.6) -
     return agg.withColumn("confidence", F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)))
 
 
-def logit(p: Column) -> Column:
-    c = F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
-    return F.ln(c / (1 - c))
-
-
-def platt(df: DataFrame, prob: str, label: str):  # noqa: ANN201
-    """Fit a logistic curve on the logit of a probability; returns (slope, intercept)."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    data = df.select(logit(F.col(prob)).alias("x"), F.col(label).cast("double").alias("label"))
-    frame = VectorAssembler(inputCols=["x"], outputCol="features").transform(data)
-    model = LogisticRegression(regParam=0.0, maxIter=100, standardization=False).fit(frame)
-    return float(model.coefficients[0]), float(model.intercept)
-
-
-def apply_platt(p: Column, curve: tuple[float, float]) -> Column:
-    return 1 / (1 + F.exp(-(F.lit(curve[0]) * logit(p) + curve[1])))
-
-
-def isotonic(df: DataFrame, prob: str, label: str):  # noqa: ANN201
-    """Fitted non-decreasing curve; rows are first averaged per exact probability, which leaves the fit as it is."""
-    from pyspark.ml.regression import IsotonicRegression
-
-    per = df.groupBy(F.col(prob).alias("features")).agg(F.avg(F.col(label).cast("double")).alias("label"), F.count("*").cast("double").alias("weight"))
-    return IsotonicRegression(weightCol="weight").fit(per)
-
-
-def apply_isotonic(df: DataFrame, prob: str, model, out: str) -> DataFrame:  # noqa: ANN001
-    """Column `out`: linear interpolation between the fitted points, constant beyond the ends, by the model's own search."""
-    return model.copy({model.featuresCol: prob, model.predictionCol: out}).transform(df)
-
-
 def hybrid(p: Column, iso: Column, sigmoid: Column, tail: float = 0.15, middle_isotonic: float = 0.7) -> Column:
     """Sigmoid in the tails, a blend with more isotonic in the middle."""
     in_tail = (p < tail) | (p > 1 - tail)
     return F.when(in_tail, sigmoid).otherwise(middle_isotonic * iso + (1 - middle_isotonic) * sigmoid)
 
 
-def temperature(df: DataFrame, lowest: float = 0.2, highest: float = 5.0, passes: int = 3, points: int = 25) -> float:
-    """Temperature with the lowest log loss of softmax(log p / T), by a grid refined around its best point."""
-    lo, hi = lowest, highest
-    logs = [F.ln(F.greatest(F.col(f"p_{k}"), F.lit(1e-12))) for k in CLASSES]
-    base = df.select("result", *[c.alias(f"l_{k}") for k, c in zip(CLASSES, logs, strict=True)])
+def temperatures(df: DataFrame, keys: list[str], lowest: float = 0.2, highest: float = 5.0, passes: int = 3, points: int = 25) -> DataFrame:
+    """Temperature (keys, t) with the lowest log loss of softmax(log p / t), by a grid refined around its best point; all keys in one aggregation a pass."""
+    rows = df.select(*keys, "result", *[F.ln(F.greatest(f"p_{k}", F.lit(1e-12))).alias(f"l_{k}") for k in CLASSES])
+    at = [F.col("_lo") + (F.col("_hi") - F.col("_lo")) * i / (points - 1) for i in range(points)]
+    fit = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
+    fit = fit.select(*keys, F.lit(lowest).alias("_lo"), F.lit(highest).alias("_hi"))
     for _ in range(passes):
-        grid = [lo + (hi - lo) * i / (points - 1) for i in range(points)]
         losses = []
-        for i, t in enumerate(grid):
-            probs = softmax([F.col(f"l_{k}") / t for k in CLASSES])
-            of_result = F.when(F.col("result") == "H", probs[0]).when(F.col("result") == "D", probs[1]).otherwise(probs[2])
-            losses.append(F.avg(-F.ln(F.greatest(of_result, F.lit(1e-15)))).alias(f"t{i}"))
-        row = base.agg(*losses).first()
-        best = min(range(points), key=lambda i: row[i])
-        lo, hi = grid[max(best - 1, 0)], grid[min(best + 1, points - 1)]
-    return (lo + hi) / 2
-
-
-def apply_temperature(df: DataFrame, t: float) -> DataFrame:
-    probs = softmax([F.ln(F.greatest(F.col(f"p_{k}"), F.lit(1e-12))) / t for k in CLASSES])
-    return df.withColumns({f"p_{k}": p for k, p in zip(CLASSES, probs, strict=True)})
-
-
-def calibrate(train: DataFrame, data: DataFrame, method: str) -> DataFrame:
-    """Calibrate each class one-vs-rest on `train` and renormalise; method isotonic, platt, hybrid or temperature."""
+        for t in at:
+            h, d, a = softmax([F.col(f"l_{k}") / t for k in CLASSES])
+            of_result = F.when(F.col("result") == "H", h).when(F.col("result") == "D", d).otherwise(a)
+            losses.append(F.avg(-F.ln(F.greatest(of_result, F.lit(1e-15)))))
+        side, on = with_suffix(fit, keys)
+        found = rows.join(side, on, "inner").groupBy(*keys, "_lo", "_hi").agg(F.array(*losses).alias("_l"))
+        best = F.array_position("_l", F.array_min("_l")).cast("int") - 1
+        ends = {"_lo": F.greatest(best - 1, F.lit(0)), "_hi": F.least(best + 1, F.lit(points - 1))}
+        fit = written(found.select(*keys, *[(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * e / (points - 1)).alias(c) for c, e in ends.items()]), "temperatures")
+    return fit.select(*keys, ((F.col("_lo") + F.col("_hi")) / 2).alias("t"))
+
+
+def apply_temperature(df: DataFrame, fit: DataFrame, keys: list[str]) -> DataFrame:
+    """Probabilities softened by the temperature of their key; null where the key has none."""
+    side, on = with_suffix(fit.withColumnRenamed("t", "_t"), keys)
+    probs = softmax([F.ln(F.greatest(F.col(f"p_{k}"), F.lit(1e-12))) / F.col("_t") for k in CLASSES])
+    return df.join(side, on, "left").withColumns({f"p_{k}": p for k, p in zip(CLASSES, probs, strict=True)}).select(*df.columns)
+
+
+def calibrate(train: DataFrame, data: DataFrame, method: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Calibrate each class one-vs-rest on `train`, for each value of the keys, and renormalise; method isotonic, platt, hybrid or temperature."""
+    by, columns, out = list(keys), data.columns, {}
     if method == "temperature":
-        return apply_temperature(data, temperature(train))
-    out, columns = {}, data.columns
+        return apply_temperature(data, temperatures(train, by), by)
+    rows = one_vs_rest(train, by)
+    curves = monotone_curve(rows, [*by, "class"], "prob", "hit") if method != "platt" else None
+    sigmoids = sigmoid_curve(rows, [*by, "class"], "prob", "hit") if method != "isotonic" else None
     for k in CLASSES:
-        labelled = train.withColumn("_y", is_class(k))
-        p = F.col(f"p_{k}")
-        iso = F.col(f"_iso_{k}") if method in ("isotonic", "hybrid") else None
-        if iso is not None:
-            data = apply_isotonic(data, f"p_{k}", isotonic(labelled, f"p_{k}", "_y"), f"_iso_{k}")
-        sig = apply_platt(p, platt(labelled, f"p_{k}", "_y")) if method in ("platt", "hybrid") else None
-        out[f"p_{k}"] = hybrid(p, iso, sig) if method == "hybrid" else iso if method == "isotonic" else sig
+        of = F.col("class") == k.upper()
+        if curves is not None:
+            data = on_curve(data, curves.filter(of), by, f"p_{k}", f"_iso_{k}")
+        if sigmoids is not None:
+            data = on_sigmoid(data, sigmoids.filter(of), by, f"p_{k}", f"_sig_{k}")
+        iso, sig = F.col(f"_iso_{k}"), F.col(f"_sig_{k}")
+        out[f"p_{k}"] = hybrid(F.col(f"p_{k}"), iso, sig) if method == "hybrid" else iso if method == "isotonic" else sig
     return renormalise(data.withColumns(out).select(*columns), [f"p_{k}" for k in CLASSES])
 
 

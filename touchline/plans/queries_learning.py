@@ -178,28 +178,81 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _calibration(spark: SparkSession, sf: str, method: str) -> DataFrame:
-    p = _preds(spark, sf).filter("model = 'goals'")
+    """Losses of every model before and after calibration on the seasons before 1999, of the later ones."""
+    p = _preds(spark, sf)
     train, test = p.filter("season < 1999"), p.filter("season >= 1999")
-    both = test.withColumn("variant", F.lit("raw")).unionByName(ev.calibrate(train, test, method).withColumn("variant", F.lit(method)))
-    return rounded(ev.outcome_metrics(both, ["variant"]), ["variant", "n"], ["accuracy", "brier", "log_loss"], 4)
+    both = test.withColumn("variant", F.lit("raw")).unionByName(ev.calibrate(train, test, method, ("model",)).withColumn("variant", F.lit(method)))
+    return rounded(ev.outcome_metrics(both, ["model", "variant"]), ["model", "variant", "n"], ["accuracy", "brier", "log_loss"], 4)
+
+
+def _long(where: str) -> str:
+    return " UNION ALL ".join(f"SELECT match_id, model, result, '{k.upper()}' AS class, p_{k} AS p, CAST(result = '{k.upper()}' AS INT) AS y FROM j WHERE {where}" for k in "hda")
+
+
+_CAL = _J.replace("WITH ", "WITH RECURSIVE ", 1) + f", tr AS ({_long('season < 1999')}), te AS ({_long('season >= 1999')})\n"
+#: The monotone curve as the lower hull of running sums: from each corner on to the point of least slope, the farthest of equal ones.
+_ISO = """, d AS (SELECT model, class, p, sum(y) AS s, count(*) AS w FROM tr GROUP BY ALL),
+c AS (SELECT model, class, p, CAST(sum(s) OVER o AS BIGINT) AS cs, CAST(sum(w) OVER o AS BIGINT) AS cw, row_number() OVER o AS i FROM d WINDOW o AS (PARTITION BY model, class ORDER BY p)),
+hull AS (SELECT DISTINCT model, class, {'v': CAST(0 AS DOUBLE), 'i': CAST(0 AS BIGINT), 'cs': CAST(0 AS BIGINT), 'cw': CAST(0 AS BIGINT)} AS x FROM d
+UNION ALL SELECT h.model, h.class, min({'v': (c.cs - h.x.cs) / (c.cw - h.x.cw), 'i': -c.i, 'cs': c.cs, 'cw': c.cw}) FROM hull h JOIN c ON c.model = h.model AND c.class = h.class AND c.i > -h.x.i GROUP BY h.model, h.class),
+k AS (SELECT model, class, x.v AS v, -x.i AS i, lag(-x.i) OVER (PARTITION BY model, class ORDER BY -x.i) AS before FROM hull),
+g AS (SELECT k.model, k.class, k.v, f.p AS lo, l.p AS hi FROM k JOIN c f ON f.model = k.model AND f.class = k.class AND f.i = k.before + 1 JOIN c l ON l.model = k.model AND l.class = k.class AND l.i = k.i),
+e AS (SELECT *, lead(lo) OVER o AS nx, lead(v) OVER o AS nv, CASE WHEN lag(lo) OVER o IS NULL THEN -1 ELSE lo END AS start FROM g WINDOW o AS (PARTITION BY model, class ORDER BY lo)),
+iso AS (SELECT te.*, CASE WHEN te.p <= e.hi OR e.nx IS NULL THEN e.v ELSE e.v + (e.nv - e.v) * (te.p - e.hi) / (e.nx - e.hi) END AS q FROM te ASOF JOIN e ON te.model = e.model AND te.class = e.class AND te.p >= e.start)
+"""
+_X = "ln(least(greatest(p, 1e-6), 1 - 1e-6) / (1 - least(greatest(p, 1e-6), 1 - 1e-6)))"
+#: The logistic curve by Newton steps from the identity.
+_SIG = f""", lx AS (SELECT model, class, {_X} AS x, y FROM tr),
+nw AS (SELECT DISTINCT model, class, 0 AS step, CAST(1 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b FROM lx
+UNION ALL SELECT model, class, step + 1, a + (bb * ga - ab * gb) / (aa * bb - ab * ab), b + (aa * gb - ab * ga) / (aa * bb - ab * ab) FROM (
+SELECT model, class, step, a, b, sum((y - q) * x) AS ga, sum(y - q) AS gb, sum(q * (1 - q) * x * x) AS aa, sum(q * (1 - q) * x) AS ab, sum(q * (1 - q)) AS bb FROM (
+SELECT n.*, lx.x, lx.y, 1 / (1 + exp(-(n.a * lx.x + n.b))) AS q FROM nw n JOIN lx ON lx.model = n.model AND lx.class = n.class WHERE n.step < 15) z GROUP BY ALL) s),
+sig AS (SELECT te.*, 1 / (1 + exp(-(nw.a * {_X} + nw.b))) AS q FROM te JOIN nw ON te.model = nw.model AND te.class = nw.class AND nw.step = 15)
+"""
+_HYB = ", hyb AS (SELECT iso.match_id, iso.model, iso.result, iso.class, CASE WHEN iso.p < 0.15 OR iso.p > 1 - 0.15 THEN sig.q ELSE 0.7 * iso.q + (1 - 0.7) * sig.q END AS q FROM iso JOIN sig USING (match_id, model, class))\n"
+
+
+def _cal_sql(parts: str, name: str, method: str) -> str:
+    wide = f", wd AS (SELECT match_id, model, result, " + ", ".join(f"max(CASE WHEN class = '{k.upper()}' THEN q END) AS {k}" for k in "hda") + f" FROM {name} GROUP BY ALL)"
+    both = (
+        f", al AS (SELECT model, 'raw' AS variant, result, p_h, p_d, p_a FROM j WHERE season >= 1999 UNION ALL SELECT model, '{method}', result, "
+        + ", ".join(f"CASE WHEN h + d + a > 0 THEN {k} / (h + d + a) ELSE 1 / 3 END" for k in "hda")
+        + " FROM wd)\n"
+    )
+    return _CAL + parts + wide + both + f"SELECT model, variant, count(*) AS n, {rsql(_METRICS, 4)} FROM al GROUP BY model, variant"
 
 
-@query("calibrate_isotonic", "9.15 9.34")
+@query("calibrate_isotonic", "9.15 9.34", _cal_sql(_ISO, "iso", "isotonic"))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return _calibration(spark, sf, "isotonic")
 
 
-@query("calibrate_platt", "9.16 9.32")
+@query("calibrate_platt", "9.16 9.32", _cal_sql(_SIG, "sig", "platt"))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return _calibration(spark, sf, "platt")
 
 
-@query("calibrate_hybrid", "9.17")
+@query("calibrate_hybrid", "9.17", _cal_sql(_ISO + _SIG + _HYB, "hyb", "hybrid"))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return _calibration(spark, sf, "hybrid")
 
 
-@query("calibrate_temperature", "9.18 9.31")
+def _temperature_sql(passes: int = 3, last: int = 24) -> str:
+    out = _CAL + ", t0 AS (SELECT DISTINCT model, CAST(0.2 AS DOUBLE) AS lo, CAST(5 AS DOUBLE) AS hi FROM j)"
+    parts = {k: f"ln(greatest(p_{k}, 1e-12)) / t" for k in "hda"}
+    soft = {k: f"exp({e} - greatest({', '.join(parts.values())}))" for k, e in parts.items()}
+    total = " + ".join(soft.values())
+    of = " ".join(f"WHEN '{k.upper()}' THEN {soft[k]}" for k in "hda")
+    for n in range(1, passes + 1):
+        out += f""", l{n} AS (SELECT model, lo, hi, i, avg(-ln(greatest((CASE result {of} END) / ({total}), 1e-15))) AS loss FROM (SELECT j.*, lo, hi, i, lo + (hi - lo) * i / {last} AS t FROM j JOIN t{n - 1} USING (model), range({last + 1}) r(i) WHERE season < 1999) z GROUP BY ALL),
+t{n} AS (SELECT model, lo + (hi - lo) * greatest(i - 1, 0) / {last} AS lo, lo + (hi - lo) * least(i + 1, {last}) / {last} AS hi FROM (SELECT model, lo, hi, arg_min(i, loss) AS i FROM l{n} GROUP BY ALL) z)
+"""
+    out += f", sf AS (SELECT model, result, {', '.join(f'{e} / ({total}) AS p_{k}' for k, e in soft.items())} FROM (SELECT j.*, (lo + hi) / 2 AS t FROM j JOIN t{passes} USING (model) WHERE season >= 1999) z)"
+    out += ", al AS (SELECT model, 'raw' AS variant, result, p_h, p_d, p_a FROM j WHERE season >= 1999 UNION ALL SELECT model, 'temperature', result, p_h, p_d, p_a FROM sf)\n"
+    return out + f"SELECT model, variant, count(*) AS n, {rsql(_METRICS, 4)} FROM al GROUP BY model, variant"
+
+
+@query("calibrate_temperature", "9.18 9.31", _temperature_sql())
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return _calibration(spark, sf, "temperature")
 
