@@ -2,7 +2,8 @@
 
 Base kinds are patterns. Whole values that follow a credential word (or stand between user and host of an address) are split at minimum
 guess cost into common words, dates, repeats, sequences, keyboard walks and brute-force spans; a value whose cheapest split still needs
-many guesses is reported as kind `guess`, unless one base span covers all of it.
+many guesses is reported as kind `guess`, unless one base span covers all of it. Words are ranked by the documents that hold them outside
+credential contexts, so that ordinary prose after a credential word is cheap to guess in whatever language the corpus has.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -29,6 +31,8 @@ CONTEXT = re.compile(
     r"""(?:(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|credentials?|auth|private[_-]?key|access[_-]?key)["']?\s{0,4}(?:[:=]|\bis\b)\s{0,4}["']?([^\s"',;<>|]{6,})|://[^\s/:@]+:([^\s/@]{6,})@)""",
     re.I | re.A,
 )
+DICTIONARY = 100_000  # most common words of the corpus that guesses try, at most (a few MB in each worker); rarer ones are guessed letter by letter
+_HELD = 200_000  # distinct words that a task counts before it hands them on
 MIN_GUESSES = 10.0  # log10 of the guesses that a value must need at least
 
 #: Common parts of passwords, by rank (fixed values).
@@ -41,7 +45,7 @@ WORDS = (
 #: Rows of a keyboard (fixed values).
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 _RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-_LONGEST = max(map(len, WORDS))
+_WORD = re.compile(r"[^\W\d_]{3,40}")
 _LEET = str.maketrans("4@3105$7", "aaeiloss")
 _NEXT = {(a, b) for row in ROWS for a, b in [*zip(row, row[1:]), *zip(row[1:], row)]} | {
     (a, b) for up, down in zip(ROWS, ROWS[1:]) for i, b in enumerate(down) for a in up[i : i + 2]
@@ -62,8 +66,8 @@ def _runs(holds: list[bool], n: int) -> list[int]:
     return out
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses for the cheapest split of the value into known parts and brute-force spans."""
+def guess_cost(value: str, ranks: dict[str, int] = _RANK) -> float:
+    """log10 of the guesses for the cheapest split of the value into known parts (`ranks` holds words, lower-case) and brute-force spans."""
     n, low = len(value), value.lower()
     if len(low) != n:
         low = "".join(c.lower()[0] for c in value)
@@ -84,8 +88,8 @@ def guess_cost(value: str) -> float:
     turned = [0, 0, *accumulate(abs(ord(c) - ord(b)) != abs(ord(b) - ord(a)) for a, b, c in zip(low, low[1:], low[2:]))]
     for i in range(n):
         offer(i, i + 1, math.log10(_alphabet(value[i])))
-        for j in range(i + 2, min(n, i + _LONGEST) + 1):
-            rank = _RANK.get(low[i:j]) or 3 * _RANK.get(plain[i:j], 0)
+        for j in range(i + 2, min(n, i + 40) + 1):
+            rank = ranks.get(low[i:j]) or 3 * ranks.get(plain[i:j], 0)
             if rank:
                 offer(i, j, math.log10(rank * (1 if value[i:j] == low[i:j] else 2) + 1) + step)
         for j in dates.get(i, ()):
@@ -122,7 +126,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(s, e, KINDS[k]) for s, e, k in sorted(out, key=lambda x: (x[0], x[2]))]
 
 
-def guess_spans(text: str, base: list[tuple[int, int, str]], least: float = MIN_GUESSES) -> list[tuple[int, int, str]]:
+def guess_spans(text: str, base: list[tuple[int, int, str]], least: float = MIN_GUESSES, ranks: dict[str, int] = _RANK) -> list[tuple[int, int, str]]:
     """Whole values in a credential context that no base span covers and that need 10^least guesses or more."""
     out = []
     for m in CONTEXT.finditer(text):
@@ -130,7 +134,7 @@ def guess_spans(text: str, base: list[tuple[int, int, str]], least: float = MIN_
         s = m.start(g)
         value = m[g].rstrip(".!?)")
         e = s + len(value)
-        if len(value) >= 6 and not any(a <= s and e <= b for a, b, _ in base) and guess_cost(value) >= least:
+        if len(value) >= 6 and not any(a <= s and e <= b for a, b, _ in base) and guess_cost(value, ranks) >= least:
             out.append((s, e, "guess"))
     return out
 
@@ -146,7 +150,42 @@ def may_hold(piece: bytes) -> bool:
     return any(h in low for h in _HINTS) or b"h" * 32 in piece.translate(_HEX_BYTES)
 
 
-def _digest(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+def _said(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of this task that hold each word outside credential contexts and base spans, counted in parts."""
+    held: Counter[str] = Counter()
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            if may_hold(text.encode("utf-8", "replace")):
+                cuts = sorted([(m.start(), m.end()) for m in CONTEXT.finditer(text)] + [(s, e) for s, e, _ in base_spans(text)])
+                end, parts = 0, []
+                for s, e in cuts:
+                    parts.append(text[end : max(s, end)])
+                    end = max(end, e)
+                text = " ".join([*parts, text[end:]])
+            held.update(set(_WORD.findall(text.lower())))
+            if len(held) > _HELD:
+                yield made()
+                held.clear()
+    yield made()
+
+
+def common_words(docs: DataFrame, text: Column | str = "text", words: int = DICTIONARY) -> dict[str, int]:
+    """Rank of the words that most documents hold, over all whole texts; words of one document and words in credential contexts don't count.
+
+    The fixed list keeps its ranks where they are better. Only the `words` most common ones reach the driver and the workers.
+    """
+    rows = docs.select(F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit("")).alias("t"))
+    counts = rows.mapInArrow(_said, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    top = counts.orderBy(F.desc("n"), "word").limit(words).select("word").collect()
+    ranks = {r.word: i + 1 for i, r in enumerate(top)}
+    return ranks | {w: min(k, ranks.get(w, k)) for w, k in _RANK.items()}
+
+
+def _digest(batches: Iterator[pa.RecordBatch], least: float, ranks: dict[str, int]) -> Iterator[pa.RecordBatch]:
     empty = hashlib.sha256(b"").hexdigest()
     for batch in batches:
         data, offsets = utf8(batch.column("__text"))
@@ -157,7 +196,7 @@ def _digest(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
             if may_hold(piece):
                 text = piece.decode()
                 base = base_spans(text)
-                more = guess_spans(text, base, least)
+                more = guess_spans(text, base, least, ranks)
             for k, kind in enumerate(KINDS):
                 counts[k].append(sum(x[2] == kind for x in base))
             said = ",".join(f"{k}:{s}:{e}" for s, e, k in base)
@@ -169,20 +208,22 @@ def _digest(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([*rest, *arrays], names=[*batch.schema.names, "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
 
-def secret_spans(docs: DataFrame, text: Column | str = "text", keep: list[str] | None = None, least: float = MIN_GUESSES) -> DataFrame:
+def secret_spans(docs: DataFrame, text: Column | str = "text", keep: list[str] | None = None, least: float = MIN_GUESSES, ranks: dict[str, int] | None = None) -> DataFrame:
     """Columns `keep` with n_assign, n_access, n_hex, base_sha256 and spans of every whole text.
 
     Spans are `kind:start:end` of whole matches in code points, the end exclusive, by start and kind, joined by commas. A null or
-    empty text has none: counts 0, the hash of the empty string, spans ''. Rows are independent: ties and repeated rows get the same
-    result, an empty table stays empty, and other columns are not looked at.
+    empty text has none: counts 0, the hash of the empty string, spans ''. Words are ranked over these documents unless `ranks` are given
+    (`common_words`); otherwise rows are independent: ties and repeated rows get the same result, an empty table stays empty, and other
+    columns are not looked at.
     """
+    ranks = common_words(docs, text) if ranks is None else ranks
     keep = ["doc_id"] if keep is None else keep
     rows = docs.select(*keep, F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit("")).alias("__text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"])
-    return rows.mapInArrow(lambda batches: _digest(batches, least), schema).drop("__text")
+    return rows.mapInArrow(lambda batches: _digest(batches, least, ranks), schema).drop("__text")
 
 
-def _masked(batches: Iterator[pa.RecordBatch], column: str, least: float) -> Iterator[pa.RecordBatch]:
+def _masked(batches: Iterator[pa.RecordBatch], column: str, least: float, ranks: dict[str, int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = batch.schema.get_field_index(column)
         out = []
@@ -190,7 +231,7 @@ def _masked(batches: Iterator[pa.RecordBatch], column: str, least: float) -> Ite
             if text and may_hold(text.encode()):
                 base = base_spans(text)
                 end, parts = 0, []
-                for s, e, kind in sorted([*base, *guess_spans(text, base, least)]):
+                for s, e, kind in sorted([*base, *guess_spans(text, base, least, ranks)]):
                     if e > end:
                         parts += [text[end : max(s, end)], f"[{kind}]" if s >= end else ""]
                         end = e
@@ -199,6 +240,10 @@ def _masked(batches: Iterator[pa.RecordBatch], column: str, least: float) -> Ite
         yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
 
 
-def mask_secrets(docs: DataFrame, column: str = "text", least: float = MIN_GUESSES) -> DataFrame:
-    """The same rows and columns with every span replaced by its kind in brackets; overlapping spans become one mask. Null stays null."""
-    return docs.mapInArrow(lambda batches: _masked(batches, column, least), docs.schema)
+def mask_secrets(docs: DataFrame, column: str = "text", least: float = MIN_GUESSES, ranks: dict[str, int] | None = None) -> DataFrame:
+    """The same rows and columns with every span replaced by its kind in brackets; overlapping spans become one mask. Null stays null.
+
+    Words are ranked over these documents unless `ranks` are given.
+    """
+    ranks = common_words(docs, column) if ranks is None else ranks
+    return docs.mapInArrow(lambda batches: _masked(batches, column, least, ranks), docs.schema)
