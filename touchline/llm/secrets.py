@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import utf8
+from touchline.llm.common import utf8, written
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -176,12 +176,20 @@ def _said(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def common_words(docs: DataFrame, text: Column | str = "text", words: int = DICTIONARY) -> dict[str, int]:
     """Rank of the words that most documents hold, over all whole texts; words of one document and words in credential contexts don't count.
 
-    The fixed list keeps its ranks where they are better. Only the `words` most common ones reach the driver and the workers.
+    The fixed list keeps its ranks where they are better. Counts fall into at most 64 bins per power of two; bins are taken from the top while
+    they hold `words` words or fewer, so that many reach the driver and the workers at most, and words of a bin come together or not at all.
     """
     rows = docs.select(F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit("")).alias("t"))
     counts = rows.mapInArrow(_said, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
-    top = counts.orderBy(F.desc("n"), "word").limit(words).select("word").collect()
-    ranks = {r.word: i + 1 for i, r in enumerate(top)}
+    counts = written(counts.withColumn("bin", F.floor(F.log2("n") * 64).cast("int")), "words")
+    held, least = 0, None
+    for r in counts.groupBy("bin").count().orderBy(F.desc("bin")).collect():
+        held += r["count"]
+        if held > words:
+            break
+        least = r.bin
+    top = counts.where(F.col("bin") >= least).select("word", "n").collect() if least is not None else []
+    ranks = {r.word: i + 1 for i, r in enumerate(sorted(top, key=lambda r: (-r.n, r.word)))}
     return ranks | {w: min(k, ranks.get(w, k)) for w, k in _RANK.items()}
 
 
