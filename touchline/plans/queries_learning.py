@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.operators import aggregates, evaluation as ev, form, learning
+from touchline.operators.boosting import BoostingParams, fit_boosted
 from touchline.plans import inputs
 from touchline.plans.common import rounded, rsql
 from touchline.plans.registry import query
@@ -302,6 +305,28 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return learning.score(model, test, ["match_id", "label"], 2).select("match_id", F.round("p1", 4).alias("p_over"))
 
 
+_PRICED = [*_COLS, "i_h", "i_d", "i_a", "i_over"]
+
+
+def _priced(d: DataFrame) -> DataFrame:
+    return d.withColumns({f"i_{c}": 1 / F.col(f"odds_{c}") for c in ("h", "d", "a", "over")})
+
+
+@query("train_boosted_outcome", "9.6 9.36")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Result probabilities by three-class boosting, stopped on the two seasons before the test seasons, beside a logistic model; recent seasons weigh more."""
+    train, test = (_priced(d) for d in _train_test(spark, sf))
+    train = train.withColumn("w", F.exp(F.lit(math.log(0.5) / 3) * (1999 - F.col("season"))))
+    params = BoostingParams(learning_rate=0.15, subsample=0.8, feature_share=0.8)
+    trees = fit_boosted(train, _PRICED, "label", ["match_id"], valid=F.col("season") >= 1998, weight="w", params=params)
+    linear = learning.score(learning.train(train, _PRICED, "lr", "w"), test, ["match_id", "result"])
+    both = trees.probabilities(test).select("match_id", "result", "p0", "p1", "p2", F.lit("boosted").alias("model")).unionByName(
+        linear.drop("prediction").withColumn("model", F.lit("lr"))
+    )
+    named = both.withColumnsRenamed({"p0": "p_a", "p1": "p_d", "p2": "p_h"})
+    return rounded(ev.outcome_metrics(named, ["model"]), ["model", "n"], ["accuracy", "brier", "log_loss"], 3)
+
+
 @query("tune_by_time_folds", "9.7")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     data = _training(spark, sf).select("fold", "label", *_COLS)
