@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.operators import aggregates, evaluation as ev, form, learning
+from touchline.operators import aggregates, evaluation as ev, form, learning, tuning
 from touchline.operators.boosting import BoostingParams, fit_boosted
 from touchline.plans import inputs
 from touchline.plans.common import rounded, rsql
@@ -335,6 +336,26 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(r["regParam"], r["elasticNetParam"], round(x, 4)) for r, x in rows], "reg double, mix double, log_loss double")
 
 
+def _searched(spark: SparkSession, trials: list[tuning.Trial]) -> DataFrame:
+    """A row per setting and scored fold, settings from the best to the worst."""
+    rows = [(rank, t.place, json.dumps(t.settings, sort_keys=True), f, loss) for rank, t in enumerate(trials, 1) for f, loss in t.losses.items()]
+    out = spark.createDataFrame(rows, "rank int, trial int, settings string, fold int, log_loss double")
+    return rounded(out, ["rank", "trial", "settings", "fold"], ["log_loss"], 4)
+
+
+@query("search_linear_random", "9.7")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    space = {"regParam": tuning.Between(1e-4, 1.0, log=True), "elasticNetParam": [0.0, 0.25, 0.5, 1.0]}
+    return _searched(spark, tuning.search(_priced(_training(spark, sf)), _PRICED, "lr", tuning.random_settings(space, 10), "fold", ["match_id"]))
+
+
+@query("search_forest_halving", "9.7")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    space = {"numTrees": [100, 200], "maxDepth": [4, 6, 8], "minInstancesPerNode": [1, 5, 20], "featureSubsetStrategy": ["sqrt", "log2"]}
+    settings = tuning.random_settings(space, 6)
+    return _searched(spark, tuning.search(_priced(_training(spark, sf)), _PRICED, "rf", settings, "fold", ["match_id"], halving=3))
+
+
 @query("stacked_models", "9.5")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     data = _training(spark, sf)

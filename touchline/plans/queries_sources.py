@@ -291,6 +291,26 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return tabular.closing_odds(m).select("match_id", "closing_h", "closing_a", "closing_source")
 
 
+@query(
+    "closing_pair_prices",
+    "1.14",
+    MW
+    + """SELECT match_id, CASE WHEN match_id % 3 = 0 THEN round(odds_over + 0.1, 6) WHEN match_id % 3 = 1 THEN odds_over END AS closing_over_yes,
+ CASE WHEN match_id % 3 = 0 THEN round(odds_under + 0.1, 6) WHEN match_id % 3 = 1 THEN odds_under END AS closing_over_no,
+ CASE WHEN match_id % 5 > 1 THEN odds_h END AS closing_btts_yes, CASE WHEN match_id % 5 > 1 THEN odds_a END AS closing_btts_no FROM matches""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Over and under from the averages, else the single bookmaker; both-score prices need both sides, and text that is no number counts as none."""
+    m = inputs.matches(spark, sf).selectExpr(
+        "match_id", "CASE WHEN match_id % 3 = 0 THEN round(odds_over + 0.1, 6) END AS `bbav>2.5`", "round(odds_under + 0.1, 6) AS `bbav<2.5`",
+        "CASE WHEN match_id % 3 < 2 THEN odds_over END AS `b365>2.5`", "odds_under AS `b365<2.5`",
+        "CASE WHEN match_id % 5 = 0 THEN 'n/a' WHEN match_id % 5 > 1 THEN CAST(odds_h AS STRING) END AS bbavbts_yes", "odds_a AS bbavbts_no",
+    )
+    both = tabular.closing_pair(m, "over", [("bbav>2.5", "bbav<2.5"), ("b365>2.5", "b365<2.5")])
+    both = tabular.closing_pair(both, "btts", [("bbavbts_yes", "bbavbts_no")])
+    return both.select("match_id", *[f"closing_{k}_{o}" for k in ("over", "btts") for o in ("yes", "no")])
+
+
 def _cups(spark: SparkSession, sf: str) -> DataFrame:
     docs = _json(
         inputs.matches(spark, sf), date="CAST(match_date AS STRING)", round="CASE WHEN match_id % 4 = 0 THEN 'Final' ELSE 'Matchday 1' END",

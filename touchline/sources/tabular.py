@@ -129,16 +129,20 @@ def closing_odds(df: DataFrame, triples: list[tuple[str, str, str]] | None = Non
 
 
 def closing_pair(df: DataFrame, market: str, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Closing prices of a market with two outcomes (both score, over and under) from the first pair of columns filled in the row."""
+    """Closing prices of a market with two outcomes (both score, over and under) from the first pair of columns that both hold numbers in the row."""
     names = (f"closing_{market}_yes", f"closing_{market}_no")
-    picks = [
-        F.when(F.col(y).try_cast("double").isNotNull() & F.col(n).try_cast("double").isNotNull(), F.struct(F.col(y).try_cast("double").alias(names[0]), F.col(n).try_cast("double").alias(names[1])))
-        for y, n in pairs
-        if {y, n} <= set(df.columns)
-    ]
+    found = {c: F.col(_quoted(c)).try_cast("double") for pair in pairs if set(pair) <= set(df.columns) for c in pair}
+    picks = [F.when(found[y].isNotNull() & found[n].isNotNull(), F.struct(found[y], found[n])) for y, n in pairs if y in found and n in found]
+    kept = [F.col(_quoted(c)) for c in df.columns if c not in names]
     if not picks:
-        return df.select("*", *[F.lit(None).cast("double").alias(c) for c in names])
-    return df.withColumn("_c", F.coalesce(*picks)).select(*df.columns, *[F.col(f"_c.{c}").alias(c) for c in names])
+        return df.select(*kept, *[F.lit(None).cast("double").alias(c) for c in names])
+    first = F.coalesce(*[p.cast("struct<yes:double,no:double>") for p in picks])
+    return df.select(*kept, first["yes"].alias(names[0]), first["no"].alias(names[1]))
+
+
+def _quoted(name: str) -> str:
+    """Column name that may hold dots, as in `bbav>2.5`."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def attach_odds(odds: DataFrame, matches: DataFrame, aliases: DataFrame) -> DataFrame:
