@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import odds as O
-from touchline.operators.windows import Expanding, Trailing, with_asof
+from touchline.operators.windows import Expanding, Trailing, block_of, pick_unit, with_asof
+from touchline.sources.shared import written
 
 OUTCOMES = ("h", "d", "a")
 ORDER = ["match_date", "match_id"]
@@ -353,19 +354,63 @@ def parameter_scan(
 ) -> DataFrame:
     """Kelly backtests over a grid of value limits and Kelly fractions, all in one pass.
 
-    The bet of a match depends on the value limit only; each bet is repeated for the fractions.
+    The bet of a match depends on the value limit only, so there is one row per match and limit; the fractions are columns of the same
+    windows, and only the columns that count are written.
     """
     grid = F.array(*[F.lit(v) for v in min_evs])
     items = F.array(
         *[F.struct(F.lit(k.upper()).alias("outcome"), F.col(f"odds_{k}").alias("price"), F.col(f"p_{k}").alias("prob"), (F.col(f"p_{k}") * F.col(f"odds_{k}") - 1).alias("ev")) for k in OUTCOMES]
     )
-    out = df.withColumn("min_ev", F.explode(grid)).withColumn(
-        "_b", F.get(F.filter(items, lambda s: (s["ev"] >= F.col("min_ev")) & (s["price"] > 1)), F.lit(0))
-    ).filter("_b IS NOT NULL")
-    bets = with_return(out.select("*", "_b.*").drop("_b")).withColumn("kelly_frac", F.explode(F.array(*[F.lit(f) for f in fractions])))
-    by = [*keys, "min_ev", "kelly_frac"]
-    share = F.least(O.kelly(F.col("prob"), F.col("price")) * F.col("kelly_frac"), F.lit(max_share))
-    return metrics(equity_curve(compound(bets, by, share, bankroll, unit=unit), by, bankroll, unit=unit), by, bankroll)
+    kept = [*keys, *[c for c in ORDER if c not in keys]]
+    out = df.withColumn("min_ev", F.explode(grid)).withColumn("_b", F.get(F.filter(items, lambda s: (s["ev"] >= F.col("min_ev")) & (s["price"] > 1)), F.lit(0)))
+    out = out.filter("_b IS NOT NULL")
+    kelly = O.kelly(F.col("prob"), F.col("price"))
+    bets = with_return(out.select(*kept, "home_goals", "away_goals", "min_ev", "_b.*")).select(*kept, "min_ev", "status", "price", "unit_return", kelly.alias("_kelly"))
+    shares = [F.least(F.col("_kelly") * f, F.lit(max_share)) for f in fractions]
+    paths = bankroll_paths(bets, [*keys, "min_ev"], shares, bankroll, unit)
+    rows = paths.withColumn("kelly_frac", F.get(F.array(*[F.lit(f) for f in fractions]), F.col("share_no")))
+    return metrics(rows, [*keys, "min_ev", "kelly_frac"], bankroll)
+
+
+def bankroll_paths(bets: DataFrame, keys: list[str], shares: list[Column], bankroll: float = 1000.0, unit: str = "quarter") -> DataFrame:
+    """Bankroll, stake, profit and drawdown at each bet for several shares of the bankroll at once: a row per bet and `share_no`, from 0.
+
+    Within a block of time, growth is a running sum of logs and the peak the running maximum of that sum. A block hands on its sum, its
+    highest running sum and whether it ruined the bankroll, one row per key and block; so the rows are shuffled and sorted once.
+    A factor of zero or less is ruin, after which nothing is staked. A null return or share leaves the bankroll as it is.
+    """
+    n = range(len(shares))
+    base = written(bets.withColumns({f"_h{i}": s.cast("double") for i, s in enumerate(shares)}), "bets")
+    base = base.withColumn("_block", block_of(ORDER[0], pick_unit(base, keys, ORDER[0], unit)))
+    growth = [F.coalesce(1 + F.col(f"_h{i}") * F.col("unit_return"), F.lit(1.0)) for i in n]
+    base = base.withColumns({f"_g{i}": F.when(g > 0, F.log(g)).otherwise(0.0) for i, g in enumerate(growth)} | {f"_z{i}": (g <= 0).cast("int") for i, g in enumerate(growth)})
+    so_far = Window.partitionBy(*keys, "_block").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    inside = base.withColumns({f"_l{i}": F.sum(f"_g{i}").over(so_far) for i in n} | {f"_r{i}": F.sum(f"_z{i}").over(so_far) for i in n})
+    inside = written(inside.withColumns({f"_m{i}": F.max(F.when(F.col(f"_r{i}") == 0, F.col(f"_l{i}"))).over(so_far) for i in n}), "paths")
+
+    blocks = inside.groupBy(*keys, "_block").agg(*[f(f"_{c}{i}").alias(f"_{t}{i}") for i in n for f, c, t in ((F.sum, "g", "S"), (F.sum, "z", "R"), (F.max, "m", "M"))])
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carry = blocks.withColumns({f"_{t}c{i}": F.coalesce(F.sum(f"_{t}{i}").over(before), F.lit(0)) for i in n for t in "SR"})
+    carry = carry.withColumns({f"_Mc{i}": F.coalesce(F.max(F.when(F.col(f"_Rc{i}") == 0, F.col(f"_Sc{i}") + F.col(f"_M{i}"))).over(before), F.lit(0.0)) for i in n})
+    carry = carry.select(*[F.col(c).alias(f"_k_{c}") for c in keys], F.col("_block").alias("_k_block"), *[f"_{t}c{i}" for i in n for t in "SRM"])
+    carry = written(carry, "carry")  # so that Spark sees its size
+    same = F.col("_block") == F.col("_k_block")
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    parts = F.array(*[F.struct(*[F.col(f"_{t}{i}").alias(t) for t in ("h", "g", "z", "l", "r", "m", "Sc", "Rc", "Mc")]) for i in n])
+    rows = inside.join(carry, same).select(*bets.columns, F.posexplode(parts).alias("share_no", "_p"))
+    rows = rows.select(*bets.columns, "share_no", *[F.col(f"_p.{t}").alias(f"_{t}") for t in ("h", "g", "z", "l", "r", "m", "Sc", "Rc", "Mc")])
+
+    # The fall from the peak is taken from the logs, which stay finite where a bankroll doesn't.
+    alive = F.col("_Rc") + F.col("_r") == 0
+    ruined_before = F.col("_Rc") + F.col("_r") - F.col("_z") > 0
+    top = F.greatest(F.lit(0.0), F.col("_Mc"), F.when(F.col("_Rc") == 0, F.col("_Sc") + F.col("_m")))
+    rows = rows.withColumns({"_top": top, "bankroll_before": F.when(ruined_before, 0.0).otherwise(bankroll * F.exp(F.col("_Sc") + F.col("_l") - F.col("_g")))})
+    rows = rows.withColumns({"stake": F.col("bankroll_before") * F.col("_h"), "profit": F.col("bankroll_before") * F.col("_h") * F.col("unit_return")})
+    rows = rows.withColumn("bankroll_after", F.col("bankroll_before") + F.coalesce("profit", F.lit(0.0)))
+    fall = F.when(alive, -F.expm1(F.col("_Sc") + F.col("_l") - F.col("_top"))).otherwise(1 - F.col("bankroll_after") / (bankroll * F.exp("_top")))
+    rows = rows.withColumn("drawdown_pct", fall * 100).withColumn("drawdown", F.col("drawdown_pct") / 100 * bankroll * F.exp("_top"))
+    return rows.select(*bets.columns, "share_no", "bankroll_before", "stake", "profit", "bankroll_after", "drawdown", "drawdown_pct")
 
 
 def pick_parameters(scan: DataFrame, keys: list[str]) -> DataFrame:
