@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from touchline.llm import exact_topk, html_text, language_id, merge_dropout, packing, permutation_index, quality, secrets, toxicity, vectors
+from touchline.llm.common import Numbers
 
 ODD = [None, "", "   ", "→ 123 !", "\n\n", "x" * 50_000, "word " * 30_000]
 
@@ -334,6 +335,33 @@ def test_merge_dropout_of_many_words_is_that_of_each():
         assert dropped._new_words(words[:3]) == [dropped._word(w, v) for w, v in words[:3]]
 
 
+def test_merge_dropout_runs_agendas_of_many_texts_together(monkeypatch):
+    rnd = random.Random(10)
+    dropped = merge_dropout.Pieces(merge_dropout.vocabulary_path(), 0.3)
+    made = [" ".join("".join(rnd.choice("abcdeinorstuß é日😀") for _ in range(rnd.choice([1, 3, 7, 12, 20, 60]))) for _ in range(rnd.randrange(40))) for _ in range(200)]
+    keys = [merge_dropout._key(d, 42) for d in range(len(made))]
+    each = [b"".join(dropped._word(w, k) for w, k in zip(words, dropped._keys(key, 0, len(words)).tolist())) for words, key in zip(map(dropped._words, made), keys)]
+    alone, calls = merge_dropout.Pieces.merge, []
+    monkeypatch.setattr(merge_dropout.Pieces, "merge", lambda self, word, gaps=None: calls.append(word) or alone(self, word, gaps))
+    monkeypatch.setattr(merge_dropout, "_CHUNK", 500)
+    monkeypatch.setattr(merge_dropout, "_CACHED", 700)
+    assert list(dropped.encode_all(made, keys)) == each and not calls
+    odd = ["", "a\u2581b c", "x" * 65 + " y", "\n\n"]
+    assert list(dropped.encode_all(odd, [1, 2, 3, 4])) == [dropped.encode(t, k) for k, t in enumerate(odd, 1)]
+    assert {len(w) for w in calls if w.endswith("x")} == {66}
+
+
+def test_numbers_by_key():
+    rnd = np.random.default_rng(5)
+    keys = np.unique(rnd.integers(1, 1 << 62, 1000).astype(np.uint64))
+    held = Numbers(len(keys))
+    held.add(keys[:10])
+    held.add(keys[10:])
+    assert held.find(keys[::-1]).tolist() == list(range(len(keys)))[::-1] and (held.find(keys + np.uint64(1 << 63)) == -1).all()
+    with pytest.raises(ValueError):
+        held.add(np.array([1 << 63], np.uint64))
+
+
 def test_quality_filter_keeps_what_the_score_keeps(spark):
     rnd = random.Random(3)
     rules = quality.Rules([tuple((rnd.randrange(10), rnd.random() < 0.5, rnd.random() * 3) for _ in range(3)) for _ in range(40)], [rnd.uniform(-1, 1) for _ in range(40)], -0.5)

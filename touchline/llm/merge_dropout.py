@@ -3,7 +3,8 @@
 Pieces are merged from characters by an agenda of candidate merges, best score first and leftmost among equals. With dropout, each
 candidate of each occurrence of a word is skipped at the given rate on its own, by a hash keyed by seed, document and place of the word: its
 draws are the numbers of candidates up to the next one that is skipped. So one seed always gives one segmentation, other seeds vary it, and
-all of them decode to the same text. Segmentations are cached by word and skipped candidates, which changes no result.
+all of them decode to the same text. Plain segmentations are kept by word. Occurrences with a skip run through their agendas side by side:
+a row of numbers holds the ranks of a word's candidates, and each step takes the best candidate of every row.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import repeat
 from operator import add
 
 import numpy as np
@@ -23,17 +25,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import mix
+from touchline.llm.common import Numbers, mix
 
 SPACE = "▁"  # stands for a space in pieces
 DROPOUT, SEED = 0.1, 42
 VARIANTS = 3  # first keys that the tests draw from; a word may have any segmentation in any document
-_CACHED = 900_000  # segmentations kept by a Python worker, about
-_LONG = 64  # characters beyond which the segmentations of a word are not kept
+_CACHED = 900_000  # plain segmentations kept by a Python worker, about
+_LONG = 64  # characters beyond which a word goes through its agenda alone
 _GAPS = 256  # candidates that one draw passes over, at most; then it is drawn again
-_CHUNK = 20_000  # words of a text that are looked up together
-_FEW = 8  # new words below which each goes through the agenda alone
-_AT_ONCE = 500  # words that the model is given at once
+_CHUNK = 200_000  # words that are looked up together
+_WIDTHS = (4, 6, 8, 10, 12, 16, 24, 40, _LONG)  # words of up to so many characters share a table of agendas
+_ROWS = 8192  # agendas that are run together
+_NONE = np.iinfo(np.int32).max  # rank where there is no candidate
 _MASK, _STEP, _MIX = (1 << 64) - 1, 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 _START, _RANK = 10, 42  # bits of an entry of the agenda: length below, then start, then rank
 _LENGTH, _PLACES = (1 << _START) - 1, (1 << (_RANK - _START)) - 1
@@ -84,10 +87,33 @@ class Pieces:
         self.drops = dropout > 0
         self.below = sorted(int((1 - min(dropout, 1.0)) ** k * (1 << 53)) for k in range(1, _GAPS + 1))
         self.limits = np.array(self.below, np.int64)
-        self.known: dict[str, list] = {}  # word -> [ids, candidates after the last skip, next by their gap, gaps of the skips]
-        self.kept = 0
-        self.model, self.names = model, names
-        self.opens = np.array([x.startswith(SPACE) for x in names])
+        self._forget()
+        self._tables()
+
+    def _forget(self) -> None:
+        """The plain segmentations: number of each word, its ids and its merges, -1 for a word that is too long to be kept."""
+        self.known: dict[str, int] = {}
+        self.raw: list[bytes | None] = []
+        self.merges = np.zeros(1024, np.int16)
+
+    def _tables(self) -> None:
+        """Parts are numbered from 1: pieces and their characters, then all other characters by code point. Pairs of parts that are a piece
+        together have its rank and its number."""
+        names = [*self.entry, *sorted({c for x in self.entry for c in x} - self.entry.keys())]
+        number = {x: i for i, x in enumerate(names, 1)}
+        self.others = len(names) + 1
+        self.span = np.uint64(self.others + 0x110000)
+        self.part_of = np.arange(self.others, self.others + 0x110000, dtype=np.int32)
+        for x, i in number.items():
+            if len(x) == 1:
+                self.part_of[ord(x)] = i
+        self.names = ["", *names]
+        self.id_of = np.array([-1, *(self.ids.get(x, -1) for x in names), -1], np.int64)  # the last stands for other characters
+        pairs = [(number[x[:i]], number[x[i:]], e >> _RANK, number[x]) for x, e in self.entry.items() for i in range(1, len(x)) if x[:i] in number and x[i:] in number]
+        left, right, rank, whole = np.array(pairs, np.int64).reshape(-1, 4).T
+        self.pairs = Numbers(len(pairs))
+        self.pairs.add(left.astype(np.uint64) * self.span + right.astype(np.uint64))
+        self.rank, self.whole = np.append(rank, _NONE).astype(np.int32), np.append(whole, 0).astype(np.int32)  # the last, -1, for no pair
 
     def _gap(self, key: int, draw: int) -> int:
         x = (key + (draw + 1) * _STEP) & _MASK
@@ -95,9 +121,9 @@ class Pieces:
         x = (x ^ (x >> 27)) * _MIX[1] & _MASK
         return _GAPS - bisect_right(self.below, (x ^ (x >> 31)) >> 11)
 
-    def _some_gaps(self, keys: np.ndarray, draw: int) -> np.ndarray:
+    def _some_gaps(self, keys: np.ndarray, draws: np.ndarray) -> np.ndarray:
         """`_gap` of many keys."""
-        x = keys + np.uint64((draw + 1) * _STEP & _MASK)
+        x = keys + (draws.astype(np.uint64) + np.uint64(1)) * np.uint64(_STEP)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(_MIX[0])
         x = (x ^ (x >> np.uint64(27))) * np.uint64(_MIX[1])
         return _GAPS - np.searchsorted(self.limits, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.int64), "right")
@@ -160,72 +186,113 @@ class Pieces:
         """Ids of one occurrence; without a key no merge is skipped."""
         return array("I", self.merge(word, None if key is None or not self.drops else self._gaps(key))[0]).tobytes()
 
-    def _node(self, word: str, gaps: tuple[int, ...]) -> list:
-        self.kept += 1
-        ids, since = self.merge(word, iter(gaps))
-        return [array("I", ids).tobytes(), since, None, gaps]
+    def _agendas(self, words: list[str], width: int, keys: np.ndarray | None) -> np.ndarray:
+        """Parts that are left of each word, one row a word with 0 where none starts; `merge` of many words. Without keys none is skipped.
+
+        A row holds a word between empty places. Each place has the part that starts there, the places of the parts before and after, and
+        the rank and the part of its candidate, the merge with the part after.
+        """
+        n, wide = len(words), width + 2
+        lengths = np.fromiter(map(len, words), np.int64, n)
+        parts = np.zeros((n, wide), np.int32)
+        parts[:, 1:-1][np.arange(width) < lengths[:, None]] = self.part_of[np.frombuffer("".join(words).encode("utf-32-le"), "<u4")]
+        parts = parts.ravel()
+        after, before = np.arange(1, n * wide + 1), np.arange(-1, n * wide - 1)
+        rank, whole = np.full(n * wide, _NONE, np.int32), np.zeros(n * wide, np.int32)
+        at = np.flatnonzero((parts[:-1] > 0) & (parts[1:] > 0))
+        self._candidates(parts, rank, whole, at, at + 1)
+        rows, agenda = np.arange(n), rank.reshape(n, wide)
+        if keys is not None:
+            since, draws = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            gaps = self._some_gaps(keys, draws)
+        while len(rows):
+            at = rows * wide + agenda[rows].argmin(1)
+            live = rank[at] < _NONE
+            rows, at = rows[live], at[live]
+            if keys is not None:
+                skip = since[rows] == gaps[rows]
+                since[rows] += 1
+                out = rows[skip]
+                if len(out):
+                    rank[at[skip]] = _NONE
+                    at = at[~skip]
+                    since[out] = 0
+                    draws[out] += 1
+                    gaps[out] = self._some_gaps(keys[out], draws[out])
+            middle, first = after[at], before[at]
+            end = after[middle]
+            parts[at], parts[middle] = whole[at], 0
+            rank[middle] = _NONE
+            after[at], before[end] = end, at
+            self._candidates(parts, rank, whole, np.concatenate([first, at]), np.concatenate([at, end]))
+        return parts.reshape(n, wide)
+
+    def _candidates(self, parts: np.ndarray, rank: np.ndarray, whole: np.ndarray, at: np.ndarray, after: np.ndarray) -> None:
+        found = self.pairs.find(parts[at].astype(np.uint64) * self.span + parts[after].astype(np.uint64))
+        rank[at], whole[at] = self.rank[found], self.whole[found]
+
+    def _spelled(self, part: int) -> list[int]:
+        """Byte pieces of a character that is no piece."""
+        return [self.byte[b] for b in (self.names[part] if part < self.others else chr(part - self.others)).encode()]
+
+    def _together(self, words: list[str], keys: np.ndarray | None) -> tuple[list[bytes], np.ndarray]:
+        """Ids of words of at most `_LONG` characters, each with its key, and how many parts each has."""
+        out, n_parts = [b""] * len(words), np.zeros(len(words), np.int64)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        for shorter, width in zip((0, *_WIDTHS), _WIDTHS):
+            every = np.flatnonzero((lengths > shorter) & (lengths <= width))
+            for a in range(0, len(every), _ROWS):
+                at = every[a : a + _ROWS]
+                table = self._agendas(list(map(words.__getitem__, at.tolist())), width, None if keys is None else keys[at])
+                held = table > 0
+                parts, sizes = table[held], held.sum(1)
+                n_parts[at] = sizes
+                ids = self.id_of[np.minimum(parts, self.others)]
+                odd = ids < 0
+                if odd.any():
+                    spelled = list(map(self._spelled, parts[odd].tolist()))
+                    times = np.ones(len(ids), np.int64)
+                    times[odd] = list(map(len, spelled))
+                    sizes = np.add.reduceat(times, np.cumsum(sizes) - sizes)
+                    ids = np.repeat(ids, times)
+                    ids[np.repeat(odd, times)] = np.concatenate(spelled)
+                raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+                for i, s, e in zip(at.tolist(), [0, *ends], ends):
+                    out[i] = raw[s:e]
+        return out, n_parts
 
     def _learn(self, words: list[str]) -> None:
-        """Plain segmentations of new words. The model gives many at once; a word of n characters and k pieces has n - k merges."""
-        known = self.known
-        fit = [w for w in words if 1 < len(w) <= _LONG and w[0] == SPACE and not w.rfind(SPACE)]
-        if len(fit) >= _FEW:
-            coded: list[int] = []
-            for a in range(0, len(fit), _AT_ONCE):
-                coded += self.model.encode("".join(fit[a : a + _AT_ONCE])[1:].replace(SPACE, " "))
-            ids = np.array(coded, np.int64)
-            starts = np.flatnonzero(self.opens[ids])
-            if len(starts) == len(fit) and not starts[0]:
-                bounds = [*starts.tolist(), len(ids)]
-                names = list(map(self.names.__getitem__, coded))
-                same = "".join(names) == "".join(fit)
-                raw = ids.astype("<u4").tobytes()
-                for w, a, b in zip(fit, bounds, bounds[1:]):
-                    if same or "".join(names[a:b]) == w:
-                        known[w] = [raw[4 * a : 4 * b], len(w) - (b - a), None, ()]
-                        self.kept += 1
-        for w in words:
-            if w not in known:
-                known[w] = self._node(w, ()) if len(w) <= _LONG else [None, -1, None, ()]
+        """Plain segmentations of new words. A word of n characters and k parts has n - k merges."""
+        first, end = len(self.raw), len(self.raw) + len(words)
+        self.known.update(zip(words, range(first, end)))
+        if end > len(self.merges):
+            self.merges = np.pad(self.merges, (0, 2 * end - len(self.merges)))
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        raw, n_parts = self._together(words, None)
+        self.raw += [x or None for x in raw]
+        self.merges[first:end] = np.where(lengths > _LONG, -1, lengths - n_parts)
 
     def _drawn(self, words: list[str], keys: np.ndarray) -> list[bytes]:
         """Ids of occurrences of words, each with its key.
 
-        A node of a word holds its segmentation after some skips. The next draw either passes over all candidates that are left, which
-        settles the occurrence, or leads to the node with one skip more.
+        The first draw either passes over all candidates of a word, which leaves its plain segmentation, or the agenda is run with it.
         """
-        if self.kept > _CACHED:
-            self.known, self.kept = {}, 0
-        nodes = list(map(self.known.get, words))
-        if None in nodes:
-            places = [i for i, x in enumerate(nodes) if x is None]
-            self._learn(list({words[i]: None for i in places}))
-            for i in places:
-                nodes[i] = self.known[words[i]]
-        out = [x[0] for x in nodes]
+        if len(self.raw) > _CACHED:
+            self._forget()
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            fresh = list(map(words.__getitem__, new))
+            self._learn(list(dict.fromkeys(fresh)))
+            at[new] = list(map(self.known.__getitem__, fresh))
+        out = list(map(self.raw.__getitem__, at.tolist()))
+        merges = self.merges[at]
         if self.drops:
-            gaps = self._some_gaps(keys, 0)
-            at = np.flatnonzero(gaps < np.array([x[1] for x in nodes]))
-            gaps, draw = gaps[at], 0
-            while len(at):
-                draw += 1
-                following = self._some_gaps(keys[at], draw)
-                more = []
-                for n, (i, gap, after) in enumerate(zip(at.tolist(), gaps.tolist(), following.tolist())):
-                    node = nodes[i]
-                    if node[2] is None:
-                        node[2] = {}
-                    below = node[2].get(gap)
-                    if below is None:
-                        below = node[2][gap] = self._node(words[i], (*node[3], gap))
-                    if after < below[1]:
-                        nodes[i] = below
-                        more.append(n)
-                    else:
-                        out[i] = below[0]
-                at, gaps = at[more], following[more]
-        if None in out:
-            out = [x if x is not None else self._word(w, k) for x, w, k in zip(out, words, keys.tolist())]
+            some = np.flatnonzero(self._some_gaps(keys, np.zeros(len(keys), np.int64)) < merges)
+            for i, x in zip(some.tolist(), self._together(list(map(words.__getitem__, some.tolist())), keys[some])[0]):
+                out[i] = x
+        for i in np.flatnonzero(merges < 0).tolist():
+            out[i] = self._word(words[i], int(keys[i]))
         return out
 
     def _new_words(self, words: list[tuple[str, int]]) -> list[bytes]:
@@ -237,18 +304,44 @@ class Pieces:
 
     def encode(self, text: str, key: int | None) -> bytes:
         """Ids as little-endian unsigned 32-bit bytes. `key` draws the skips; without one no merge is skipped. Empty text, no ids."""
-        if not text:
-            return b""
+        if key is not None:
+            return next(self.encode_all([text], [key]))
         if SPACE in text:
-            return self._odd(text, key)
-        words = self.words.findall(SPACE + text.replace(" ", SPACE))
-        if key is None:
-            return b"".join([self._word(w, None) for w in words])
-        out = []
+            return self._odd(text, None)
+        return b"".join([self._word(w, None) for w in self._words(text)])
+
+    def encode_all(self, texts: list[str], keys: list[int]) -> Iterator[bytes]:
+        """Ids of many texts in their order; the words of several texts are looked up together."""
+        words: list[str] = []
+        word_keys: list[np.ndarray] = []
+        sizes: list[int | bytes] = []  # words of each text that waits, or its ids
+        for text, key in zip(texts, keys, strict=True):
+            if SPACE in text:
+                sizes.append(self._odd(text, key))
+            else:
+                found = self._words(text)
+                words += found
+                word_keys.append(self._keys(key, 0, len(found)))
+                sizes.append(len(found))
+            if len(words) >= _CHUNK:
+                yield from self._joined(words, np.concatenate(word_keys), sizes)
+                words, word_keys, sizes = [], [], []
+        yield from self._joined(words, np.concatenate([*word_keys, np.zeros(0, np.uint64)]), sizes)
+
+    def _joined(self, words: list[str], keys: np.ndarray, sizes: list[int | bytes]) -> Iterator[bytes]:
+        out: list[bytes] = []
         for a in range(0, len(words), _CHUNK):
-            part = words[a : a + _CHUNK]
-            out += self._drawn(part, self._keys(key, a, len(part)))
-        return b"".join(out)
+            out += self._drawn(words[a : a + _CHUNK], keys[a : a + _CHUNK])
+        at = 0
+        for size in sizes:
+            if isinstance(size, bytes):
+                yield size
+            else:
+                yield b"".join(out[at : at + size])
+                at += size
+
+    def _words(self, text: str) -> list[str]:
+        return self.words.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
     def _odd(self, text: str, key: int | None) -> bytes:
         """Text with the space sign itself: that becomes byte pieces, which do not decode as a space; the rest is encoded as usual."""
@@ -290,7 +383,8 @@ def encode_documents(docs: DataFrame, path: str | None = None, dropout: float =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path, dropout, seed)
         for batch in batches:
-            ids = [np.frombuffer(p.encode(t or "", _key(d, seed)), "<u4").astype(np.int32) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            keys = [_key(d, seed) for d in batch.column(0).to_pylist()]
+            ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in p.encode_all([t or "" for t in batch.column(1).to_pylist()], keys)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     kind = dict(docs.dtypes)[id_col]
@@ -321,11 +415,11 @@ def round_trips(docs: DataFrame, path: str | None = None, dropout: float = DROPO
         p = pieces(path, dropout, seed)
         for batch in batches:
             n, crc, same = [], [], []
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = p.encode(t or "", _key(d, seed))
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for t, ids in zip(texts, p.encode_all(texts, [_key(d, seed) for d in batch.column(0).to_pylist()]), strict=True):
                 n.append(len(ids) // 4)
                 crc.append(zlib.crc32(ids))
-                same.append(p.decode(ids) == (t or ""))
+                same.append(p.decode(ids) == t)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same)], names=["doc_id", "n_ids", "ids_crc32", "lossless"])
 
     kind = dict(docs.dtypes)["doc_id"]
