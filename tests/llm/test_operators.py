@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from touchline.llm import exact_topk, html_text, language_id, merge_dropout, packing, permutation_index, quality, secrets, toxicity, vectors
-from touchline.llm.common import Numbers
+from touchline.llm.agendas import Numbers
 
 ODD = [None, "", "   ", "→ 123 !", "\n\n", "x" * 50_000, "word " * 30_000]
 
@@ -355,11 +355,11 @@ def test_numbers_by_key():
     rnd = np.random.default_rng(5)
     keys = np.unique(rnd.integers(1, 1 << 62, 1000).astype(np.uint64))
     held = Numbers(len(keys))
-    held.add(keys[:10])
-    held.add(keys[10:])
+    held.add(keys[:10], np.arange(10))
+    held.add(keys[10:], np.arange(10, len(keys)))
     assert held.find(keys[::-1]).tolist() == list(range(len(keys)))[::-1] and (held.find(keys + np.uint64(1 << 63)) == -1).all()
     with pytest.raises(ValueError):
-        held.add(np.array([1 << 63], np.uint64))
+        held.add(np.array([1 << 63], np.uint64), np.zeros(1))
 
 
 def test_quality_filter_keeps_what_the_score_keeps(spark):
@@ -420,6 +420,61 @@ def test_packing_encodes_like_the_tokenizer_by_default(spark):
         assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
 
 
+def test_packing_encodes_many_texts_together(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(11)
+    tokenizer = Tokenizer.from_file(packing.vocabulary_path())
+    marks = ["'s", "'ll", "'re", "'", "''", " ", " ", "  ", "\n", "\t", "\r\n", "\x85", "\xa0", "\x1c", "\x00", "é", "ª", "²", "½", "’", "€", "…", "1", "23", ".", "-", "the", "over", "ſ", "don't", "WE'LL", "antidisestablishmentarian"]
+    texts = ["".join(rnd.choice(marks) for _ in range(rnd.randrange(40))) for _ in range(2000)]
+    plain = packing.Encoder(packing.vocabulary_path())
+    want = [plain.encode(t) + b"\0\0\0\0" for t in texts]
+    for t, x in zip(texts, want):
+        if not set(t) & {"\x85", "\xa0"}:
+            assert np.frombuffer(x[:-4], "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    alone = []
+    monkeypatch.setattr(packing.Encoder, "encode", lambda self, t, encode=packing.Encoder.encode: alone.append(t) or encode(self, t))
+    for words, ids, size in ((1 << 19, 1 << 22, 1 << 20), (300, 1 << 22, 400), (1 << 19, 200, 2000)):  # all are kept; kept words are forgotten
+        monkeypatch.setattr(packing, "_WORDS", words)
+        monkeypatch.setattr(packing, "_IDS", ids)
+        monkeypatch.setattr(packing, "_BYTES", size)
+        for _ in range(2):
+            assert list(packing.Encoder(packing.vocabulary_path()).encode_all(pa.array(texts))) == want and not alone
+    monkeypatch.setattr(packing, "_BYTES", 300)
+    odd = ["日本 text", None, "", "a" * 301, "x <|endoftext|> y", "😀", "Ωmega", "x" * 200, "plain"]
+    got = list(plain.encode_all(pa.array(["cut off", *odd])[1:]))
+    assert alone == [odd[i] for i in (0, 3, 4, 5, 6)]
+    assert got == [plain.encode(t or "") + b"\0\0\0\0" for t in odd]
+
+
+def test_packing_deals_as_each_document_by_itself():
+    import pyarrow as pa
+
+    rnd = random.Random(12)
+    heavy = [np.array(rnd.sample(range(40), rnd.choice([0, 1, 2, 5, 16])), np.int32) for _ in range(300)]
+    deal = packing.Deal(np.array([rnd.randrange(6) for _ in range(40)]))
+    batch = pa.RecordBatch.from_arrays([packing.lists(heavy, pa.int32()), pa.array([rnd.getrandbits(63) - (1 << 62) for _ in heavy], pa.int64())], names=["heavy", "salt"])
+    for level in range(packing.LEVELS + 1):
+        found = deal.groups(batch)
+        assert found[50:90] == deal.groups(batch.slice(50, 40)) == [deal.groups(batch.slice(i, 1))[0] for i in range(50, 90)]
+        deal.bins |= {g: 2 for g in found if len(g) == level + 1 and level < packing.LEVELS}
+    for (first, *_), h in zip(found, heavy):
+        assert first == (min(h.tolist(), key=lambda t: (-deal.common[t], t)) if len(h) else -1)
+    assert {len(g) for g in found} == {packing.LEVELS + 1}
+
+
+def test_bm25_of_wanted_documents_is_as_before():
+    rnd = np.random.default_rng(8)
+    docs = [np.concatenate([rnd.integers(0, 6, 30), rnd.integers(6, 300, 30)]).astype(np.uint32) for _ in range(60)]
+    index, wanted = packing.Bm25(docs), rnd.random(60) < 0.5
+    assert 0 < len(index.rows) < len(index.row)
+    before = [index.scores(d) for d in docs]
+    index.keep(wanted)
+    for d, x in zip(docs, before):
+        assert index.scores(d).tolist() == np.where(wanted, x, 0.0).tolist()
+
+
 def test_packing_brings_lexical_neighbours_together(spark):
     rnd = random.Random(6)
     names = ["".join(rnd.choice("bcdfghjklmnpqrstvwxz") + rnd.choice("aeiou") for _ in range(4)) for _ in range(600)]

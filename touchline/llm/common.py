@@ -109,48 +109,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class Numbers:
-    """Numbers from 0 by 64-bit keys other than 0, in order of their adding; many keys are found at once (open addressing)."""
-
-    def __init__(self, room: int):
-        bits = max(room, 1).bit_length() + 1
-        self.n, self.room, self.shift, self.last = 0, room, np.uint64(64 - bits), (1 << bits) - 1
-        self.held, self.number = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
-
-    def _slots(self, keys: np.ndarray) -> np.ndarray:
-        return (keys * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The number of each key, -1 for those not held."""
-        slots = self._slots(keys)
-        held = self.held[slots]
-        same = held == keys
-        out = np.where(same, self.number[slots], np.int32(-1))
-        more = np.flatnonzero(~same & (held != 0))
-        while len(more):
-            slots[more] = slots[more] + 1 & self.last
-            at, wanted = slots[more], keys[more]
-            held = self.held[at]
-            same = held == wanted
-            out[more[same]] = self.number[at[same]]
-            more = more[~same & (held != 0)]
-        return out
-
-    def add(self, keys: np.ndarray) -> None:
-        """Keys that differ and are not held, `room` in all at most."""
-        if self.n + len(keys) > self.room:
-            raise ValueError(f"more than {self.room} keys")
-        slots, left = self._slots(keys), np.arange(len(keys))
-        while len(left):
-            free = left[self.held[slots[left]] == 0]
-            self.held[slots[free]] = keys[free]
-            mine = self.held[slots[left]] == keys[left]
-            self.number[slots[left[mine]]] = self.n + left[mine]
-            left = left[~mine]
-            slots[left] = slots[left] + 1 & self.last
-        self.n += len(keys)
-
-
 def labelled(docs: DataFrame, labels: DataFrame, column: str, rows: int) -> DataFrame:
     """`text` and `label` (double) of about `rows` labelled documents that may be learned from; the largest label of a repeated id.
 

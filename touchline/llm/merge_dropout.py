@@ -25,18 +25,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import Numbers, mix
+from touchline.llm.agendas import WIDTHS, Agendas, tables
+from touchline.llm.common import mix
 
 SPACE = "▁"  # stands for a space in pieces
 DROPOUT, SEED = 0.1, 42
 VARIANTS = 3  # first keys that the tests draw from; a word may have any segmentation in any document
 _CACHED = 900_000  # plain segmentations kept by a Python worker, about
-_LONG = 64  # characters beyond which a word goes through its agenda alone
+_LONG = WIDTHS[-1]  # characters beyond which a word goes through its agenda alone
 _GAPS = 256  # candidates that one draw passes over, at most; then it is drawn again
 _CHUNK = 200_000  # words that are looked up together
-_WIDTHS = (4, 6, 8, 10, 12, 16, 24, 40, _LONG)  # words of up to so many characters share a table of agendas
-_ROWS = 8192  # agendas that are run together
-_NONE = np.iinfo(np.int32).max  # rank where there is no candidate
 _MASK, _STEP, _MIX = (1 << 64) - 1, 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 _START, _RANK = 10, 42  # bits of an entry of the agenda: length below, then start, then rank
 _LENGTH, _PLACES = (1 << _START) - 1, (1 << (_RANK - _START)) - 1
@@ -102,7 +100,6 @@ class Pieces:
         names = [*self.entry, *sorted({c for x in self.entry for c in x} - self.entry.keys())]
         number = {x: i for i, x in enumerate(names, 1)}
         self.others = len(names) + 1
-        self.span = np.uint64(self.others + 0x110000)
         self.part_of = np.arange(self.others, self.others + 0x110000, dtype=np.int32)
         for x, i in number.items():
             if len(x) == 1:
@@ -111,9 +108,7 @@ class Pieces:
         self.id_of = np.array([-1, *(self.ids.get(x, -1) for x in names), -1], np.int64)  # the last stands for other characters
         pairs = [(number[x[:i]], number[x[i:]], e >> _RANK, number[x]) for x, e in self.entry.items() for i in range(1, len(x)) if x[:i] in number and x[i:] in number]
         left, right, rank, whole = np.array(pairs, np.int64).reshape(-1, 4).T
-        self.pairs = Numbers(len(pairs))
-        self.pairs.add(left.astype(np.uint64) * self.span + right.astype(np.uint64))
-        self.rank, self.whole = np.append(rank, _NONE).astype(np.int32), np.append(whole, 0).astype(np.int32)  # the last, -1, for no pair
+        self.agendas = Agendas(left, right, rank, whole, self.others + 0x110000)
 
     def _gap(self, key: int, draw: int) -> int:
         x = (key + (draw + 1) * _STEP) & _MASK
@@ -186,50 +181,12 @@ class Pieces:
         """Ids of one occurrence; without a key no merge is skipped."""
         return array("I", self.merge(word, None if key is None or not self.drops else self._gaps(key))[0]).tobytes()
 
-    def _agendas(self, words: list[str], width: int, keys: np.ndarray | None) -> np.ndarray:
-        """Parts that are left of each word, one row a word with 0 where none starts; `merge` of many words. Without keys none is skipped.
-
-        A row holds a word between empty places. Each place has the part that starts there, the places of the parts before and after, and
-        the rank and the part of its candidate, the merge with the part after.
-        """
-        n, wide = len(words), width + 2
-        lengths = np.fromiter(map(len, words), np.int64, n)
-        parts = np.zeros((n, wide), np.int32)
-        parts[:, 1:-1][np.arange(width) < lengths[:, None]] = self.part_of[np.frombuffer("".join(words).encode("utf-32-le"), "<u4")]
-        parts = parts.ravel()
-        after, before = np.arange(1, n * wide + 1), np.arange(-1, n * wide - 1)
-        rank, whole = np.full(n * wide, _NONE, np.int32), np.zeros(n * wide, np.int32)
-        at = np.flatnonzero((parts[:-1] > 0) & (parts[1:] > 0))
-        self._candidates(parts, rank, whole, at, at + 1)
-        rows, agenda = np.arange(n), rank.reshape(n, wide)
-        if keys is not None:
-            since, draws = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            gaps = self._some_gaps(keys, draws)
-        while len(rows):
-            at = rows * wide + agenda[rows].argmin(1)
-            live = rank[at] < _NONE
-            rows, at = rows[live], at[live]
-            if keys is not None:
-                skip = since[rows] == gaps[rows]
-                since[rows] += 1
-                out = rows[skip]
-                if len(out):
-                    rank[at[skip]] = _NONE
-                    at = at[~skip]
-                    since[out] = 0
-                    draws[out] += 1
-                    gaps[out] = self._some_gaps(keys[out], draws[out])
-            middle, first = after[at], before[at]
-            end = after[middle]
-            parts[at], parts[middle] = whole[at], 0
-            rank[middle] = _NONE
-            after[at], before[end] = end, at
-            self._candidates(parts, rank, whole, np.concatenate([first, at]), np.concatenate([at, end]))
-        return parts.reshape(n, wide)
-
-    def _candidates(self, parts: np.ndarray, rank: np.ndarray, whole: np.ndarray, at: np.ndarray, after: np.ndarray) -> None:
-        found = self.pairs.find(parts[at].astype(np.uint64) * self.span + parts[after].astype(np.uint64))
-        rank[at], whole[at] = self.rank[found], self.whole[found]
+    def _parts(self, words: list[str], width: int, keys: np.ndarray | None) -> np.ndarray:
+        """`merge` of many words of at most `width` characters: their parts, a row each. Without keys no merge is skipped."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        table = np.zeros((len(words), width + 2), np.int32)
+        table[:, 1:-1][np.arange(width) < lengths[:, None]] = self.part_of[np.frombuffer("".join(words).encode("utf-32-le"), "<u4")]
+        return self.agendas.run(table, None if keys is None else lambda rows, draws: self._some_gaps(keys[rows], draws))
 
     def _spelled(self, part: int) -> list[int]:
         """Byte pieces of a character that is no piece."""
@@ -239,26 +196,23 @@ class Pieces:
         """Ids of words of at most `_LONG` characters, each with its key, and how many parts each has."""
         out, n_parts = [b""] * len(words), np.zeros(len(words), np.int64)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        for shorter, width in zip((0, *_WIDTHS), _WIDTHS):
-            every = np.flatnonzero((lengths > shorter) & (lengths <= width))
-            for a in range(0, len(every), _ROWS):
-                at = every[a : a + _ROWS]
-                table = self._agendas(list(map(words.__getitem__, at.tolist())), width, None if keys is None else keys[at])
-                held = table > 0
-                parts, sizes = table[held], held.sum(1)
-                n_parts[at] = sizes
-                ids = self.id_of[np.minimum(parts, self.others)]
-                odd = ids < 0
-                if odd.any():
-                    spelled = list(map(self._spelled, parts[odd].tolist()))
-                    times = np.ones(len(ids), np.int64)
-                    times[odd] = list(map(len, spelled))
-                    sizes = np.add.reduceat(times, np.cumsum(sizes) - sizes)
-                    ids = np.repeat(ids, times)
-                    ids[np.repeat(odd, times)] = np.concatenate(spelled)
-                raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
-                for i, s, e in zip(at.tolist(), [0, *ends], ends):
-                    out[i] = raw[s:e]
+        for width, at in tables(lengths):
+            table = self._parts(list(map(words.__getitem__, at.tolist())), width, None if keys is None else keys[at])
+            held = table > 0
+            parts, sizes = table[held], held.sum(1)
+            n_parts[at] = sizes
+            ids = self.id_of[np.minimum(parts, self.others)]
+            odd = ids < 0
+            if odd.any():
+                spelled = list(map(self._spelled, parts[odd].tolist()))
+                times = np.ones(len(ids), np.int64)
+                times[odd] = list(map(len, spelled))
+                sizes = np.add.reduceat(times, np.cumsum(sizes) - sizes)
+                ids = np.repeat(ids, times)
+                ids[np.repeat(odd, times)] = np.concatenate(spelled)
+            raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+            for i, s, e in zip(at.tolist(), [0, *ends], ends):
+                out[i] = raw[s:e]
         return out, n_parts
 
     def _learn(self, words: list[str]) -> None:

@@ -8,23 +8,28 @@ its remainder seeds the next window. The last window of a shard is cut at powers
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import lists, mix, partitions, run_bounds, whole_runs, written
+from touchline.llm.agendas import WIDTHS, Agendas, Numbers, tables
+from touchline.llm.common import lists, mix, partitions, run_bounds, slices, utf8, whole_runs, written
 
 WINDOW = 1024
 SHARD = 2048  # documents of a shard, about
 SEPARATOR = 0
+_SEPARATOR_BYTES = np.array([SEPARATOR], "<u4").tobytes()
 K1, B = 1.2, 0.75
 HEAVY = 16  # heaviest shared terms of a document, among which its group is chosen
 LEVELS = 3  # terms by which groups are divided before the salt
@@ -32,6 +37,11 @@ LEVELS = 3  # terms by which groups are divided before the salt
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters whose classes do not change between Unicode versions; texts with others go to the tokenizer's own library.
 _STABLE = re.compile("[\x00-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]*")
+_SPACES, _LETTERS, _NUMBERS, _OTHERS, _END, _UNSTABLE = range(6)  # classes of characters in PATTERN; the end of a text; others than _STABLE
+_SHORT = 15  # bytes of a word that make its key
+_WORDS = 1 << 19  # words whose ids a Python worker keeps
+_IDS = 1 << 22  # ids of kept words, about
+_BYTES = 1 << 20  # bytes of texts that are split together; longer texts are encoded alone
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -46,11 +56,58 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
 
 
+def _class(c: str) -> int:
+    if not _STABLE.fullmatch(c):
+        return _UNSTABLE
+    if c in "\t\n\v\f\r \x85\xa0":
+        return _SPACES
+    return {"L": _LETTERS, "N": _NUMBERS}.get(unicodedata.category(c)[0], _OTHERS)
+
+
+_CLASSES = np.array([_class(chr(c)) for c in range(0x20C1)], np.uint8)  # the last stands for all after it
+
+
+def _classes(data: np.ndarray) -> np.ndarray:
+    """The class of the character of each byte of UTF-8."""
+    out = _CLASSES[data]
+    at = np.flatnonzero(data >= 0xC0)
+    if len(at):
+        tail = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int32)
+        lead, second, third = tail[at], tail[at + 1] & 63, tail[at + 2] & 63
+        code = np.where(lead < 0xE0, (lead & 31) << 6 | second, np.where(lead < 0xF0, (lead & 15) << 12 | second << 6 | third, len(_CLASSES)))
+        found = _CLASSES[np.minimum(code, len(_CLASSES) - 1)]
+        out[at] = found
+        out[at + 1] = found
+        for n, least in ((2, 0xE0), (3, 0xF0)):
+            more = lead >= least
+            out[at[more] + n] = found[more]
+    return out
+
+
+def split(data: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Where the words of PATTERN start in texts of which each is followed by a byte of class `_END`, a word by itself."""
+    first = np.ones(len(data), bool)
+    first[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _END)
+    # the last white space before another character starts a word, which goes on after a space
+    last = np.flatnonzero((kind[:-1] == _SPACES) & (kind[1:] != _SPACES) & (kind[1:] != _END))
+    first[last - (data[last] >= 0x80)] = True
+    first[last[data[last] == 32] + 1] = False
+    at = np.flatnonzero((data[:-2] == 39) & first[:-2] & (kind[1:-1] == _LETTERS))
+    one, two = data[at + 1], data[at + 2]
+    short = (one == ord("s")) | (one == ord("t")) | (one == ord("m")) | (one == ord("d"))
+    long = (two == ord("e")) & ((one == ord("r")) | (one == ord("v"))) | (one == ord("l")) & (two == ord("l"))
+    first[at[short | long] + 1] = False
+    first[at[short] + 2] = True
+    first[at[long] + 3] = True
+    return np.flatnonzero(first)
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, those of the tokenizer's file.
 
     The file's ids are merge ranks, so its vocabulary also drives the faster rank encoder for common characters. Texts that hold the
-    literal of an added token go to the tokenizer itself, which gives that token's id.
+    literal of an added token go to the tokenizer itself, which gives that token's id. Many texts are split together, and the ids of a
+    word are kept: a word of few bytes is found by these bytes, others by a dict.
     """
 
     def __init__(self, path: str):
@@ -60,9 +117,119 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or r"(?!)")
+        self.special_bytes = re.compile(self.special.pattern.encode())
         to = _byte_alphabet()
         ranks = {bytes(to[c] for c in t): i for t, i in self.tokenizer.get_vocab().items() if t not in special}
         self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        # a part is an id and 1; the bytes of a word are merged by the file's list
+        number = {t: i + 1 for t, i in self.tokenizer.get_vocab().items()}
+        self.part_of = np.zeros(256, np.int32)
+        self.part_of[list(to.values())] = [number[c] for c in to]
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in json.loads(self.tokenizer.to_str())["model"]["merges"]]
+        pairs = {(number[x], number[y]): (r, number[x + y]) for r, (x, y) in enumerate(merges)}
+        left, right, rank, whole = np.array([(*k, *v) for k, v in pairs.items()], np.int64).T
+        self.agendas = Agendas(left, right, rank, whole, max(number.values()) + 1)
+        self.masks = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Kept words: numbers by key, the bytes of short ones, numbers of the others, and the ids of all; word 0 is the separator."""
+        self.found, self.low, self.high = Numbers(_WORDS), np.zeros(_WORDS + 1, np.uint64), np.zeros(_WORDS + 1, np.uint64)
+        self.others: dict[bytes, int] = {}
+        self.n, self.starts, self.sizes = 1, np.zeros(_WORDS + 1, np.int64), np.zeros(_WORDS + 1, np.int64)
+        self.ids, self.end = np.full(1 << 16, SEPARATOR, np.uint32), 1
+        self.sizes[0] = 1
+
+    def _keep(self, data: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Numbers of new words, whose ids are kept from now on."""
+        numbers = np.arange(self.n, self.n + len(at))
+        self.n += len(at)
+        for width, some in tables(sizes):
+            table = np.zeros((len(some), width + 2), np.int32)
+            places = np.arange(width)
+            inside = places < sizes[some, None]
+            table[:, 1:-1][inside] = self.part_of[data[(at[some, None] + places)[inside]]]
+            parts = self.agendas.run(table)
+            held = parts > 0
+            self._store(numbers[some], parts[held] - 1, held.sum(1))
+        for i in np.flatnonzero(sizes > WIDTHS[-1]).tolist():
+            ids = self.fast.encode_ordinary(data[at[i] : at[i] + sizes[i]].tobytes().decode())
+            self._store(numbers[i : i + 1], np.array(ids), np.array([len(ids)]))
+        return numbers
+
+    def _store(self, numbers: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        if self.end + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + len(ids), np.uint32)])
+        self.ids[self.end : self.end + len(ids)] = ids
+        self.sizes[numbers], self.starts[numbers] = sizes, self.end + np.cumsum(sizes) - sizes
+        self.end += len(ids)
+
+    def _numbers(self, data: np.ndarray, at: np.ndarray, sizes: np.ndarray, again: bool = False) -> np.ndarray:
+        """Numbers of the words that start at `at`; `data` goes on for 16 bytes after the last."""
+        eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+        short = np.minimum(sizes, _SHORT)
+        low = eight[at] & self.masks[np.minimum(short, 8)]
+        high = eight[at + 8] & self.masks[np.maximum(short - 8, 0)] | sizes.astype(np.uint64) << np.uint64(56)
+        keys = mix(low) + high * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+        out = self.found.find(keys)
+        new = np.flatnonzero((out < 0) & (sizes <= _SHORT))
+        fresh = new[np.unique(keys[new], return_index=True)[1]]
+        if self.n + len(fresh) > _WORDS and not again:
+            self._forget()
+            return self._numbers(data, at, sizes, True)
+        if len(fresh):
+            numbers = self._keep(data, at[fresh], sizes[fresh])
+            self.found.add(keys[fresh], numbers)
+            self.low[numbers], self.high[numbers] = low[fresh], high[fresh]
+            out[new] = self.found.find(keys[new])
+        rest = np.flatnonzero((sizes > _SHORT) | (self.low[out] != low) | (self.high[out] != high))
+        words = [data[s:e].tobytes() for s, e in zip(at[rest].tolist(), (at + sizes)[rest].tolist())]
+        more = {w: i for w, i in zip(words, rest.tolist()) if w not in self.others}
+        if self.n + len(more) > _WORDS and not again:
+            self._forget()
+            return self._numbers(data, at, sizes, True)
+        which = np.array([*more.values()], np.int64)
+        self.others |= zip(more, self._keep(data, at[which], sizes[which]).tolist())
+        out[rest] = list(map(self.others.__getitem__, words))
+        return out
+
+    def _together(self, data: np.ndarray, kind: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+        """Ids of texts, each with the separator."""
+        if self.end > _IDS:
+            self._forget()
+        ends = np.cumsum(lengths) + np.arange(len(lengths))
+        inside = np.ones(len(data) + len(lengths), bool)
+        inside[ends] = False
+        whole, kinds = np.zeros(len(inside) + 16, np.uint8), np.full(len(inside), _END, np.uint8)
+        whole[: len(inside)][inside], kinds[inside] = data, kind
+        at = split(whole[: len(inside)], kinds)
+        sizes = np.diff(at, append=len(inside))
+        end = kinds[at] == _END
+        numbers = np.zeros(len(at), np.int64)
+        numbers[~end] = self._numbers(whole, at[~end], sizes[~end])
+        sizes = self.sizes[numbers]
+        stops = np.cumsum(sizes)
+        raw = self.ids[np.repeat(self.starts[numbers] - stops + sizes, sizes) + np.arange(stops[-1])].astype("<u4").tobytes()
+        bounds = (4 * stops[end]).tolist()
+        return [raw[s:e] for s, e in zip([0, *bounds], bounds)]
+
+    def encode_all(self, column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
+        """Ids of each text of a column, with the separator after them; a null is an empty text."""
+        data, offsets = utf8(column)
+        for a, b in slices(offsets, _BYTES):
+            part, bounds = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            lengths = np.diff(bounds)
+            kind = _classes(part)
+            alone = np.flatnonzero(kind == _UNSTABLE)
+            alone = np.concatenate([alone, np.array([m.start() for m in self.special_bytes.finditer(part)], np.int64)])
+            plain = lengths <= _BYTES
+            plain[np.searchsorted(bounds, alone, "right") - 1] = False
+            if not plain.all():
+                inside = np.repeat(plain, lengths)
+                part, kind = part[inside], kind[inside]
+            coded = iter(self._together(part, kind, lengths[plain]) if plain.any() else [])
+            for i, x in enumerate(plain.tolist()):
+                yield next(coded) if x else self.encode(bytes(data[offsets[a + i] : offsets[a + i + 1]]).decode()) + _SEPARATOR_BYTES
 
     def encode(self, text: str) -> bytes:
         if (text.isascii() or _STABLE.fullmatch(text)) and not self.special.search(text):
@@ -84,30 +251,35 @@ def counts_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _coded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """Checksums of the whole windows and ids of the rest of each document; distinct ids with counts of documents with both."""
-    end = np.array([SEPARATOR], "<u4").tobytes()
     wide = 4 * WINDOW
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for a in range(0, len(texts), 256):
+        coded = encoder(path).encode_all(batch.column("text"))
+        for a in range(0, batch.num_rows, 256):
+            rows = batch.slice(a, 256)
             out: dict[str, list] = {c: [] for c in ("tokens", "whole", "rest", "terms", "counts")}
-            for text in texts[a : a + 256]:
-                ids = encoder(path).encode(text) + end
+            for ids in islice(coded, rows.num_rows):
                 cut = len(ids) // wide * wide
                 terms, counts = counts_of(np.frombuffer(ids, "<u4")) if cut else (None, None)
                 for c, x in (("tokens", len(ids) // 4), ("whole", [zlib.crc32(ids[s : s + wide]) for s in range(0, cut, wide)]), ("rest", ids[cut:]), ("terms", terms.tobytes() if cut else None), ("counts", counts.astype("<u4").tobytes() if cut else None)):
                     out[c].append(x)
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
-            rows = batch.slice(a, 256)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("salt"), *(pa.array(x, k) for x, k in zip(out.values(), kinds, strict=True))], names=["doc_id", "salt", *out])
 
 
 def _terms(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Distinct ids and their counts in each whole document."""
-    for rest, terms, counts in zip(*(batch.column(c).to_pylist() for c in ("rest", "terms", "counts")), strict=True):
-        if terms is None:
-            yield counts_of(np.frombuffer(rest, "<u4"))
-        else:
-            yield np.frombuffer(terms, "<u4"), np.frombuffer(counts, "<u4").astype(np.int64)
+    """Distinct ids and their counts in each whole document; the ids of many documents are sorted together."""
+    rests, terms, counts = (batch.column(c).to_pylist() for c in ("rest", "terms", "counts"))
+    for a in range(0, len(rests), 256):
+        known = terms[a : a + 256]
+        raw = [b"" if t is not None else r for r, t in zip(rests[a : a + 256], known)]
+        ids = np.repeat(np.arange(len(raw)) << 32, [len(r) // 4 for r in raw]) | np.frombuffer(b"".join(raw), "<u4")
+        ids.sort()
+        bounds = run_bounds(ids)
+        first, times = ids[bounds[:-1]], np.diff(bounds)
+        ends = np.searchsorted(first, np.arange(len(raw) + 1) << 32).tolist()
+        found = first.astype(np.uint32)  # the lower half
+        for t, c, s, e in zip(known, counts[a : a + 256], ends, ends[1:]):
+            yield (found[s:e], times[s:e]) if t is None else (np.frombuffer(t, "<u4"), np.frombuffer(c, "<u4").astype(np.int64))
 
 
 @dataclass
@@ -151,11 +323,16 @@ def _weighed(batches: Iterator[pa.RecordBatch], corpus: Corpus) -> Iterator[pa.R
     idf = corpus.idf
     for batch in batches:
         heavy = []
-        for (terms, tf), length in zip(_terms(batch), batch.column("tokens").to_pylist(), strict=True):
-            keep = corpus.df[terms] > 1
-            terms, tf = terms[keep], tf[keep]
-            weight = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / corpus.mean))
-            heavy.append(terms[np.argsort(-weight, kind="stable")[:HEAVY]].astype(np.int32))
+        lengths, found = batch.column("tokens").to_numpy(), _terms(batch)
+        for a in range(0, batch.num_rows, 256):
+            some = list(islice(found, 256))
+            terms, tf = np.concatenate([t for t, _ in some]), np.concatenate([c for _, c in some])
+            length = np.repeat(lengths[a : a + 256], [len(t) for t, _ in some])
+            rare = corpus.df[terms] > 1
+            ends = np.cumsum(rare)[np.cumsum([len(t) for t, _ in some]) - 1].tolist()
+            terms, tf, length = terms[rare], tf[rare], length[rare]
+            below = -(idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / corpus.mean)))
+            heavy += [terms[s:e][np.argsort(below[s:e], kind="stable")[:HEAVY]].astype(np.int32) for s, e in zip([0, *ends], ends)]
         yield pa.RecordBatch.from_arrays([*batch.columns, lists(heavy, pa.int32())], names=[*batch.schema.names, "heavy"])
 
 
@@ -171,19 +348,23 @@ class Deal:
     bins: dict[tuple[int, ...], int] = field(default_factory=dict)
     shards: dict[tuple[int, ...], int] = field(default_factory=dict)
 
-    def group(self, heavy: np.ndarray, salt: int) -> tuple[int, ...]:
-        order = heavy[np.lexsort((heavy, -self.common[heavy]))].tolist()
-        out = (order[0] if order else -1,)
-        while out in self.bins:
-            k = len(out)
-            by = (order[k] if k < len(order) else -1) if k < LEVELS else salt
-            out += (int(mix(np.array([by], np.int64).view(np.uint64))[0] % np.uint64(self.bins[out])),)
-        return out
-
     def groups(self, batch: pa.RecordBatch) -> list[tuple[int, ...]]:
         heavy = batch.column("heavy")
-        ends, flat = heavy.offsets.to_numpy(), heavy.values.to_numpy()
-        return [self.group(flat[a:b], s) for a, b, s in zip(ends[:-1], ends[1:], batch.column("salt").to_pylist())]
+        offsets, flat = heavy.offsets.to_numpy(), heavy.values.to_numpy()
+        flat, ends = flat[offsets[0] : offsets[-1]], offsets - offsets[0]
+        sizes = np.diff(ends)
+        ordered = flat[np.lexsort((flat, -self.common[flat], np.repeat(np.arange(len(sizes)), sizes)))]
+        by = np.full((LEVELS + 1, len(sizes)), -1, np.int64)  # the terms by which a document is dealt, then its salt
+        for k in range(LEVELS):
+            by[k, sizes > k] = ordered[ends[:-1][sizes > k] + k]
+        by[LEVELS] = batch.column("salt").to_numpy()
+        out = []
+        for first, *rest in zip(by[0].tolist(), *mix(by[1:].view(np.uint64)).tolist()):
+            group: tuple[int, ...] = (first,)
+            while (bins := self.bins.get(group)) is not None:
+                group += (rest[len(group) - 1] % bins,)
+            out.append(group)
+        return out
 
 
 def make_deal(weighed: DataFrame, shard: int) -> Deal:
@@ -220,7 +401,11 @@ Counted = tuple[np.ndarray, np.ndarray]  # distinct ids of a document and their
 
 
 class Bm25:
-    """Inverted index over counted documents with scores of a query's distinct ids for all of them."""
+    """Inverted index over counted documents with scores of a query's distinct ids for all of them.
+
+    Weights are whole multiples of 2 ** -30, so that sums are exact and their order is free: terms of a third of the documents are rows of
+    a matrix, one number a document, the others have postings.
+    """
 
     def __init__(self, docs: list[np.ndarray] | list[Counted], corpus: Corpus | None = None):
         """Counts of documents by term are those of `corpus`, without one those of `docs`."""
@@ -228,30 +413,44 @@ class Bm25:
         self.n = len(counted)
         terms = np.concatenate([t for t, _ in counted]).astype(np.int64)
         order = np.argsort(terms, kind="stable")
-        self.docs = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in counted])[order]
+        self.docs = np.repeat(np.arange(self.n), [len(t) for t, _ in counted])[order]
         tf = np.concatenate([c for _, c in counted])[order]
         self.terms, lengths = terms[order], np.array([c.sum() for _, c in counted])
         df = np.bincount(self.terms)
         corpus = corpus or Corpus(self.n, lengths.mean(), df)
         norm = K1 * (1 - B + B * lengths / corpus.mean)
-        self.weights = corpus.idf[self.terms] * tf * (K1 + 1) / (tf + norm[self.docs])
-        self.starts = np.concatenate([[0], np.cumsum(df)])
+        self.weights = np.round(corpus.idf[self.terms] * tf * (K1 + 1) / (tf + norm[self.docs]) * (1 << 30)) / (1 << 30)
+        common = np.flatnonzero(3 * df >= self.n)
+        self.row = np.full(len(df), -1)
+        self.row[common] = np.arange(len(common))
+        self.columns, self.rows = np.arange(self.n), np.zeros((len(common), self.n))
+        dense = self.row[self.terms] >= 0
+        self.rows[self.row[self.terms[dense]], self.docs[dense]] = self.weights[dense]
+        self._postings(~dense)
+
+    def _postings(self, kept: np.ndarray) -> None:
+        self.terms, self.docs, self.weights = self.terms[kept], self.docs[kept], self.weights[kept]
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(self.terms, minlength=len(self.row)))])
 
     def keep(self, wanted: np.ndarray) -> None:
-        """Drop the postings of all documents but the wanted ones."""
-        kept = wanted[self.docs]
-        self.terms, self.docs, self.weights = self.terms[kept], self.docs[kept], self.weights[kept]
-        self.starts = np.concatenate([[0], np.cumsum(np.bincount(self.terms, minlength=len(self.starts) - 1))])
+        """Drop the weights of all documents but the wanted ones."""
+        self._postings(wanted[self.docs])
+        held = wanted[self.columns]
+        self.columns, self.rows = self.columns[held], np.ascontiguousarray(self.rows[:, held])
 
     def scores(self, tokens: np.ndarray) -> np.ndarray:
         return self.scores_of(np.unique(tokens))
 
     def scores_of(self, terms: np.ndarray) -> np.ndarray:
         """Scores for distinct terms."""
-        a, b = self.starts[terms], self.starts[terms + 1]
-        sizes = b - a
-        at = np.arange(sizes.sum()) + np.repeat(a - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
-        return np.bincount(self.docs[at], self.weights[at], minlength=self.n)
+        row = self.row[terms]
+        asked = np.zeros(len(self.rows))
+        asked[row[row >= 0]] = 1.0
+        rare = terms[row < 0]
+        runs = [slice(a, b) for a, b in zip(self.starts[rare].tolist(), self.starts[rare + 1].tolist()) if a < b]
+        out = np.bincount(np.concatenate([self.docs[r] for r in runs]), np.concatenate([self.weights[r] for r in runs]), minlength=self.n) if runs else np.zeros(self.n)
+        out[self.columns] += asked @ self.rows
+        return out
 
 
 def fill(docs: list[np.ndarray], window: int = WINDOW, known: list[np.ndarray] | list[Counted] | None = None, corpus: Corpus | None = None) -> Iterator[list[tuple[int, int, int]]]:
