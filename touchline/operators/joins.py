@@ -67,12 +67,14 @@ def nearest_names(names: DataFrame, known: DataFrame, max_distance: int = 2, min
     """Closest known spelling per name within the edit distance; ties go to the canonical name in order.
 
     `names` has `key`; `known` has `spelling` and `canonical`. Candidates come from an equi join on
-    shortened spellings, so no pairs are formed beyond those that can qualify.
+    shortened spellings, so no pairs are formed beyond those that can qualify. A name has hundreds of
+    shortened spellings, which Spark's size estimate doesn't count, so neither side may be broadcast.
     """
     n = names.filter(F.length("key") >= min_length).select("key", F.explode(_shortened(F.col("key"), max_distance)).alias("_s"))
     k = known.select("spelling", "canonical", F.explode(_shortened(F.col("spelling"), max_distance)).alias("_s"))
-    pairs = n.join(k, "_s").select("key", "spelling", "canonical").distinct()
-    scored = pairs.withColumn("distance", F.levenshtein("key", "spelling")).filter(F.col("distance") <= max_distance)
+    pairs = n.hint("merge").join(k.hint("merge"), "_s")
+    # Pairs that share several spellings are not made distinct: the smallest is the same.
+    scored = pairs.select("key", "canonical", F.levenshtein("key", "spelling", max_distance).alias("distance")).filter("distance >= 0")
     best = scored.groupBy("key").agg(F.min(F.struct("distance", "canonical")).alias("b"))
     return best.select("key", F.col("b.canonical").alias("canonical"), F.col("b.distance").alias("distance"))
 
