@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.operators.windows import with_row_index
+from touchline.sources.shared import written
 
 
 def chronological_split(
@@ -67,14 +68,53 @@ def sliding_folds(
 
 
 def walk_forward_folds(
-    df: DataFrame, order: list[str], initial_train_size: int, val_size: int, unit: str = "month"
+    df: DataFrame, order: list[str], initial_train_size: int, val_size: int, unit: str = "month", spans: bool = False
 ) -> DataFrame:
-    """Train on all rows up to a point, validate on the next `val_size`, move forward."""
-    n = df.agg(F.count("*")).scalar()
+    """Train on all rows up to a point, validate on the next `val_size`, move forward.
+
+    A row trains in every fold after its own, so the rows of all folds grow with the square of the input. With `spans` there is
+    instead one row per row and role, with the `first_fold` and `last_fold` of an unbroken run of folds: at most two per input row.
+    """
+    base = written(df, "folds")  # counted and numbered
+    n_folds = F.lit((base.count() - initial_train_size) // val_size).cast("long")
     row = F.col("_row")
-    n_folds = F.floor((n - initial_train_size) / val_size)
-    first = F.greatest(F.floor((row - initial_train_size) / val_size) + 1, F.lit(1))
-    folds = F.when(first <= n_folds, F.sequence(first, n_folds))
-    train_end = F.lit(initial_train_size) + (F.col("fold") - 1) * val_size
-    role = F.when(row < train_end, "train").otherwise("val")
-    return _with_folds(with_row_index(df, [], order, "_row", unit), folds, role)
+    own = F.floor((row - initial_train_size) / val_size) + 1  # fold that validates on the row, if it is none of the first rows
+    start = F.when(row < initial_train_size, F.lit(1).cast("long")).otherwise(own + 1)
+    runs = F.array(
+        F.struct(F.lit("val").alias("role"), F.when(row >= initial_train_size, own).alias("first_fold"), own.alias("last_fold")),
+        F.struct(F.lit("train").alias("role"), start.alias("first_fold"), n_folds.alias("last_fold")),
+    )
+    kept = F.filter(runs, lambda r: (r["first_fold"] <= r["last_fold"]) & (r["last_fold"] <= n_folds))
+    out = with_row_index(base, [], order, "_row", unit).select(*df.columns, F.explode(kept).alias("_run"))
+    if spans:
+        return out.select(*df.columns, "_run.*")
+    return out.select(*df.columns, F.explode(F.sequence("_run.first_fold", "_run.last_fold")).alias("fold"), F.col("_run.role").alias("role"))
+
+
+_FOLDS = 4096  # folds of one stretch of running sums
+
+
+def fold_sizes(spans: DataFrame) -> DataFrame:
+    """Rows that train and validate in each fold, from runs of folds (`role`, `first_fold`, `last_fold`); empty folds have no row.
+
+    A run counts up at its first fold and down behind its last one; sizes are running sums of these, in stretches of folds that
+    take over the sums of earlier stretches.
+    """
+    runs = spans.groupBy("role", "first_fold", "last_fold").agg(F.count("*").alias("n"))
+    ends = F.array(F.struct(F.col("first_fold").alias("fold"), F.col("n").alias("step")), F.struct((F.col("last_fold") + 1).alias("fold"), (-F.col("n")).alias("step")))
+    steps = runs.select("role", F.explode(ends).alias("e")).groupBy("e.fold").agg(
+        *[F.sum(F.when(F.col("role") == r, F.col("e.step")).otherwise(0)).alias(r) for r in ("train", "val")]
+    )
+    steps = steps.withColumn("part", F.floor(F.col("fold") / _FOLDS))
+    parts = steps.groupBy("part").agg(F.sum("train").alias("_t"), F.sum("val").alias("_v"), F.min("fold").alias("_first"))
+    every = Window.orderBy("part")  # one row per stretch
+    before = every.rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.sum("_t").over(before).alias("_t"), F.sum("_v").over(before).alias("_v"), F.lead("_first").over(every).alias("_after"))
+    inside = Window.partitionBy("part").orderBy("fold")
+    to_here = inside.rowsBetween(Window.unboundedPreceding, 0)
+    sums = steps.select("part", "fold", F.sum("train").over(to_here).alias("t"), F.sum("val").over(to_here).alias("v"), F.lead("fold").over(inside).alias("_next"))
+    sums = sums.join(parts, "part").select(
+        "fold", F.coalesce("_next", "_after").alias("_next"), (F.col("t") + F.coalesce("_t", F.lit(0))).alias("train_size"), (F.col("v") + F.coalesce("_v", F.lit(0))).alias("val_size")
+    )
+    held = sums.filter("train_size + val_size > 0")
+    return held.select(F.explode(F.sequence("fold", F.col("_next") - 1)).alias("fold"), "train_size", "val_size")

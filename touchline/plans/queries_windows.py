@@ -563,10 +563,8 @@ SELECT k AS fold, count(*) FILTER (i < 700 + (k - 1) * 350) AS train_size, count
 FROM n JOIN f ON i < 700 + k * 350 GROUP BY k""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    folds = splits.walk_forward_folds(inputs.matches(spark, sf), form.ORDER, 700, 350)
-    return folds.groupBy("fold").agg(
-        F.count_if(F.col("role") == "train").alias("train_size"), F.count_if(F.col("role") == "val").alias("val_size")
-    )
+    rows = inputs.matches(spark, sf).select(*form.ORDER)
+    return splits.fold_sizes(splits.walk_forward_folds(rows, form.ORDER, 700, 350, spans=True))
 
 
 @query(
