@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import goals as G
 from touchline.operators.form import ORDER
+from touchline.sources.shared import written
 
 
 @dataclass(frozen=True)
@@ -160,33 +161,29 @@ def stat_rating_history(matches: DataFrame, stat: str = "sot", pool: str | None
     The statistic is standardised over the whole frame (population spread), clipped to five
     spreads; a rating moves by k * recency weight * (observed - expected).
     """
-    values = matches.select(F.explode(F.array(f"home_{stat}", f"away_{stat}")).alias("v"))
-    mean = values.agg(F.coalesce(F.avg("v"), F.lit(5.0)).alias("m")).scalar()
-    spread = values.agg(F.when(F.stddev_pop("v") >= 0.1, F.stddev_pop("v")).otherwise(1.0).alias("s")).scalar()
-    last = matches.agg(F.date_add(F.max("match_date"), 1)).scalar()
+    v = [F.col(f"home_{stat}"), F.col(f"away_{stat}")]
+    values = matches.select("match_date", F.explode(F.array(*v)).alias("v"))
+    wide = F.stddev_pop("v")
+    # The three numbers are read here, so that neither the update nor what follows evaluates the matches again for them.
+    mean, spread, last = values.agg(F.coalesce(F.avg("v"), F.lit(5.0)), F.when(wide >= 0.1, wide).otherwise(1.0), F.date_add(F.max("match_date"), 1)).first()
 
     def standard(c: str) -> Column:
-        return F.least(F.greatest((F.col(c) - F.col("_m")) / F.col("_s"), F.lit(-5.0)), F.lit(5.0))
+        return F.least(F.greatest((F.col(c) - F.lit(mean)) / F.lit(spread), F.lit(-5.0)), F.lit(5.0))
 
     weight = F.lit(1.0)
     if rules.halflife_days > 0:
-        age = F.greatest(F.datediff(F.col("_last"), F.col("match_date")), F.lit(0))
+        age = F.greatest(F.datediff(F.lit(last).cast("date"), F.col("match_date")), F.lit(0))
         weight = F.greatest(F.pow(F.lit(2.0), -age / rules.halflife_days), F.lit(0.01))
-    keyed = (
-        matches.filter(F.col(f"home_{stat}").isNotNull() & F.col(f"away_{stat}").isNotNull())
-        .withColumns({"_m": mean, "_s": spread, "_last": last})
-        .select(
-            (F.col(pool).cast("string") if pool else F.lit("all")).alias("pool"), "match_date", "match_id", "home_team", "away_team",
-            standard(f"home_{stat}").alias("obs_home"), standard(f"away_{stat}").alias("obs_away"), weight.alias("w"),
-            F.col("_m").alias("mean"), F.col("_s").alias("spread"),
-        )
+    keyed = matches.filter(F.col(f"home_{stat}").isNotNull() & F.col(f"away_{stat}").isNotNull()).select(
+        (F.col(pool).cast("string") if pool else F.lit("all")).alias("pool"), "match_date", "match_id", "home_team", "away_team",
+        standard(f"home_{stat}").alias("obs_home"), standard(f"away_{stat}").alias("obs_away"), weight.alias("w"),
     )
     schema = "pool string, match_id bigint, exp_home double, exp_away double"
     ordered = keyed.repartition("pool").sortWithinPartitions("pool", "match_date", "match_id")
-    return ordered.mapInPandas(lambda batches: _fold_stat(batches, rules), schema)
+    return ordered.mapInPandas(lambda batches: _fold_stat(batches, rules, mean, spread), schema)
 
 
-def _fold_stat(batches: Iterator[pd.DataFrame], rules: StatRules) -> Iterator[pd.DataFrame]:
+def _fold_stat(batches: Iterator[pd.DataFrame], rules: StatRules, mean: float, spread: float) -> Iterator[pd.DataFrame]:
     pool, r = None, {}
     at_home, away = rules.initial + rules.home_bonus, rules.initial
     for batch in batches:
@@ -203,19 +200,20 @@ def _fold_stat(batches: Iterator[pd.DataFrame], rules: StatRules) -> Iterator[pd
             a[3] += gap_h
             h[1] += gap_a
             a[2] += gap_a
-            out.append((pool, m.match_id, max(exp_h * m.spread + m.mean, 0.01), max(exp_a * m.spread + m.mean, 0.01)))
+            out.append((pool, m.match_id, max(exp_h * spread + mean, 0.01), max(exp_a * spread + mean, 0.01)))
         yield pd.DataFrame(out, columns=["pool", "match_id", "exp_home", "exp_away"]).astype({"match_id": "int64"})
 
 
 def stat_rating_over_model(matches: DataFrame, expected: DataFrame):  # noqa: ANN201
-    """Logistic regression of over 2.5 goals on the expected statistics, classes weighted evenly."""
+    """Logistic regression of over 2.5 goals on the expected statistics, classes weighted evenly; its rows are written once."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
     data = expected.join(matches.select("match_id", (F.col("home_goals") + F.col("away_goals") > 2.5).cast("double").alias("label")), "match_id")
+    data = written(data, "rated")
     data = data.withColumns({"exp_total": F.col("exp_home") + F.col("exp_away"), "exp_diff": F.col("exp_home") - F.col("exp_away")})
-    share = data.agg(F.avg("label")).scalar()
-    data = data.withColumn("_share", share).withColumn(
+    share = data.agg(F.avg("label")).first()[0]
+    data = data.withColumn("_share", F.lit(share).cast("double")).withColumn(
         "weight", F.when(F.col("label") == 1, 0.5 / F.greatest("_share", F.lit(1e-9))).otherwise(0.5 / F.greatest(1 - F.col("_share"), F.lit(1e-9)))
     )
     frame = VectorAssembler(inputCols=["exp_home", "exp_away", "exp_total", "exp_diff"], outputCol="features").transform(data)

@@ -154,7 +154,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
-    m = inputs.matches(spark, sf)
+    used = ["match_id", "match_date", "league", "home_team", "away_team", "home_sot", "away_sot", "home_goals", "away_goals"]
+    m = written(inputs.matches(spark, sf).select(*used), "matches")  # rated, and joined to its ratings
     model, frame = ratings.stat_rating_over_model(m, ratings.stat_rating_history(m, "sot", "league", ratings.StatRules(k=0.05)))
     return model.transform(frame).select("match_id", F.round(vector_to_array("probability")[1], 4).alias("p_over"))
 
